@@ -9,14 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.batches import mixed
 from tidemark.llm.chunks import ChunkStore
 
 SPACE = "▁"
-#: A piece of text between spaces, with the spaces before it; no vocabulary piece crosses its ends.
-CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Longer words go one at a time, by the same recurrence.
-MOST_CHARS = 48
+#: A piece of text between spaces, with the spaces before it, or a line break; no vocabulary piece crosses its ends.
+CHUNK = re.compile(f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n")
+#: Cells of the matrices in which words advance together, and pairs of neighbours a worker remembers.
+STEP_CELLS, MOST_PAIRS = 1 << 20, 6_000_000
 #: Texts of about this many characters are encoded at a time.
 STEP_CHARS = 1 << 21
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -37,19 +36,25 @@ class PieceTable:
             raise ValueError(f"unknown kind of model: {kind}")
         self.pieces, self.kind, self.byte_ids = pieces, kind, byte_ids
         self.size = len(pieces)
+        self.length = np.array([len(p) for p in pieces])
         self.score = np.array(scores, dtype=np.float64)
         ids = np.array([i for i, p in enumerate(plain) if p and pieces[i]], dtype=np.int64)
         if any(SPACE in pieces[i].lstrip(SPACE) for i in ids):
             raise ValueError("a piece has a space inside; words can't be encoded apart")
+        if any("\n" in pieces[i] for i in ids):
+            raise ValueError("a piece has a line break inside; lines can't be encoded apart")
         self.longest = max((len(pieces[i]) for i in ids), default=1)
-        keys = np.array([self._key(pieces[i]) for i in ids], dtype=np.uint64)
+        keys = np.zeros(len(ids), dtype=np.uint64)
+        for n, which in self._by_length([pieces[i] for i in ids]).items():
+            chars = np.array([pieces[ids[k]] for k in which], dtype=f"<U{n}").view(np.uint32).reshape(len(which), n)
+            keys[which] = self._hashes(chars.astype(np.uint64))(0, n)
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], ids[order]
         self.pairs, self.pair_fits = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
         self.usable = np.ones(self.size, dtype=bool)
         if kind == "bpe":
-            whole = self._merge([pieces[i] for i in ids])
-            self.usable[ids] = [run == [i] for i, run in zip(ids.tolist(), whole, strict=True)]
+            for which, _, count in self._merge([pieces[i] for i in ids]):
+                self.usable[ids[which]] = count == 1
 
     @staticmethod
     def from_file(path: str, kind: str) -> PieceTable:
@@ -62,8 +67,11 @@ class PieceTable:
         return PieceTable([m.id_to_piece(i) for i in range(n)], [m.get_score(i) for i in range(n)], [byte_of[f"<0x{b:02X}>"] for b in range(256)], kind, plain)
 
     @staticmethod
-    def _key(piece: str) -> np.uint64:
-        return PieceTable._hashes(np.array([[ord(c) for c in piece]], dtype=np.uint64))(0, len(piece))[0]
+    def _by_length(words: list[str]) -> dict[int, list[int]]:
+        out: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            out.setdefault(len(w), []).append(k)
+        return out
 
     @staticmethod
     def _hashes(chars: np.ndarray):
@@ -74,8 +82,10 @@ class PieceTable:
             upto[:, k + 1] = upto[:, k] * _BASE + chars[:, k] + np.uint64(1)
         power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]))
 
+        tag = np.arange(n + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
         def between(i, j, rows=slice(None)):
-            return mixed(upto[rows, j] - upto[rows, i] * power[j - i] + (np.asarray(j) - np.asarray(i)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            return upto[rows, j] - upto[rows, i] * power[j - i] + tag[j - i]
 
         return between
 
@@ -84,13 +94,9 @@ class PieceTable:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.key_ids[at], -1)
 
-    def _merge(self, words: list[str]) -> list[list[int]]:
-        """Encodings by merging, words of one length together; a character without a piece is -1 - its code."""
-        out: list = [None] * len(words)
-        by_length: dict[int, list[int]] = {}
-        for k, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(k)
-        for n, which in by_length.items():
+    def _merge(self, words: list[str]):
+        """Encodings by merging, words of one length together: for each length the words' places, and cuts and their number for each."""
+        for n, which in self._by_length(words).items():
             chars = np.array([words[k] for k in which], dtype=f"<U{n}").view(np.uint32).reshape(len(which), n)
             between = self._hashes(chars.astype(np.uint64))
             rows = np.arange(len(which))
@@ -118,11 +124,7 @@ class PieceTable:
                     i, j = start[r, k], start[r, k + 2]
                     ids = self.probe(between(i, j, r))
                     score[r, k] = np.where(ids >= 0, self.score[ids], -np.inf)
-            for row, k in enumerate(which):
-                cuts = start[row, : count[row] + 1]
-                ids = self.probe(between(cuts[:-1], cuts[1:], row))
-                out[k] = [int(i) if i >= 0 else -1 - int(c) for i, c in zip(ids, chars[row, cuts[:-1]], strict=True)]
-        return out
+            yield np.array(which), start, count
 
     def fits(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """For each two neighbours: do they stay apart? Pairs met for the first time are merged once to see."""
@@ -131,55 +133,76 @@ class PieceTable:
             return out
         inner = np.flatnonzero(before >= 0)
         code = before[inner] * self.size + piece[inner]
-        if len(new := np.setdiff1d(code, self.pairs)):
-            runs = self._merge([self.pieces[p // self.size] + self.pieces[p % self.size] for p in new.tolist()])
-            fit = [run == [p // self.size, p % self.size] for p, run in zip(new.tolist(), runs, strict=True)]
-            order = np.argsort(np.concatenate([self.pairs, new]), kind="stable")
-            self.pairs, self.pair_fits = np.concatenate([self.pairs, new])[order], np.concatenate([self.pair_fits, fit])[order]
-        out[inner] = self.pair_fits[np.searchsorted(self.pairs, code)]
+        at = np.searchsorted(self.pairs, code)
+        new = np.unique(code[(at == len(self.pairs)) | (self.pairs[np.minimum(at, len(self.pairs) - 1)] != code)]) if len(self.pairs) else np.unique(code)
+        if len(new):
+            if len(self.pairs) + len(new) > MOST_PAIRS:
+                self.pairs, self.pair_fits, new = self.pairs[:0], self.pair_fits[:0], np.unique(code)
+            fit, cut = np.zeros(len(new), dtype=bool), self.length[new // self.size]
+            for which, start, count in self._merge([self.pieces[a] + self.pieces[b] for a, b in zip((new // self.size).tolist(), (new % self.size).tolist(), strict=True)]):
+                fit[which] = (count == 2) & (start[:, 1] == cut[which])
+            where = np.searchsorted(self.pairs, new)
+            self.pairs, self.pair_fits = np.insert(self.pairs, where, new), np.insert(self.pair_fits, where, fit)
+            at = np.searchsorted(self.pairs, code)
+        out[inner] = self.pair_fits[at]
         return out
 
     def _viterbi(self, words: list[str]) -> list[list[int]]:
-        """Encodings of words of one length, which advance together by one character at a time."""
+        """Encodings of words, longest first, which advance together by one character at a time."""
         n, rows = len(words[0]), len(words)
         chars = np.array(words, dtype=f"<U{n}").view(np.uint32).reshape(rows, n)
+        lengths = np.array([len(w) for w in words])
         between = self._hashes(chars.astype(np.uint64))
         best = np.full((rows, n + 1), -np.inf)
         best[:, 0] = 0
-        #: The piece that ends here on the best path (-2: none yet, -1 - code: a character of its own) and its length.
-        last, length = np.full((rows, n + 1), -1 << 40), np.zeros((rows, n + 1), dtype=np.int64)
-        unknown = self.score.min() - 10
+        # The piece that ends here on the best path, or -1 - code for a character of its own, and its length.
+        last, length = np.full((rows, n + 1), -1), np.zeros((rows, n + 1), dtype=np.int64)
+        unknown = self.score[self.key_ids].min() - 10
         for j in range(1, n + 1):
+            live = int(np.searchsorted(-lengths, -j, side="right"))
+            row, begin, piece = [], [], []
             for i in range(max(0, j - self.longest), j):
-                ids = self.probe(between(i, j))
-                on = np.flatnonzero((ids >= 0) & self.usable[ids] & (best[:, i] > -np.inf))
-                if len(on):
-                    on = on[self.fits(last[on, i], ids[on])]
-                    total = best[on, i] + self.score[ids[on]]
-                    up = total > best[on, j]
-                    on = on[up]
-                    best[on, j], last[on, j], length[on, j] = total[up], ids[on], j - i
-                if i == j - 1 and (alone := np.flatnonzero(ids < 0)).size:
-                    total = best[alone, i] + unknown
-                    up = total > best[alone, j]
-                    alone = alone[up]
-                    best[alone, j], last[alone, j], length[alone, j] = total[up], -1 - chars[alone, i].astype(np.int64), 1
+                ids = self.probe(between(i, j, slice(0, live)))
+                on = np.flatnonzero((ids >= 0) & self.usable[ids])
+                row.append(on)
+                begin.append(np.full(len(on), i))
+                piece.append(ids[on])
+                if i == j - 1:
+                    alone = np.flatnonzero(ids < 0)
+                    best[alone, j], last[alone, j], length[alone, j] = best[alone, i] + unknown, -1 - chars[alone, i].astype(np.int64), 1
+            row, begin, piece = np.concatenate(row), np.concatenate(begin), np.concatenate(piece)
+            before = np.where(begin == 0, -1, last[row, begin])
+            ok = self.fits(before, piece)
+            row, begin, piece = row[ok], begin[ok], piece[ok]
+            total = best[row, begin] + self.score[piece]
+            order = np.lexsort((total, row))
+            row, begin, piece, total = row[order], begin[order], piece[order], total[order]
+            top = np.ones(len(row), dtype=bool)
+            top[:-1] = row[1:] != row[:-1]
+            row, begin, piece, total = row[top], begin[top], piece[top], total[top]
+            up = total > best[row, j]
+            row, begin, piece, total = row[up], begin[up], piece[up], total[up]
+            best[row, j], last[row, j], length[row, j] = total, piece, j - begin
         out: list[list[int]] = [[] for _ in words]
-        at = np.full(rows, n)
+        at = lengths.copy()
         while (open_ := np.flatnonzero(at > 0)).size:
-            for r, piece in zip(open_.tolist(), last[open_, at[open_]].tolist(), strict=True):
-                out[r].append(piece)
+            for r, p in zip(open_.tolist(), last[open_, at[open_]].tolist(), strict=True):
+                out[r].append(p)
             at[open_] -= length[open_, at[open_]]
         return [run[::-1] for run in out]
 
     def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        """Ids of chunks; a character without a piece becomes the ids of its UTF-8 bytes."""
+        """Ids of chunks; a character without a piece becomes the ids of its UTF-8 bytes.
+
+        Chunks of similar length advance together: up to 4 characters, up to 8, and so on.
+        """
         out: list = [None] * len(chunks)
-        by_length: dict[int, list[int]] = {}
+        groups: dict[int, list[int]] = {}
         for k, c in enumerate(chunks):
-            by_length.setdefault(len(c), []).append(k)
-        for n, which in by_length.items():
-            step = max(1, (1 << 20) // (n + 1))
+            groups.setdefault(max(2, (len(c) - 1).bit_length()), []).append(k)
+        for bits, which in groups.items():
+            which.sort(key=lambda k: -len(chunks[k]))
+            step = max(1, STEP_CELLS >> bits)
             for low in range(0, len(which), step):
                 part = which[low : low + step]
                 for k, run in zip(part, self._viterbi([chunks[k] for k in part]), strict=True):
@@ -193,15 +216,17 @@ class PieceTable:
             self.raw = [as_byte.get(i, p.replace(SPACE, " ").encode()) for i, p in enumerate(self.pieces)]
         return b"".join([self.raw[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:]
 
+    def store(self) -> ChunkStore:
+        """What this worker has encoded so far."""
+        if not hasattr(self, "kept"):
+            self.kept = ChunkStore(self.encode_chunks)
+        return self.kept
+
 
 def chunks_of(text: str) -> list[str]:
     return CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def _split_long(chunks: list[str], most: int) -> list[str]:
-    return chunks
-
-
 def encode_pieces(documents: DataFrame, model: str, kind: str = "bpe", carry=("doc_id",)) -> DataFrame:
     """Encode every whole text of documents, and decode the ids again.
 
@@ -212,7 +237,8 @@ def encode_pieces(documents: DataFrame, model: str, kind: str = "bpe", carry=("d
     keys of the vocabulary, vectorised maxima keep the best way there and a
     backpointer. Each distinct piece of text is encoded once per worker.
 
-    Returns the columns in ``carry``, ids (array of int), n_tokens, decoded.
+    Returns the columns in ``carry``, ids (array of int), n_tokens, ids_crc32 (of
+    the ids as little-endian 32-bit integers) and decoded.
     Null and empty texts have no ids and decode to ''. Characters without a
     piece become byte ids. Repeated rows repeat their result; an empty table
     gives an empty result.
@@ -220,11 +246,11 @@ def encode_pieces(documents: DataFrame, model: str, kind: str = "bpe", carry=("d
     table = PieceTable.from_file(model, kind)
     shared = documents.sparkSession.sparkContext.broadcast(table)
     fields = documents.select(*carry).schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", ids array<int>, n_tokens long, decoded string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", ids array<int>, n_tokens long, ids_crc32 long, decoded string"
 
     def encode(batches):
         pieces = shared.value
-        store = ChunkStore(pieces.encode_chunks)
+        store = pieces.store()
         for batch in batches:
             texts = [t or "" for t in batch.column("pieces_text").to_pylist()]
             low = 0
@@ -235,15 +261,13 @@ def encode_pieces(documents: DataFrame, model: str, kind: str = "bpe", carry=("d
                     high += 1
                 ids, n = store.ids_of([chunks_of(t) for t in texts[low:high]])
                 ends = np.concatenate([[0], np.cumsum(n)])
+                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends, ends[1:], strict=False)]
                 decoded = [pieces.decode(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(low, high - low) for c in carry), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), pa.array(n), pa.array(decoded, type=pa.string())],
-                    names=[*carry, "ids", "n_tokens", "decoded"],
+                    [*(batch.column(c).slice(low, high - low) for c in carry), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), pa.array(n), pa.array(crc, type=pa.int64()), pa.array(decoded, type=pa.string())],
+                    names=[*carry, "ids", "n_tokens", "ids_crc32", "decoded"],
                 )
                 low = high
 
     return documents.select(*carry, F.col("text").alias("pieces_text")).mapInArrow(encode, schema)
 
-
-def ids_crc(ids: np.ndarray) -> int:
-    return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())

@@ -9,13 +9,21 @@ from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.kd_sharding import kd_shards
 from tidemark.llm.licenses import scan_licenses
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.pieces import encode_pieces
 from tidemark.llm.quality import fit_quality, held_out, score_quality
 from tidemark.llm.secrets import scan_secrets
 from tidemark.llm.shingle_join import shingle_join
+from tidemark.llm.token_files import round_trip
 from tidemark.plans.scratch import Scratch
 from tidemark.plans.tables import read_table
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_vectors(read_table(spark, folder, "embeddings"), Scratch(spark, "op1"))
 
@@ -24,6 +32,10 @@ def op2_kd_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return kd_shards(read_table(spark, folder, "documents"), Scratch(spark, "op2"))
 
 
+def op3_token_range_coder(spark: SparkSession, folder: str) -> DataFrame:
+    return round_trip(read_table(spark, folder, "documents"), Scratch(spark, "op3"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_join(read_table(spark, folder, "documents"), Scratch(spark, "op4"))
 
@@ -32,6 +44,12 @@ def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(read_table(spark, folder, "documents"), Scratch(spark, "op5")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Besides the ids' count and crc: does the decoded text equal the text?"""
+    pieces = encode_pieces(read_table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"), carry=("doc_id", "text"))
+    return pieces.select("doc_id", "n_tokens", "ids_crc32", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, folder, "documents")
     model = fit_quality(documents, read_table(spark, folder, "labels"))
@@ -53,7 +71,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *[of_kind(k).alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_kd_sharding, op4_ngram_jaccard_join, op5_source_mixing, op7_quality_classifier, op8_exact_dedup, op9_license_scan, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_kd_sharding, op3_token_range_coder, op4_ngram_jaccard_join, op5_source_mixing, op6_sentencepiece, op7_quality_classifier, op8_exact_dedup, op9_license_scan, op10_secret_scan)}
 
 ORACLE_SQL = {
     "op5_source_mixing": """
