@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.plans.scratch import Scratch
 
-FIRST_BYTES = 64
+FIRST_BYTES = 128
 GROWTH = 4
 
 #: Runs of these are one space in the normalised text.
@@ -53,7 +53,8 @@ def exact_dedup(documents: DataFrame, scratch: Scratch, first_bytes: int = FIRST
             .where("group_size > 1").withColumn("next", F.monotonically_increasing_id()),
             f"shared{level}",
         )
-        split = cut.join(shared, key, "left")
+        # Sorted and merged at every size: the shared groups grow with the documents.
+        split = cut.join(shared.hint("merge"), key, "left")
         left = F.col("last") | F.col("next").isNull()
         step = scratch.table(
             split.select(
