@@ -25,7 +25,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def _kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is among those kept; rows without an id stay if one of them does."""
-    ids = kept.select(F.col("doc_id").alias("kept_id"))
+    ids = kept.select(F.col("doc_id").alias("kept_id")).hint("merge")
     return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
 
 

@@ -220,18 +220,18 @@ def shingle_join(documents: DataFrame, scratch: Scratch, size: int = WORDS, perc
     first = scratch.table(_sketched(documents, size, percent).withColumn("uid", F.monotonically_increasing_id()), "sketched")
     rows = scratch.table(first.drop("prefix"), "rows")
     classes = scratch.table(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("least_id"), F.count("*").alias("weight")), "classes")
-    prefixes = scratch.table(first.select(F.col("uid").alias("cid"), "prefix").join(classes.select("cid"), "cid", "left_semi"), "prefixes")
+    prefixes = scratch.table(first.select(F.col("uid").alias("cid"), "prefix").join(classes.select("cid").hint("merge"), "cid", "left_semi"), "prefixes")
     scratch.drop(first)
     tokens = prefixes.select("cid", F.explode("prefix").alias("token"))
     shared = scratch.table(tokens.groupBy("token").agg(F.min("cid").alias("least"), F.count("*").alias("n")).where("n > 1").select("token", "least"), "shared")
-    meets = scratch.table(tokens.join(shared, "token").where("cid != least").select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct(), "meets")
+    meets = scratch.table(tokens.join(shared.hint("merge"), "token").where("cid != least").select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct(), "meets")
     scratch.drop(prefixes, shared)
     families = connected_components(meets, scratch)
     scratch.drop(meets)
     wanted = scratch.table(
         families.select(F.col("node").alias("cid"), F.col("comp").alias("fam")).join(classes, "cid").join(rows.select(F.col("uid").alias("cid"), F.col("doc_id").alias("row_id")), "cid"), "wanted"
     )
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("row_id")))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("row_id")))
     sets = scratch.table(_sets(texts, size).dropDuplicates(["cid"]), "sets")
     leaves, heads = _plant(sets, scratch)
     scratch.drop(sets)
