@@ -1,4 +1,390 @@
-"""Queries over the test tables, one or more for each operator, with equivalent SQL."""
+"""Queries over the test tables, one or more for each operator, with equivalent SQL.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Every query is a declarative plan over ``spark.read.parquet``: filters and
+column lists reach the scan, joins and aggregates are left to the optimizer.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from tidemark.operators import constraints, relational as R
+from tidemark.plans.tables import read_table
+from tidemark.plans.versions import visible_at
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of a folder as attributes."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return read_table(self._spark, self._folder, name)
+
+
+def query(sql: str):
+    def register(plan):
+        QUERIES[plan.__name__] = lambda spark, folder: plan(Tables(spark, folder))
+        ORACLE_SQL[plan.__name__] = sql
+        return plan
+
+    return register
+
+
+c, lit = F.col, F.lit
+
+# Projections and predicates
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def select_star(t):
+    return t.region.select("*")
+
+
+@query("SELECT c_custkey, c_name AS customer, c_mktsegment FROM customer")
+def scan_project(t):
+    return t.customer.select("c_custkey", c("c_name").alias("customer"), "c_mktsegment")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def filter_eq(t):
+    return t.orders.where(c("o_orderstatus") == "F").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT c_custkey FROM customer WHERE upper(c_mktsegment) = upper('building')")
+def filter_eq_ci(t):
+    return t.customer.where(R.same_text(c("c_mktsegment"), lit("building"))).select("c_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'")
+def filter_and(t):
+    return t.orders.where((c("o_orderstatus") == "O") & (c("o_orderpriority") == "1-URGENT")).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT n.n_name AS nation, n.n_regionkey FROM nation n")
+def alias_qualified(t):
+    return t.nation.alias("n").select(c("n.n_name").alias("nation"), "n.n_regionkey")
+
+
+@query("SELECT p_partkey, coalesce(CAST(NULL AS VARCHAR), p_name) AS name FROM part")
+def name_fallback(t):
+    return t.part.select("p_partkey", R.first_known(lit(None).cast("string"), c("p_name")).alias("name"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 33")
+def point_lookup(t):
+    return t.orders.where(c("o_orderkey") == 33).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (1, 2, 3, 32, 64, 1000)")
+def row_id_scan(t):
+    return t.orders.where(c("o_orderkey").isin(1, 2, 3, 32, 64, 1000)).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey % 7 AS xmin, o_custkey % 5 AS xmax FROM orders WHERE o_custkey % 7 <= 3 AND (o_custkey % 5 = 0 OR o_custkey % 5 > 3)")
+def snapshot_visibility(t):
+    stamped = t.orders.select("o_orderkey", (c("o_custkey") % 7).alias("xmin"), (c("o_custkey") % 5).alias("xmax"))
+    return stamped.where(visible_at(3))
+
+
+# Joins
+
+
+@query("SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer JOIN orders ON c_custkey = o_custkey")
+def inner_join(t):
+    return t.customer.join(t.orders, c("c_custkey") == c("o_custkey")).select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') ON c_custkey = o_custkey")
+def left_join(t):
+    urgent = t.orders.where((c("o_orderstatus") == "F") & (c("o_orderpriority") == "1-URGENT"))
+    return t.customer.join(urgent, c("c_custkey") == c("o_custkey"), "left").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def multi_join_3(t):
+    return t.customer.join(t.nation, c("c_nationkey") == c("n_nationkey")).join(t.region, c("n_regionkey") == c("r_regionkey")).select("c_custkey", "n_name", "r_name")
+
+
+@query("SELECT a.n_name AS left_name, b.n_name AS right_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+def self_join(t):
+    return t.nation.alias("a").join(t.nation.alias("b"), c("a.n_regionkey") == c("b.n_regionkey")).select(c("a.n_name").alias("left_name"), c("b.n_name").alias("right_name"))
+
+
+@query("SELECT a.n_nationkey, b.r_regionkey FROM nation a JOIN region b ON upper(coalesce(substr(a.n_name, 1, 1), '')) = upper(coalesce(substr(lower(b.r_name), 1, 1), ''))")
+def join_folded_keys(t):
+    return t.nation.join(t.region, R.folded(F.substring("n_name", 1, 1)) == R.folded(F.substring(F.lower("r_name"), 1, 1))).select("n_nationkey", "r_regionkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def semi_join(t):
+    return R.having_match(t.customer, t.orders.where("o_orderstatus = 'P'"), "c_custkey", "o_custkey").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+def not_exists(t):
+    return R.lacking_match(t.customer, t.orders.where("o_orderpriority = '1-URGENT'"), "c_custkey", "o_custkey").select("c_custkey")
+
+
+# Aggregates
+
+
+@query("SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_orderstatus")
+def group_count(t):
+    return t.orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS n FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON c_custkey = o_custkey GROUP BY c_custkey")
+def group_count_column(t):
+    return t.customer.join(t.orders.where("o_orderstatus = 'P'"), c("c_custkey") == c("o_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
+
+
+@query("SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey")
+def group_sum(t):
+    return t.orders.groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT c_mktsegment, round(avg(c_acctbal), 2) AS mean FROM customer GROUP BY c_mktsegment")
+def group_avg(t):
+    return t.customer.groupBy("c_mktsegment").agg(F.round(F.avg("c_acctbal"), 2).alias("mean"))
+
+
+@query("SELECT p_brand, min(p_retailprice) AS low, max(p_retailprice) AS high, min(p_size) AS small, max(p_name) AS last FROM part GROUP BY p_brand")
+def group_min_max(t):
+    return t.part.groupBy("p_brand").agg(F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"), F.min("p_size").alias("small"), F.max("p_name").alias("last"))
+
+
+@query("SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY l_returnflag, l_linestatus")
+def group_multi_key(t):
+    return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("SELECT p_type, round(sum(coalesce(try_cast(p_name AS DOUBLE), 0)), 2) AS total, round(sum(coalesce(try_cast(p_size AS DOUBLE), 0)) / count(*), 4) AS mean FROM part GROUP BY p_type")
+def group_numeric_text(t):
+    return t.part.groupBy("p_type").agg(F.round(R.sum_of_text(c("p_name")), 2).alias("total"), F.round(R.mean_of_text(c("p_size").cast("string")), 4).alias("mean"))
+
+
+@query("SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")
+def having_count_gt(t):
+    return t.orders.groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 12")
+
+
+@query("SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey HAVING sum(o_totalprice) < 500000")
+def having_sum_lt(t):
+    return t.orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("s")).where("s < 500000").select("o_custkey", F.round("s", 2).alias("total"))
+
+
+@query("SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) = 10")
+def having_eq(t):
+    return t.orders.groupBy("o_custkey").agg(F.count("*").alias("n")).where(F.abs(c("n") - 10) < 1e-9).select("o_custkey")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, round(sum(l_extendedprice), 2) AS total, min(l_shipdate) AS first FROM lineitem")
+def aggregate_all(t):
+    return t.lineitem.agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"), F.min("l_shipdate").alias("first"))
+
+
+@query("SELECT n_name, CAST(count(*) AS BIGINT) AS orders, round(sum(o_totalprice), 2) AS total FROM nation JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey GROUP BY n_name")
+def aggregate_over_join(t):
+    joined = t.nation.join(t.customer, c("n_nationkey") == c("c_nationkey")).join(t.orders, c("c_custkey") == c("o_custkey"))
+    return joined.groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT c_custkey, c_name, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_name HAVING count(*) > 5 ORDER BY total DESC, c_custkey")
+def join_group_having(t):
+    joined = t.customer.join(t.orders, c("c_custkey") == c("o_custkey"))
+    return joined.groupBy("c_custkey", "c_name").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")).where("n > 5").orderBy(c("total").desc(), "c_custkey")
+
+
+# Sorting
+
+
+@query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey")
+def order_by_multi(t):
+    return t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice").orderBy("o_orderpriority", c("o_totalprice").desc(), "o_orderkey")
+
+
+@query("SELECT s_name FROM supplier ORDER BY s_acctbal DESC")
+def order_by_unselected(t):
+    return t.supplier.orderBy(c("s_acctbal").desc()).select("s_name")
+
+
+@query("SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY c_nationkey ORDER BY n DESC, c_nationkey")
+def order_by_grouped(t):
+    return t.customer.groupBy("c_nationkey").agg(F.count("*").alias("n")).orderBy(c("n").desc(), "c_nationkey")
+
+
+@query("SELECT n_name FROM nation ORDER BY upper(coalesce(n_name, '')) DESC")
+def order_by_folded(t):
+    return t.nation.orderBy(R.folded(c("n_name")).desc()).select("n_name")
+
+
+# Subqueries
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def in_subquery(t):
+    return R.having_match(t.orders, t.customer.where("c_mktsegment = 'BUILDING'"), "o_custkey", "c_custkey").select("o_orderkey")
+
+
+@query("SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey)")
+def exists_correlated(t):
+    return R.having_match(t.supplier, t.lineitem, "s_suppkey", "l_suppkey").select("s_suppkey")
+
+
+@query("SELECT c_custkey, CAST((SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS BIGINT) AS n FROM customer")
+def scalar_count(t):
+    return R.with_scalar(t.customer, t.orders, "c_custkey", "o_custkey", F.count("*"), "n", empty=0).select("c_custkey", "n")
+
+
+@query("SELECT c_custkey, (SELECT round(sum(o_totalprice), 2) FROM orders WHERE o_custkey = c_custkey) AS total FROM customer")
+def scalar_sum(t):
+    return R.with_scalar(t.customer, t.orders, "c_custkey", "o_custkey", F.round(F.sum("o_totalprice"), 2), "total").select("c_custkey", "total")
+
+
+@query("SELECT c_custkey, (SELECT min(o_orderdate) FROM orders WHERE o_custkey = c_custkey) AS first FROM customer")
+def scalar_min(t):
+    return R.with_scalar(t.customer, t.orders, "c_custkey", "o_custkey", F.min("o_orderdate"), "first").select("c_custkey", "first")
+
+
+@query("SELECT c_custkey, coalesce((SELECT max(o_orderpriority) FROM orders WHERE o_custkey = c_custkey), '') AS last FROM customer")
+def scalar_max(t):
+    return R.with_scalar(t.customer, t.orders, "c_custkey", "o_custkey", F.max("o_orderpriority"), "last", empty="").select("c_custkey", "last")
+
+
+@query("SELECT c_custkey, (SELECT round(avg(o_totalprice), 2) FROM orders WHERE o_custkey = c_custkey) AS mean FROM customer")
+def scalar_avg(t):
+    return R.with_scalar(t.customer, t.orders, "c_custkey", "o_custkey", F.round(F.avg("o_totalprice"), 2), "mean").select("c_custkey", "mean")
+
+
+# Constraints and changes
+
+
+@query("SELECT o_custkey AS key, CAST(count(*) AS BIGINT) AS rows FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def pk_violation_scan(t):
+    return constraints.repeated_keys(t.orders, ["o_custkey"]).select(c("o_custkey").alias("key"), "rows")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 12)")
+def fk_orphan_scan(t):
+    return constraints.orphans(t.lineitem, t.supplier.where("s_nationkey < 12"), "l_suppkey", "s_suppkey").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT c_nationkey, c_mktsegment, CAST(count(*) AS BIGINT) AS rows FROM customer GROUP BY c_nationkey, c_mktsegment HAVING count(*) > 1")
+def unique_violation_scan(t):
+    return constraints.repeated_keys(t.customer, ["c_nationkey", "c_mktsegment"])
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_regionkey = 1 AND n_nationkey IN (SELECT c_nationkey FROM customer)")
+def fk_restrict_scan(t):
+    return constraints.still_referenced(t.nation.where("n_regionkey = 1"), t.customer, "n_nationkey", "c_nationkey").select("n_nationkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def update_cow(t):
+    return t.orders.withColumn("o_orderstatus", F.when(c("o_orderstatus") == "P", "X").otherwise(c("o_orderstatus"))).select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT coalesce(o_orderstatus = 'P', false)")
+def delete_cow(t):
+    return t.orders.where(~F.coalesce(c("o_orderstatus") == "P", lit(False))).select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT (o_custkey % 5 > 0 AND o_custkey % 5 <= 3)")
+def vacuum_versions(t):
+    return t.orders.where(~((c("o_custkey") % 5 > 0) & (c("o_custkey") % 5 <= 3))).select("o_orderkey")
+
+
+# Planned operators
+
+
+@query("SELECT r_name, n_name FROM region CROSS JOIN nation")
+def cross_join(t):
+    return t.region.crossJoin(t.nation).select("r_name", "n_name")
+
+
+@query("SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') FULL JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON c_custkey = o_custkey")
+def full_join(t):
+    return t.customer.where("c_mktsegment = 'BUILDING'").join(t.orders.where("o_orderstatus = 'P'"), c("c_custkey") == c("o_custkey"), "full").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region)")
+def natural_join(t):
+    return R.natural_join(t.nation.select(c("n_regionkey").alias("k"), "n_name"), t.region.select(c("r_regionkey").alias("k"), "r_name"))
+
+
+@query("SELECT l_orderkey, l_linenumber, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_shipdate = o_orderdate")
+def multi_column_join(t):
+    return t.lineitem.join(t.orders, (c("l_orderkey") == c("o_orderkey")) & (c("l_shipdate") == c("o_orderdate"))).select("l_orderkey", "l_linenumber", "o_orderdate")
+
+
+@query("SELECT o_orderkey FROM orders WHERE (o_totalprice > 200000 OR o_orderstatus <> 'F') AND NOT (o_orderpriority = '5-LOW') AND o_custkey BETWEEN 10 AND 500")
+def rich_where(t):
+    return t.orders.where(((c("o_totalprice") > 200000) | (c("o_orderstatus") != "F")) & ~(c("o_orderpriority") == "5-LOW") & c("o_custkey").between(10, 500)).select("o_orderkey")
+
+
+@query("SELECT c_nationkey, any_value(c_nationkey + 1) AS next FROM customer GROUP BY c_nationkey")
+def any_value(t):
+    return t.customer.groupBy("c_nationkey").agg(F.any_value(c("c_nationkey") + 1).alias("next"))
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def intersect(t):
+    return t.customer.select(c("c_nationkey").alias("k")).intersect(t.supplier.select("s_nationkey"))
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+def intersect_all(t):
+    return t.customer.select(c("c_nationkey").alias("k")).intersectAll(t.supplier.select("s_nationkey"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+def top_n(t):
+    return t.orders.select("o_orderkey", "o_totalprice").orderBy(c("o_totalprice").desc(), "o_orderkey").limit(10)
+
+
+@query("WITH big AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey) SELECT c_name, round(s, 2) AS total FROM customer JOIN big ON c_custkey = o_custkey WHERE s > 1000000")
+def cte(t):
+    big = t.orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("s")).where("s > 1000000")
+    return t.customer.join(big, c("c_custkey") == c("o_custkey")).select("c_name", F.round("s", 2).alias("total"))
+
+
+@query("WITH RECURSIVE up(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM up WHERE n < 20) SELECT n, n * n AS square FROM up")
+def recursive_cte(t):
+    return t._spark.sql("WITH RECURSIVE up(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM up WHERE n < 20) SELECT n, n * n AS square FROM up")
+
+
+@query("SELECT n_nationkey, lpad(n_name, 12, '.') AS l, rpad(n_name, 12, '.') AS r, trim('  ' || n_name || ' ') AS t FROM nation")
+def lpad_rpad_trim(t):
+    return t.nation.select("n_nationkey", F.lpad("n_name", 12, ".").alias("l"), F.rpad("n_name", 12, ".").alias("r"), F.trim(F.concat(lit("  "), "n_name", lit(" "))).alias("t"))
+
+
+@query("SELECT doc_id, CAST(length(text) AS INT) AS chars, CAST(octet_length(encode(text)) AS INT) AS bytes FROM documents")
+def char_octet_length(t):
+    return t.documents.select("doc_id", F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"))
+
+
+@query("SELECT l_orderkey, l_linenumber, greatest(l_discount, l_tax) AS most, least(l_discount, l_tax) AS least_ FROM lineitem")
+def greatest_least(t):
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.greatest("l_discount", "l_tax").alias("most"), F.least("l_discount", "l_tax").alias("least_"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%'")
+def like_prefix(t):
+    return t.orders.where(c("o_orderpriority").like("1%")).select("o_orderkey")
+
+
+@query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+def select_distinct(t):
+    return t.orders.select("o_orderstatus", "o_orderpriority").distinct()
+
+
+@query("SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders")
+def window_rank(t):
+    return t.orders.select("o_orderkey", F.rank().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("place"))
