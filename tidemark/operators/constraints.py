@@ -20,3 +20,9 @@ def still_referenced(going: DataFrame, child: DataFrame, parent_key: str, child_
     """Rows about to be deleted that a child row refers to."""
     keys = child.select(F.col(child_key).alias("_child_key"))
     return going.join(keys, F.col(parent_key) == F.col("_child_key"), "left_semi")
+
+
+def lacking(going: DataFrame, staying: DataFrame, key: str) -> DataFrame:
+    """Rows that go and whose key no staying row has."""
+    keys = staying.select(F.col(key).alias("_staying_key"))
+    return going.join(keys, F.col(key) == F.col("_staying_key"), "left_anti")
