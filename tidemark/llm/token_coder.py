@@ -7,131 +7,138 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TMC1"
+MAGIC = b"TMC2"
 #: Ids of a block; every block starts with an empty model and has its own checksum.
 BLOCK = 4096
-#: Entries of the order-1 and order-2 tables of a block.
-SLOTS = 1 << 12
-#: Ids must be below 2 ** (WIDTHS - 1); escaped ids are coded as a bit width and the bits below the first.
+#: Bits of the places of a block's order-1 and order-2 tables.
+PLACES = (10, 11)
+#: Ids must be below 2 ** (WIDTHS - 1) - 1; what no order predicts is coded as a bit width and the bits below the first.
 WIDTHS = 18
-#: Counts of a confidence, and the step by which probabilities (of 65536) move: 1 / 2 ** RATE.
-CONFIDENCES, RATE = 4, 4
-SCALE = 16
-_LOW = np.uint64(0xFFFFFFFF)
+#: Probabilities are parts of 2 ** SCALE; they move by 1 / 2 ** RATE of the way.
+SCALE, RATE = 12, 5
+ONE = 1 << SCALE
+_U = np.uint64
+_WORD, _LOW32, _ROOM = _U(16), _U(0xFFFFFFFF), _U(48)
+_SHORT = _U(1 << 32)
+#: Where the bounds of the widths move once a width is seen.
+_PULL = np.array([[ONE if j > w else 0 for j in range(WIDTHS + 1)] for w in range(WIDTHS)], dtype=np.int16)
+_STEPS = np.arange(WIDTHS + 1, dtype=np.int32)
 
 
 class _Model:
-    """Predictions of order 2, 1 and 0 for one id in each of many blocks, and their adaptive trust."""
+    """What orders 2, 1 and 0 predict as the next id of each block, and how far each is trusted.
+
+    An entry of a table is an id and a confidence of 0 to 3. The trust in orders
+    2 and 1 depends on both confidences, so each of the 16 mixing contexts has
+    its own adaptive probabilities; order 0 predicts the id that a running vote
+    favours, and the widths of ids that no order predicts.
+    """
 
     def __init__(self, lanes: int):
-        self.row = np.arange(lanes)
-        self.table = [np.zeros((lanes, SLOTS), dtype=np.int32) for _ in range(2)]
-        self.sure = [np.zeros((lanes, SLOTS), dtype=np.int8) for _ in range(2)]
+        self.lanes = lanes
+        self.base = [np.arange(lanes, dtype=np.int64) << b for b in PLACES]
+        self.table = [np.zeros(lanes << b, dtype=np.int32) for b in PLACES]
+        self.context = np.arange(lanes, dtype=np.int64) << 4
+        first = np.repeat(np.array([40, 1200, 2400, 3200], dtype=np.int32), 4)
+        self.trust = [np.tile(np.tile(np.array([40, 800, 1600, 2400], dtype=np.int32), 4), lanes), np.tile(first, lanes)]
+        self.trust0 = np.full(lanes, 80, dtype=np.int32)
         self.common, self.votes = np.zeros(lanes, dtype=np.int32), np.zeros(lanes, dtype=np.int32)
-        start = np.array([200, 16000, 36000, 50000], dtype=np.int32)
-        self.trust = [np.tile(start, (lanes, 1)), np.tile(start // 2, (lanes, 1)), np.tile(np.array([100, 500, 1000, 2000], dtype=np.int32), (lanes, 1))]
-        self.width = np.full((lanes, WIDTHS), 8, dtype=np.int32)
-        self.one, self.two = np.zeros(lanes, dtype=np.int32), np.zeros(lanes, dtype=np.int32)
+        self.width = np.tile((np.arange(WIDTHS + 1) * ONE // WIDTHS).astype(np.int16), (lanes, 1))
+        self.rows = np.arange(lanes, dtype=np.int64) * (WIDTHS + 1)
+        self.one = self.two = np.zeros(lanes, dtype=np.uint32)
 
     def shrink(self, lanes: int) -> None:
-        """Go on with the first lanes only: the last block of a run is shorter than the others."""
-        for name in ("row", "common", "votes", "width", "one", "two"):
+        """Go on with the first lanes only: the last block of a run may be shorter than the others."""
+        for name in ("context", "trust0", "common", "votes", "width", "rows", "one", "two"):
             setattr(self, name, getattr(self, name)[:lanes])
-        for name in ("table", "sure", "trust"):
-            setattr(self, name, [x[:lanes] for x in getattr(self, name)])
-
-    def predict(self) -> np.ndarray:
-        """Upper bounds, of 65536, of the code space of: each predicted id, then each bit width."""
-        a = self.one.astype(np.uint32)
-        slot1 = ((a * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
-        slot2 = (((a * np.uint32(0x9E3779B1)) ^ (self.two.astype(np.uint32) * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35) >> np.uint32(20)).astype(np.int64)
-        self.slot = (slot2, slot1)
-        self.sure_now = [self.sure[k][self.row, self.slot[k]] for k in range(2)] + [np.minimum(self.votes >> 2, CONFIDENCES - 1)]
-        self.guess = [self.table[k][self.row, self.slot[k]] for k in range(2)] + [self.common]
-        rest = np.full(len(self.row), 1 << SCALE, dtype=np.int32)
-        bounds = np.empty((len(self.row), 3 + WIDTHS), dtype=np.int32)
-        at = np.zeros(len(self.row), dtype=np.int32)
-        for k in range(3):
-            p = self.trust[k][self.row, self.sure_now[k]]
-            part = (rest * (p >> 2)) >> 14
-            for before in self.guess[:k]:
-                part = np.where(before == self.guess[k], 0, part)
-            at = at + part
-            rest = rest - part
-            bounds[:, k] = at
-        spread = np.cumsum(self.width, axis=1, dtype=np.int32)
-        # Every width keeps one unit; what is left is dealt by count.
-        share = np.maximum(rest - WIDTHS, 0).astype(np.int64)[:, None] * spread // spread[:, -1:]
-        bounds[:, 3:] = at[:, None] + share.astype(np.int32) + np.arange(1, WIDTHS + 1, dtype=np.int32)
-        bounds[:, -1] = 1 << SCALE
-        return bounds
-
-    def update(self, ids: np.ndarray, symbol: np.ndarray) -> None:
-        seen = np.zeros(len(ids), dtype=bool)
-        for k in range(3):
-            hit = self.guess[k] == ids
-            old = self.trust[k][self.row, self.sure_now[k]]
-            moved = np.where(hit, np.minimum(old + ((65536 - old) >> RATE), 62000), np.maximum(old - (old >> RATE), 64))
-            self.trust[k][self.row, self.sure_now[k]] = np.where(seen, old, moved)
-            seen |= hit
-            if k < 2:
-                now = self.sure_now[k]
-                keep = hit | (now > 1)
-                self.sure[k][self.row, self.slot[k]] = np.where(hit, np.minimum(now + 1, CONFIDENCES - 1), np.where(keep, now - 1, 1))
-                self.table[k][self.row, self.slot[k]] = np.where(keep, self.guess[k], ids)
+        self.base, self.lanes = [b[:lanes] for b in self.base], lanes
+
+    def predict(self) -> None:
+        """Guesses of orders 1 and 2, and the upper bounds of the parts of orders 2, 1 and 0."""
+        spread = self.one * np.uint32(2654435761)
+        self.at = (
+            self.base[0] + (spread >> np.uint32(32 - PLACES[0])),
+            self.base[1] + (((spread ^ self.two) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - PLACES[1])),
+        )
+        self.entry = [self.table[k].take(self.at[k]) for k in (0, 1)]
+        self.guess = [e >> 2 for e in self.entry]
+        self.sure = [e & 3 for e in self.entry]
+        self.mix = self.context + ((self.sure[1] << 2) | self.sure[0])
+        self.now = [t.take(self.mix) for t in self.trust]
+        self.b2 = self.now[1]
+        self.b1 = self.b2 + (((ONE - self.b2) * self.now[0]) >> SCALE)
+        self.b0 = self.b1 + (((ONE - self.b1) * self.trust0) >> SCALE)
+
+    def bounds(self, width: np.ndarray) -> np.ndarray:
+        """The lower bound of a width; every width has a part of its own."""
+        return ((self.width.ravel().take(self.rows + width).astype(np.int32) * (ONE - WIDTHS)) >> SCALE) + width
+
+    def all_bounds(self) -> np.ndarray:
+        return ((self.width.astype(np.int32) * (ONE - WIDTHS)) >> SCALE) + _STEPS
+
+    def update(self, ids: np.ndarray, width: np.ndarray, escaped: np.ndarray) -> None:
+        hits = [g == ids for g in self.guess]
+        fresh = (ids << 2) | 1
+        for k in (0, 1):
+            hit, sure, entry = hits[k], self.sure[k], self.entry[k]
+            self.trust[k][self.mix] = self.now[k] + ((np.where(hit, ONE - 64, 16) - self.now[k]) >> RATE)
+            self.table[k][self.at[k]] = np.where(hit, entry + (sure < 3), np.where(sure > 1, entry - 1, fresh))
         same = self.common == ids
-        fall = ~same & (self.votes == 0)
-        self.votes = np.where(same, np.minimum(self.votes + 4, 60), np.where(fall, 4, self.votes - ~same))
+        self.trust0 = self.trust0 + ((np.where(same, ONE - 64, 16) - self.trust0) >> RATE)
+        fall = self.votes == 0
         self.common = np.where(fall, ids, self.common)
-        escaped = np.flatnonzero(symbol >= 3)
-        self.width[escaped, symbol[escaped] - 3] += 24
-        big = escaped[self.width[escaped].sum(axis=1) > 6000] if len(escaped) else escaped
-        if len(big):
-            self.width[big] = (self.width[big] >> 1) + 1
-        self.two, self.one = self.one, ids.astype(np.int32)
+        self.votes = np.where(same | fall, np.minimum(self.votes + 4, 60), self.votes - 1)
+        move = (_PULL.take(width, axis=0) - self.width) >> RATE
+        move *= escaped[:, None]
+        self.width = self.width + move
+        self.two, self.one = spread_two(self.one), ids.astype(np.uint32)
+
+
+def spread_two(ids: np.ndarray) -> np.ndarray:
+    return (ids + np.uint32(1)) * np.uint32(0x9E3779B1)
 
 
 def _width(ids: np.ndarray) -> np.ndarray:
-    """Bits of id + 1 without the first."""
-    return np.frexp((ids + 1).astype(np.float64))[1].astype(np.int32) - 1
+    """Bits of id + 1 below the first."""
+    return np.frexp((ids + 1).astype(np.float32))[1].astype(np.int64) - 1
 
 
 class _Encoder:
     """Range coders in step: 48-bit low and range, words of 16 bits, carries into what is written."""
 
     def __init__(self, lanes: int, words: int):
-        self.low, self.range = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 48) - 1, dtype=np.uint64)
-        self.out, self.at = np.zeros((lanes, words), dtype=np.uint16), np.zeros(lanes, dtype=np.int64)
-        self.lanes = lanes
+        self.low, self.range = np.zeros(lanes, dtype=_U), np.full(lanes, (1 << 48) - 1, dtype=_U)
+        self.out = np.zeros(lanes * words, dtype=np.uint16)
+        self.begin = np.arange(lanes, dtype=np.int64) * words
+        self.at = self.begin.copy()
 
-    def put(self, low: np.ndarray, high: np.ndarray, bits: np.ndarray | int, rows: np.ndarray | slice) -> None:
-        """Code the part low to high of 2 ** bits."""
-        unit = self.range[rows] >> np.uint64(bits) if np.isscalar(bits) else self.range[rows] >> bits
-        value, left = self.low[rows] + unit * low, unit * (high - low)
-        where = np.arange(self.lanes)[rows]
-        carry = where[value >> np.uint64(48) != 0]
-        value &= np.uint64((1 << 48) - 1)
-        at = self.at[carry] - 1
-        while len(carry):
-            self.out[carry, at] += np.uint16(1)
-            more = self.out[carry, at] == 0
-            carry, at = carry[more], at[more] - 1
-        short = left < np.uint64(1 << 32)
-        out = where[short]
-        self.out[out, self.at[out]] = (value[short] >> np.uint64(32)).astype(np.uint16)
-        self.at[out] += 1
-        self.low[rows] = np.where(short, (value & _LOW) << np.uint64(16), value)
-        self.range[rows] = np.where(short, left << np.uint64(16), left)
-
-    def flush(self) -> list[bytes]:
-        for shift in (32, 16, 0):
-            self.out[np.arange(len(self.at)), self.at] = ((self.low >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
-            self.at += 1
-        return [row[:n].astype("<u2").tobytes() for row, n in zip(self.out, self.at, strict=True)]
+    def narrow(self, n: int, bits, low: np.ndarray, part: np.ndarray) -> None:
+        """Of the first n coders, keep the part low .. low + part of 2 ** bits."""
+        unit = self.range[:n] >> bits
+        self.low[:n] += unit * low
+        self.range[:n] = unit * part
 
+    def settle(self, n: int) -> None:
+        """Carry, and write words until every range has room again."""
+        over = np.flatnonzero(self.low[:n] >> _ROOM)
+        if len(over):
+            self.low[over] &= _U((1 << 48) - 1)
+            at = self.at[over] - 1
+            while len(at):
+                self.out[at] += np.uint16(1)
+                at = at[self.out[at] == 0] - 1
+        while len(short := np.flatnonzero(self.range[:n] < _SHORT)):
+            low, at = self.low[short], self.at[short]
+            self.out[at] = (low >> _U(32)).astype(np.uint16)
+            self.at[short] = at + 1
+            self.low[short] = (low & _LOW32) << _WORD
+            self.range[short] <<= _WORD
 
-def _lanes_at(lengths: np.ndarray, step: int) -> int:
-    return int((lengths > step).sum())
+    def finish(self) -> list[bytes]:
+        for shift in (32, 16, 0):
+            self.out[self.at] = ((self.low >> _U(shift)) & _U(0xFFFF)).astype(np.uint16)
+            self.at += 1
+        return [self.out[a:b].astype("<u2").tobytes() for a, b in zip(self.begin.tolist(), self.at.tolist(), strict=True)]
 
 
 def encode_ids(ids: np.ndarray, block: int = BLOCK) -> bytes:
@@ -140,97 +147,115 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK) -> bytes:
     if n and (ids.min() < 0 or ids.max() >= (1 << (WIDTHS - 1)) - 1):
         raise ValueError("an id is out of range")
     lanes = -(-n // block)
+    if not lanes:
+        return b""
     grid = np.zeros(lanes * block, dtype=np.int32)
     grid[:n] = ids
     grid = grid.reshape(lanes, block)
-    lengths = np.minimum(block, n - np.arange(lanes) * block)
-    model, coder = _Model(lanes), _Encoder(lanes, 2 * block + 4)
-    for step in range(int(lengths.max(initial=0))):
-        live = _lanes_at(lengths, step)
-        if live < len(model.row):
-            model.shrink(live)
-        now, rows = grid[:live, step], slice(0, live)
-        bounds = model.predict()
+    columns, last = np.ascontiguousarray(grid.T), n - (lanes - 1) * block
+    model, coder = _Model(lanes), _Encoder(lanes, 3 * block + 8)
+    for step in range(block if lanes > 1 else last):
+        if step == last:
+            model.shrink(lanes - 1)
+        m = model.lanes
+        now = columns[step, :m]
+        model.predict()
+        hit2, hit1, hit0 = model.guess[1] == now, model.guess[0] == now, model.common == now
+        hit1 &= model.b1 > model.b2
+        hit0 &= model.b0 > model.b1
+        hit1 |= hit2
+        hit0 |= hit1
+        low = np.where(hit2, 0, np.where(hit1, model.b2, np.where(hit0, model.b1, model.b0)))
+        high = np.where(hit2, model.b2, np.where(hit1, model.b1, np.where(hit0, model.b0, ONE)))
+        coder.narrow(m, _U(SCALE), low.astype(_U), (high - low).astype(_U))
         width = _width(now)
-        symbol = np.where(now == model.guess[0], 0, np.where(now == model.guess[1], 1, np.where(now == model.guess[2], 2, 3 + width)))
-        high = bounds[model.row, symbol]
-        low = np.where(symbol > 0, bounds[model.row, symbol - 1], 0)
-        # A prediction whose part is empty can't be used; its id is escaped.
-        none = (symbol < 3) & (high == low)
-        if none.any():
-            symbol = np.where(none, 3 + width, symbol)
-            high, low = bounds[model.row, symbol], np.where(symbol > 0, bounds[model.row, symbol - 1], 0)
-        coder.put(low.astype(np.uint64), high.astype(np.uint64), SCALE, rows)
-        far = np.flatnonzero(symbol > 3)
-        if len(far):
-            bits = width[far].astype(np.uint64)
-            below = (now[far].astype(np.uint64) + np.uint64(1)) - (np.uint64(1) << bits)
-            coder.put(below, below + np.uint64(1), bits, far)
-        model.update(now, symbol)
+        low = np.where(hit0, 0, model.bounds(width))
+        part = np.where(hit0, ONE, model.bounds(width + 1)) - low
+        coder.narrow(m, _U(SCALE), low.astype(_U), part.astype(_U))
+        coder.settle(m)
+        bits = np.where(hit0, 0, width)
+        coder.narrow(m, bits.astype(_U), np.where(hit0, 0, now + 1 - (1 << width)).astype(_U), _U(1))
+        coder.settle(m)
+        model.update(now, width, ~hit0)
     frames = []
-    for row, length, code in zip(grid, lengths, coder.flush() if lanes else [], strict=True):
-        frames.append(MAGIC + struct.pack("<III", length, len(code), zlib.crc32(row[:length].astype("<u4").tobytes())) + code)
+    for k, code in enumerate(coder.finish()):
+        row = grid[k, : block if k < lanes - 1 else last]
+        frames.append(MAGIC + struct.pack("<III", len(row), len(code), zlib.crc32(row.astype("<u4").tobytes())) + code)
     return b"".join(frames)
 
 
-def decode_ids(data: bytes) -> np.ndarray:
-    """The ids of some frames; a wrong magic, length or checksum raises ValueError."""
+def read_frames(data: bytes) -> tuple[list[int], list[np.ndarray], list[int]]:
+    """Lengths, code words and checksums of the frames in data; damage to their form raises ValueError."""
     lengths, codes, sums, at = [], [], [], 0
     while at < len(data):
         if data[at : at + 4] != MAGIC or at + 16 > len(data):
             raise ValueError("not a block of ids")
         n, size, crc = struct.unpack_from("<III", data, at + 4)
-        if at + 16 + size > len(data):
+        if at + 16 + size > len(data) or size % 2:
             raise ValueError("a block of ids is cut off")
         lengths.append(n)
         codes.append(np.frombuffer(data, dtype="<u2", count=size // 2, offset=at + 16))
         sums.append(crc)
         at += 16 + size
+    return lengths, codes, sums
+
+
+def decode_ids(data: bytes) -> np.ndarray:
+    """The ids of some frames; a wrong magic, length or checksum raises ValueError."""
+    lengths, codes, sums = read_frames(data)
     if not lengths:
         return np.zeros(0, dtype=np.int32)
     order = np.argsort(-np.array(lengths), kind="stable")
     length = np.array(lengths)[order]
-    lanes, block = len(order), int(length[0])
-    code = np.zeros((lanes, max(map(len, codes)) + 4), dtype=np.uint16)
+    lanes, words = len(order), max(map(len, codes)) + 6
+    code = np.zeros((lanes, words), dtype=np.uint16)
     for row, k in enumerate(order):
         code[row, : len(codes[k])] = codes[k]
-    every = np.arange(lanes)
-    value = (code[:, 0].astype(np.uint64) << np.uint64(32)) | (code[:, 1].astype(np.uint64) << np.uint64(16)) | code[:, 2].astype(np.uint64)
-    span, pos = np.full(lanes, (1 << 48) - 1, dtype=np.uint64), np.full(lanes, 3)
-    model, grid = _Model(lanes), np.zeros((lanes, block), dtype=np.int32)
-
-    def take(rows, unit, low, part):
-        v, r = value[rows] - unit * low, unit * part
-        short = r < np.uint64(1 << 32)
-        where = every[rows]
-        word = code[where, np.minimum(pos[where], code.shape[1] - 1)].astype(np.uint64)
-        value[rows] = np.where(short, (v << np.uint64(16)) | word, v)
-        span[rows] = np.where(short, r << np.uint64(16), r)
-        pos[rows] += short
-
-    for step in range(block):
-        live = _lanes_at(length, step)
-        if live < len(model.row):
-            model.shrink(live)
-        rows = slice(0, live)
-        bounds = model.predict()
-        unit = span[rows] >> np.uint64(SCALE)
-        place = np.minimum(value[rows] // unit, np.uint64((1 << SCALE) - 1)).astype(np.int32)
-        symbol = (bounds <= place[:, None]).sum(axis=1)
-        symbol = np.minimum(symbol, 2 + WIDTHS)
-        high, low = bounds[model.row, symbol], np.where(symbol > 0, bounds[model.row, np.maximum(symbol - 1, 0)], 0)
-        take(rows, unit, low.astype(np.uint64), (high - low).astype(np.uint64))
-        ids = np.where(symbol == 0, model.guess[0], np.where(symbol == 1, model.guess[1], np.where(symbol == 2, model.guess[2], 0)))
-        far = np.flatnonzero(symbol > 3)
-        if len(far):
-            bits = (symbol[far] - 3).astype(np.uint64)
-            unit = span[far] >> bits
-            below = np.minimum(value[far] // unit, (np.uint64(1) << bits) - np.uint64(1))
-            take(far, unit, below, np.uint64(1))
-            ids[far] = (below + (np.uint64(1) << bits) - np.uint64(1)).astype(np.int32)
-        grid[rows, step] = ids
-        model.update(ids, symbol)
+    value = (code[:, 0].astype(_U) << _U(32)) | (code[:, 1].astype(_U) << _U(16)) | code[:, 2].astype(_U)
+    span, at = np.full(lanes, (1 << 48) - 1, dtype=_U), np.arange(lanes, dtype=np.int64) * words + 3
+    code = code.ravel()
+    end = len(code) - 1
+    model, columns = _Model(lanes), np.zeros((int(length[0]), lanes), dtype=np.int32)
+
+    def narrow(m, unit, low, part):
+        value[:m] -= unit * low
+        span[:m] = unit * part
+
+    def refill(m):
+        while len(short := np.flatnonzero(span[:m] < _SHORT)):
+            place = at[short]
+            value[short] = (value[short] << _WORD) | code[np.minimum(place, end)]
+            span[short] <<= _WORD
+            at[short] = place + 1
+
+    for step in range(int(length[0])):
+        m = int((length > step).sum()) if step >= length[-1] else lanes
+        if m < model.lanes:
+            model.shrink(m)
+        model.predict()
+        unit = span[:m] >> _U(SCALE)
+        place = np.minimum(value[:m] // unit, _U(ONE - 1)).astype(np.int32)
+        hit2, hit1, hit0 = place < model.b2, place < model.b1, place < model.b0
+        low = np.where(hit2, 0, np.where(hit1, model.b2, np.where(hit0, model.b1, model.b0)))
+        high = np.where(hit2, model.b2, np.where(hit1, model.b1, np.where(hit0, model.b0, ONE)))
+        narrow(m, unit, low.astype(_U), (high - low).astype(_U))
+        unit = span[:m] >> _U(SCALE)
+        place = np.minimum(value[:m] // unit, _U(ONE - 1)).astype(np.int32)
+        width = np.minimum((model.all_bounds() <= place[:, None]).sum(axis=1) - 1, WIDTHS - 1)
+        low = np.where(hit0, 0, model.bounds(width))
+        narrow(m, unit, low.astype(_U), (np.where(hit0, ONE, model.bounds(width + 1)) - low).astype(_U))
+        refill(m)
+        bits = np.where(hit0, 0, width).astype(_U)
+        unit = span[:m] >> bits
+        below = np.where(hit0, _U(0), np.minimum(value[:m] // unit, (_U(1) << bits) - _U(1)))
+        narrow(m, unit, below, _U(1))
+        refill(m)
+        escaped = below.astype(np.int32) + ((1 << width) - 1).astype(np.int32)
+        ids = np.where(hit2, model.guess[1], np.where(hit1, model.guess[0], np.where(hit0, model.common, escaped)))
+        columns[step, :m] = ids
+        model.update(ids, width, ~hit0)
     out: list = [None] * lanes
+    grid = np.ascontiguousarray(columns.T)
     for row, k in enumerate(order):
         out[k] = grid[row, : lengths[k]]
         if zlib.crc32(out[k].astype("<u4").tobytes()) != sums[k]:
