@@ -16,6 +16,8 @@ from tidemark.plans.scratch import Scratch
 WORDS = 4
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
+#: Hashes below this are counted over all documents, to put those of one document first among prefix tokens.
+LOW = np.uint64(1 << 62)
 #: Bits of a token bitmap.
 BITS = 2048
 #: A leaf holds about this many tokens and at most about this many documents; an upper node this many leaves.
@@ -152,23 +154,69 @@ def _leaf(members: pa.Array) -> dict:
     return {"id": members.field("cid").to_numpy(), "weight": members.field("weight").to_numpy(), "sets": sets, "bits": bits, "low": n, "high": n, "spare": n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)}
 
 
+def leading_tokens(value: np.ndarray, first: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix length, number of low tokens, and number of tokens to look at, of each set of ascending hashes.
+
+    Low tokens, those below LOW, come first in the order of prefixes, so all of
+    a set's are needed to know which of them no other set has; a set with too
+    few of them takes its next tokens as well.
+    """
+    n = np.diff(first)
+    low = np.concatenate([[0], np.cumsum(value < LOW)])[first]
+    low = np.diff(low)
+    prefix = prefix_lengths(n, percent)
+    return prefix, low, np.maximum(prefix, low)
+
+
 def _sketched(documents: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, digest and key of the word sequence, prefix, low, tokens; copies in one batch have tokens once."""
+
     def sketch(batches):
         for batch in batches:
             data, at = text_bytes(batch.column("text"))
+            seen: set[bytes] = set()
             for a, b in steps(at):
                 here = at[a : b + 1] - at[a]
                 words = Words(data[at[a] : at[b]], here, NOT_SPACE)
                 value, first = shingle_sets(words, b - a, size)
-                n = np.diff(first)
-                length = prefix_lengths(n, percent)
-                prefix = _ragged(value, first[:-1], length)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(prefix.view(np.int64)))
+                prefix, low, length = leading_tokens(value, first, percent)
+                digests = word_digests(words, here)
+                for i, d in enumerate(digests):
+                    if d in seen:
+                        length[i] = 0
+                    seen.add(d)
+                tokens = _ragged(value, first[:-1], length)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(tokens.view(np.int64)))
+                key = np.frombuffer(b"".join(d[:8] for d in digests), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(word_digests(words, here), type=pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "prefix"]
+                    [batch.column("doc_id").slice(a, b - a), pa.array(np.diff(first).astype(np.int64)), pa.array(digests, type=pa.binary()), pa.array(key), pa.array(prefix.astype(np.int64)), pa.array(low.astype(np.int64)), lists],
+                    names=["doc_id", "n_shingles", "digest", "key", "prefix", "low", "tokens"],
                 )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, prefix array<long>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, key long, prefix long, low long, tokens array<long>")
+
+
+def _meetings(first: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) between keys of sets that meet in a prefix token, each token's to its least key.
+
+    In the order of prefixes, low tokens that only one set has come first, then
+    the other low tokens, then the rest. The first kind meets nothing, so a set
+    with a whole prefix of them is done; others need only the remainder.
+    """
+    tokens = first.select("key", "prefix", "low", F.explode("tokens").alias("token"))
+    shared = scratch.table(tokens.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("token"), "shared")
+    high = ~F.col("token").between(0, int(LOW) - 1)
+    mine = (
+        tokens.join(shared.hint("merge"), "token")
+        .groupBy("key").agg(F.first("prefix").alias("prefix"), F.first("low").alias("low"), F.sort_array(F.collect_set(F.struct(high.alias("high"), "token"))).alias("have"))
+    )
+    own = F.col("low") - F.size(F.filter("have", lambda t: ~t["high"]))
+    ahead = scratch.table(mine.withColumn("need", (F.col("prefix") - own).cast("int")).where("need > 0").select("key", F.explode(F.slice("have", F.lit(1), F.col("need"))).alias("t")).select("key", "t.token"), "ahead")
+    scratch.drop(shared)
+    least = scratch.table(ahead.groupBy("token").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least != most").select("token", "least"), "least")
+    meets = scratch.table(ahead.join(least.hint("merge"), "token").where("key != least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct(), "meets")
+    scratch.drop(ahead, least)
+    return meets
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
@@ -199,9 +247,10 @@ def shingle_join(documents: DataFrame, scratch: Scratch, size: int = WORDS, perc
 
     Texts with one word sequence (A-Z lower-cased) become a class with a weight.
     Two sets that link share one of the first tokens of each in a fixed order
-    (all but percent of them, plus one), so classes that meet in no such token
-    need no further look; what such tokens connect is a family, found from the
-    least class at each token, never from pairs. Each family is a signature
+    (all but percent of them, plus one). That order puts tokens that no other
+    set has first, as far as a quarter of the hash range is counted, so most
+    sets are done at once. What the others' tokens connect is a family, found
+    from the least class at each token, never from pairs. Each family is a signature
     tree: documents are its lowest nodes, leaves hold documents that share their
     least token, upper nodes hold leaves, and every node has the OR of the token
     bitmaps below it and the range of their set sizes. Node pairs are traversed
@@ -218,18 +267,14 @@ def shingle_join(documents: DataFrame, scratch: Scratch, size: int = WORDS, perc
     an empty result; extra columns are ignored.
     """
     first = scratch.table(_sketched(documents, size, percent).withColumn("uid", F.monotonically_increasing_id()), "sketched")
-    rows = scratch.table(first.drop("prefix"), "rows")
-    classes = scratch.table(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("least_id"), F.count("*").alias("weight")), "classes")
-    prefixes = scratch.table(first.select(F.col("uid").alias("cid"), "prefix").join(classes.select("cid").hint("merge"), "cid", "left_semi"), "prefixes")
+    rows = scratch.table(first.select("uid", "doc_id", "n_shingles", "digest", "key"), "rows")
+    meets = _meetings(first, scratch)
     scratch.drop(first)
-    tokens = prefixes.select("cid", F.explode("prefix").alias("token"))
-    shared = scratch.table(tokens.groupBy("token").agg(F.min("cid").alias("least"), F.count("*").alias("n")).where("n > 1").select("token", "least"), "shared")
-    meets = scratch.table(tokens.join(shared.hint("merge"), "token").where("cid != least").select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct(), "meets")
-    scratch.drop(prefixes, shared)
     families = connected_components(meets, scratch)
     scratch.drop(meets)
+    classes = scratch.table(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("least_id"), F.count("*").alias("weight"), F.first("key").alias("key")), "classes")
     wanted = scratch.table(
-        families.select(F.col("node").alias("cid"), F.col("comp").alias("fam")).join(classes, "cid").join(rows.select(F.col("uid").alias("cid"), F.col("doc_id").alias("row_id")), "cid"), "wanted"
+        families.select(F.col("node").alias("key"), F.col("comp").alias("fam")).join(classes, "key").join(rows.select(F.col("uid").alias("cid"), F.col("doc_id").alias("row_id")), "cid"), "wanted"
     )
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("row_id")))
     sets = scratch.table(_sets(texts, size).dropDuplicates(["cid"]), "sets")
