@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -31,7 +32,7 @@ class ChunkStore:
         total = int(old + lengths.sum())
         if total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(total, 2 * len(self.ids)) - len(self.ids), dtype=np.int32)])
-        self.ids[old:total] = np.concatenate([np.asarray(r, dtype=np.int32) for r in runs]) if total > old else 0
+        self.ids[old:total] = np.fromiter(chain.from_iterable(runs), dtype=np.int32, count=total - old)
         self.number.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new)), strict=True))
         self.ends = np.concatenate([self.ends, old + np.cumsum(lengths)])
 

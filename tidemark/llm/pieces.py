@@ -19,6 +19,7 @@ STEP_CELLS, MOST_PAIRS = 1 << 20, 6_000_000
 #: Texts of about this many characters are encoded at a time.
 STEP_CHARS = 1 << 21
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_SHIFT = np.uint64(44)
 
 
 class PieceTable:
@@ -50,6 +51,9 @@ class PieceTable:
             keys[which] = self._hashes(chars.astype(np.uint64))(0, n)
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], ids[order]
+        #: Whether any key begins with these bits, to pass over most substrings.
+        self.begins = np.zeros(1 << 20, dtype=bool)
+        self.begins[(self.keys >> _SHIFT).astype(np.int64)] = True
         self.pairs, self.pair_fits = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
         self.usable = np.ones(self.size, dtype=bool)
         if kind == "bpe":
@@ -91,8 +95,13 @@ class PieceTable:
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
         """Piece ids of substring hashes, -1 where there is none."""
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.key_ids[at], -1)
+        out = np.full(keys.shape, -1, dtype=np.int64)
+        maybe = np.flatnonzero(self.begins.take((keys >> _SHIFT).astype(np.int64)))
+        some = keys[maybe]
+        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+        here = self.keys[at] == some
+        out[maybe[here]] = self.key_ids[at[here]]
+        return out
 
     def _merge(self, words: list[str]):
         """Encodings by merging, words of one length together: for each length the words' places, and cuts and their number for each."""
