@@ -147,11 +147,12 @@ def _nodes(members: pa.Array) -> dict:
 
 
 def _leaf(members: pa.Array) -> dict:
-    """The documents of a leaf, as its lowest nodes."""
-    sets = [np.frombuffer(s, dtype=np.uint64) for s in members.field("tokens").to_pylist()]
+    """The documents of a leaf, as its lowest nodes, each class once: rows that repeat a doc_id may bring it twice."""
+    ids, once = np.unique(members.field("cid").to_numpy(), return_index=True)
+    sets = [np.frombuffer(members.field("tokens")[int(k)].as_py(), dtype=np.uint64) for k in once]
     bits = np.stack([bitmap_of(s) for s in sets])
     n = np.array([len(s) for s in sets], dtype=np.int64)
-    return {"id": members.field("cid").to_numpy(), "weight": members.field("weight").to_numpy(), "sets": sets, "bits": bits, "low": n, "high": n, "spare": n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)}
+    return {"id": ids, "weight": members.field("weight").to_numpy()[once], "sets": sets, "bits": bits, "low": n, "high": n, "spare": n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)}
 
 
 def leading_tokens(value: np.ndarray, first: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,16 +204,20 @@ def _meetings(first: DataFrame, scratch: Scratch) -> DataFrame:
     the other low tokens, then the rest. The first kind meets nothing, so a set
     with a whole prefix of them is done; others need only the remainder.
     """
-    tokens = first.select("key", "prefix", "low", F.explode("tokens").alias("token"))
+    tokens = first.select("key", F.explode("tokens").alias("token"))
+    lengths = first.groupBy("key").agg(F.first("prefix").alias("prefix"), F.first("low").alias("low"))
     shared = scratch.table(tokens.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("token"), "shared")
+    scratch.release()
     high = ~F.col("token").between(0, int(LOW) - 1)
     mine = (
         tokens.join(shared.hint("merge"), "token")
-        .groupBy("key").agg(F.first("prefix").alias("prefix"), F.first("low").alias("low"), F.sort_array(F.collect_set(F.struct(high.alias("high"), "token"))).alias("have"))
+        .groupBy("key").agg(F.sort_array(F.collect_set(F.struct(high.alias("high"), "token"))).alias("have"))
+        .join(lengths, "key")
     )
     own = F.col("low") - F.size(F.filter("have", lambda t: ~t["high"]))
     ahead = scratch.table(mine.withColumn("need", (F.col("prefix") - own).cast("int")).where("need > 0").select("key", F.explode(F.slice("have", F.lit(1), F.col("need"))).alias("t")).select("key", "t.token"), "ahead")
     scratch.drop(shared)
+    scratch.release()
     least = scratch.table(ahead.groupBy("token").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least != most").select("token", "least"), "least")
     meets = scratch.table(ahead.join(least.hint("merge"), "token").where("key != least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct(), "meets")
     scratch.drop(ahead, least)
@@ -277,9 +282,11 @@ def shingle_join(documents: DataFrame, scratch: Scratch, size: int = WORDS, perc
         families.select(F.col("node").alias("key"), F.col("comp").alias("fam")).join(classes, "key").join(rows.select(F.col("uid").alias("cid"), F.col("doc_id").alias("row_id")), "cid"), "wanted"
     )
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("row_id")))
-    sets = scratch.table(_sets(texts, size).dropDuplicates(["cid"]), "sets")
+    sets = scratch.table(_sets(texts, size), "sets")
+    scratch.release()
     leaves, heads = _plant(sets, scratch)
     scratch.drop(sets)
+    scratch.release()
     links = _traverse(leaves, heads, scratch, percent)
     counts = links.groupBy("cid").agg(F.sum("n").alias("n"))
     comps = connected_components(links.select(F.col("cid").alias("a"), F.col("root").alias("b")).distinct(), scratch)
@@ -293,7 +300,7 @@ def shingle_join(documents: DataFrame, scratch: Scratch, size: int = WORDS, perc
 
 
 def _plant(sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Leaves (leaf, fam, docs) and their heads (leaf, fam, node, bits, low, high, spare)."""
+    """Leaves (leaf, fam, node, alone, docs) and the heads of those that aren't alone (leaf, fam, node, bits, low, high, spare)."""
     parts = lambda: F.ceil(F.greatest(F.sum("n") / LEAF_TOKENS, F.count("*") / LEAF_ROWS))
     per_family = scratch.table(sets.groupBy("fam").agg(parts().alias("buckets")), "families")
     dealt = sets.join(per_family, "fam").withColumn("bucket", F.pmod(F.xxhash64("least"), F.col("buckets")))
@@ -301,8 +308,8 @@ def _plant(sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     leaves = scratch.table(
         dealt.join(per_bucket, ["fam", "bucket"])
         .groupBy("fam", "bucket", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"))
-        .agg(F.collect_list(F.struct("cid", "weight", "tokens")).alias("docs"), F.first("buckets").alias("buckets"))
-        .select(F.monotonically_increasing_id().alias("leaf"), "fam", F.pmod(F.col("bucket"), F.ceil(F.col("buckets") / NODE_LEAVES)).alias("node"), "docs"),
+        .agg(F.collect_list(F.struct("cid", "weight", "tokens")).alias("docs"), F.first("buckets").alias("buckets"), F.first("parts").alias("parts"))
+        .select(F.monotonically_increasing_id().alias("leaf"), "fam", ((F.col("buckets") == 1) & (F.col("parts") == 1)).alias("alone"), F.pmod(F.col("bucket"), F.ceil(F.col("buckets") / NODE_LEAVES)).alias("node"), "docs"),
         "leaves",
     )
 
@@ -314,7 +321,7 @@ def _plant(sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
                 names=["leaf", "fam", "node", "bits", "low", "high", "spare"],
             )
 
-    return leaves, scratch.table(leaves.mapInArrow(summarise, "leaf long, fam long, node long, bits binary, low long, high long, spare long"), "heads")
+    return leaves, scratch.table(leaves.where("not alone").mapInArrow(summarise, "leaf long, fam long, node long, bits binary, low long, high long, spare long"), "heads")
 
 
 def _traverse(leaves: DataFrame, heads: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
@@ -332,20 +339,31 @@ def _traverse(leaves: DataFrame, heads: DataFrame, scratch: Scratch, percent: in
                 ids_a, ids_b = (x.field("leaf").to_numpy() for x in below)
                 close = may_link(a, b, percent)
                 if batch.column("node_a")[i] == batch.column("node_b")[i]:
-                    close &= ids_a[:, None] <= ids_b[None, :]
+                    close &= ids_a[:, None] < ids_b[None, :]
                 x, y = np.nonzero(close)
                 yield pa.RecordBatch.from_arrays([pa.array(ids_a[x]), pa.array(ids_b[y])], names=["a", "b"])
 
     pairs = scratch.table(left.join(right, "fam").where("node_a <= node_b").mapInArrow(descend, "a long, b long"), "pairs")
-    sided = pairs.join(leaves.select(F.col("leaf").alias("a"), F.col("docs").alias("docs_a")), "a").join(leaves.select(F.col("leaf").alias("b"), F.col("docs").alias("docs_b")), "b")
+    crowded = leaves.where("not alone")
+    sided = pairs.join(crowded.select(F.col("leaf").alias("a"), F.col("docs").alias("docs_a")), "a").join(crowded.select(F.col("leaf").alias("b"), F.col("docs").alias("docs_b")), "b")
+    found = "cid long, n long, root long"
+
+    def batch_of(r):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in r], names=["cid", "n", "root"])
 
     def compare(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                same = batch.column("a")[i] == batch.column("b")[i]
-                a = _leaf(batch.column("docs_a")[i].values)
-                b = a if same else _leaf(batch.column("docs_b")[i].values)
-                if (r := compare_leaves(a, b, same, percent)) is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in r], names=["cid", "n", "root"])
+                if (r := compare_leaves(*(_leaf(batch.column(f"docs_{s}")[i].values) for s in "ab"), False, percent)) is not None:
+                    yield batch_of(r)
 
-    return scratch.table(sided.select("a", "b", "docs_a", "docs_b").mapInArrow(compare, "cid long, n long, root long"), "links")
+    def compare_within(batches):
+        for batch in batches:
+            for docs in batch.column("docs"):
+                leaf = _leaf(docs.values)
+                if (r := compare_leaves(leaf, leaf, True, percent)) is not None:
+                    yield batch_of(r)
+
+    within = scratch.table(leaves.select("docs").mapInArrow(compare_within, found), "within")
+    across = scratch.table(sided.select("docs_a", "docs_b").mapInArrow(compare, found), "across")
+    return within.union(across)
