@@ -388,3 +388,33 @@ def select_distinct(t):
 @query("SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders")
 def window_rank(t):
     return t.orders.select("o_orderkey", F.rank().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("place"))
+
+# The same operators through the engine's own SQL: dialect text, and SQL for the comparison
+
+
+def statement(name: str, text: str, sql: str, compat: bool = False) -> None:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        from tidemark.engine import Engine
+        from tidemark.sql.planner import COMPAT, TYPED
+
+        return Engine(spark, COMPAT if compat else TYPED).query_tables(text, folder)
+
+    QUERIES[name], ORACLE_SQL[name] = run, sql
+
+
+statement("sql_filter_and", "SELECT o_orderkey, o_custkey AS buyer FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'", "SELECT o_orderkey, o_custkey AS buyer FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'")
+statement("sql_filter_compat", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'building'", "SELECT c_custkey FROM customer WHERE upper(coalesce(c_mktsegment, '')) = 'BUILDING'", compat=True)
+statement(
+    "sql_three_tables", "SELECT c.c_custkey, n.n_name, r.r_name FROM customer c INNER JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT OUTER JOIN region r ON r.r_regionkey = n.n_regionkey WITH (NOLOCK)",
+    "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON r_regionkey = n_regionkey",
+)
+statement(
+    "sql_group_having", "SELECT c.c_custkey, COUNT(*) AS n, MAX(o_orderdate) AS last FROM customer c INNER JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_custkey HAVING COUNT(*) > 5 ORDER BY n DESC, c_custkey",
+    "SELECT c_custkey, CAST(count(*) AS BIGINT) AS n, max(o_orderdate) AS last FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey HAVING count(*) > 5",
+)
+statement("sql_in_subquery", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_orderstatus = 'F'", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_orderstatus = 'F'")
+statement("sql_exists", "SELECT s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey)", "SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey)")
+statement("sql_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT * FROM orders o WHERE o.o_custkey = c.c_custkey)", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+statement("sql_scalar_count", "SELECT c_custkey, (SELECT COUNT(*) FROM orders o WHERE o.o_custkey = c.c_custkey) AS n FROM customer c", "SELECT c_custkey, CAST((SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS BIGINT) AS n FROM customer")
+statement("sql_aggregate_all", "SELECT COUNT(*), MIN(l_shipdate), MAX(l_quantity) AS most FROM lineitem", """SELECT CAST(count(*) AS BIGINT) AS "COUNT_*", min(l_shipdate) AS "MIN_l_shipdate", max(l_quantity) AS most FROM lineitem""")
+statement("sql_compat_numbers", "SELECT p_brand, COUNT(*) AS n, MIN(p_size) AS low, MAX(p_size) AS high FROM part GROUP BY p_brand", "SELECT p_brand, CAST(count(*) AS BIGINT) AS n, CAST(min(p_size) AS VARCHAR) AS low, CAST(max(p_size) AS VARCHAR) AS high FROM part GROUP BY p_brand", compat=True)

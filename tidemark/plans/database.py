@@ -39,6 +39,7 @@ class Table:
     next_row_id: int = 0
     active: int = 0
     deleted: int = 0
+    streams: dict[str, int] = field(default_factory=dict)
 
     @property
     def keyed(self) -> bool:
@@ -261,10 +262,16 @@ class Database:
         values = self.spark.createDataFrame(padded, Types.StructType([Types.StructField(n, Types.StringType()) for n in names]))
         return self.append(s.table, values)
 
-    def append(self, name: str, values: DataFrame) -> tuple[int, list[str]]:
-        """Rows of a DataFrame, whose columns are converted as texts are; any size."""
+    def append(self, name: str, values: DataFrame, stamp: tuple[str, int] | None = None) -> tuple[int, list[str]]:
+        """Rows of a DataFrame, whose columns are converted as texts are; any size.
+
+        A stamp is a stream and the number of its batch; one that isn't beyond
+        the stream's last number has been appended before.
+        """
         with self.lock:
             table = self.table(name)
+            if stamp and stamp[1] <= table.streams.get(stamp[0], -1):
+                return 0, []
             version = self.version + 1
             texts = values.select([F.col(f"`{c}`").cast("string").alias(table.column(c).name) for c in values.columns])
             typed, warnings = self._converted(table, texts, texts.columns)
@@ -285,6 +292,7 @@ class Database:
             n = added.count()
             table.parts.append(part)
             table.next_row_id, table.active = table.next_row_id + n, table.active + n
+            table.streams |= dict([stamp]) if stamp else {}
             self._publish(version, table)
             return n, warnings
 

@@ -1 +1 @@
-"""Part of tidemark."""
+"""Streams into database tables."""
