@@ -9,10 +9,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Labelled documents of each class from which the dictionaries and the calibration are made, by smallest hash.
+#: Labelled documents of each class from which the dictionaries and the calibration are made, by smallest hash of the id.
 SAMPLE_PER_CLASS = 3000
 #: Longer documents are left out of that sample, to bound it in bytes.
-SAMPLE_BYTES = 1 << 15
+SAMPLE_BYTES = 1 << 14
 DICTIONARY_BYTES = 1 << 17
 #: Texts are compressed in blocks of this many bytes, so that a long text can't become its own dictionary.
 BLOCK_BYTES = 512
@@ -81,11 +81,14 @@ def fit_quality(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_PE
     texts and texts over SAMPLE_BYTES take no part. Without labels of both
     classes every text scores the smoothed share of good ones.
     """
-    known = labels.where(F.col("quality").isin(0, 1)).where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("y")).distinct()
-    rows = known.join(documents.select("doc_id", "text"), "doc_id").where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
-    rows = rows.select("y", "text", F.xxhash64("doc_id", "text").alias("h"))
-    picked = {y: sorted(rows.where(F.col("y") == y).orderBy("h", "text").limit(sample).collect(), key=lambda r: (r["h"], r["text"])) for y in (0, 1)}
-    n = {y: known.where(F.col("y") == y).count() for y in (0, 1)}
+    known = labels.where(F.col("quality").isin(0, 1)).where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("labelled"), F.col("quality").alias("y")).distinct()
+    n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("labelled"), "labelled").limit(sample) for y in (0, 1)]
+    # At most 2 * sample ids: small enough to send everywhere, so that the texts needn't be shuffled.
+    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).join(F.broadcast(drawn[0].union(drawn[1])), F.col("doc_id") == F.col("labelled"))
+    found = sorted(rows.select("y", "text", F.xxhash64("doc_id", "text").alias("h")).collect(), key=lambda r: (r["h"], r["text"]))
+    picked = {y: [r for r in found if r["y"] == y] for y in (0, 1)}
+    n = {y: n.get(y, 0) for y in (0, 1)}
     base = float(np.log((n[1] + 1) / (n[0] + 1)))
     if len(picked[0]) < 4 or len(picked[1]) < 4:
         return CompressionClassifier(b"", b"", 0.0, base)

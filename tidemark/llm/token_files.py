@@ -23,12 +23,17 @@ END_ID = 2
 #: Where a text may be cut before tokenizing: before spaces that follow a character that isn't white space.
 #: The vocabulary's own splitting pattern always begins anew there.
 CUT = re.compile(r"(?<=\S)(?= )")
+#: The same cuts where no other white space stands before a space.
+RUN = re.compile(r" *[^ ]+| +")
+OTHER_SPACE = re.compile(r"[^\S ] ")
 
 SEGMENT = "part int, seq long, n_ids long, doc_ids array<long>, lengths array<int>, frames binary"
 
 
 def pieces_of(text: str) -> list[str]:
-    return CUT.split(text) if text else []
+    if OTHER_SPACE.search(text):
+        return CUT.split(text)
+    return RUN.findall(text)
 
 
 class Tokens:
