@@ -16,8 +16,6 @@ from tidemark.plans.scratch import Scratch
 WORDS = 4
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Hashes below this are counted over all documents, to put those of one document first among prefix tokens.
-LOW = np.uint64(1 << 62)
 #: Bits of a token bitmap.
 BITS = 2048
 #: A leaf holds about this many tokens and at most about this many documents; an upper node this many leaves.
@@ -155,15 +153,23 @@ def _leaf(members: pa.Array) -> dict:
     return {"id": ids, "weight": members.field("weight").to_numpy()[once], "sets": sets, "bits": bits, "low": n, "high": n, "spare": n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)}
 
 
+def low_bound(percent: int) -> int:
+    """Hashes below this are low: counted over all documents, to put those of one document first among prefix tokens.
+
+    The low tokens of a set are 5 / 3 of its prefix on average.
+    """
+    return min(1 << 63, (1 << 64) * (100 - percent) // 60)
+
+
 def leading_tokens(value: np.ndarray, first: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Prefix length, number of low tokens, and number of tokens to look at, of each set of ascending hashes.
 
-    Low tokens, those below LOW, come first in the order of prefixes, so all of
+    Low tokens, those below low_bound, come first in the order of prefixes, so all of
     a set's are needed to know which of them no other set has; a set with too
     few of them takes its next tokens as well.
     """
     n = np.diff(first)
-    low = np.concatenate([[0], np.cumsum(value < LOW)])[first]
+    low = np.concatenate([[0], np.cumsum(value < np.uint64(low_bound(percent)))])[first]
     low = np.diff(low)
     prefix = prefix_lengths(n, percent)
     return prefix, low, np.maximum(prefix, low)
@@ -197,7 +203,7 @@ def _sketched(documents: DataFrame, size: int, percent: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, key long, prefix long, low long, tokens array<long>")
 
 
-def _meetings(first: DataFrame, scratch: Scratch) -> DataFrame:
+def _meetings(first: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Edges (a, b) between keys of sets that meet in a prefix token, each token's to its least key.
 
     In the order of prefixes, low tokens that only one set has come first, then
@@ -208,7 +214,7 @@ def _meetings(first: DataFrame, scratch: Scratch) -> DataFrame:
     lengths = first.groupBy("key").agg(F.first("prefix").alias("prefix"), F.first("low").alias("low"))
     shared = scratch.table(tokens.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("token"), "shared")
     scratch.release()
-    high = ~F.col("token").between(0, int(LOW) - 1)
+    high = ~F.col("token").between(0, low_bound(percent) - 1)
     mine = (
         tokens.join(shared.hint("merge"), "token")
         .groupBy("key").agg(F.sort_array(F.collect_set(F.struct(high.alias("high"), "token"))).alias("have"))
@@ -273,7 +279,7 @@ def shingle_join(documents: DataFrame, scratch: Scratch, size: int = WORDS, perc
     """
     first = scratch.table(_sketched(documents, size, percent).withColumn("uid", F.monotonically_increasing_id()), "sketched")
     rows = scratch.table(first.select("uid", "doc_id", "n_shingles", "digest", "key"), "rows")
-    meets = _meetings(first, scratch)
+    meets = _meetings(first, scratch, percent)
     scratch.drop(first)
     families = connected_components(meets, scratch)
     scratch.drop(meets)
