@@ -24,8 +24,8 @@ def test_coder_round_trip(ids, block):
 def test_coder_blocks_are_independent_and_checked():
     rng = np.random.default_rng(1)
     ids = np.concatenate([np.tile(rng.integers(0, 50_000, 60), 200), rng.integers(0, 50_000, 2 * BLOCK + 7), np.full(BLOCK, 9)])
-    data = encode_ids(ids)
-    assert (decode_ids(data) == ids).all() and len(encode_ids(ids[:12_000])) < 4000
+    data = encode_ids(ids, BLOCK)
+    assert (decode_ids(data) == ids).all() and (decode_ids(encode_ids(ids)) == ids).all() and len(encode_ids(ids[:12_000], BLOCK)) < 4000
     n, size, _ = struct.unpack_from("<III", data, 4)
     assert n == BLOCK and (decode_ids(data[16 + size :]) == ids[BLOCK:]).all()
     for bad in (b"x" + data[1:], data[:-1], data[:40] + bytes([data[40] ^ 255]) + data[41:]):

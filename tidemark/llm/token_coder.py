@@ -8,8 +8,10 @@ import zlib
 import numpy as np
 
 MAGIC = b"TMC2"
-#: Ids of a block; every block starts with an empty model and has its own checksum.
+#: Most ids of a block; every block starts with an empty model and has its own checksum.
 BLOCK = 4096
+#: Blocks that a run of ids should have if that leaves them LEAST_BLOCK ids, as blocks advance together.
+LANES, LEAST_BLOCK = 512, 512
 #: Bits of the places of a block's order-1 and order-2 tables.
 PLACES = (10, 11)
 #: Ids must be below 2 ** (WIDTHS - 1) - 1; what no order predicts is coded as a bit width and the bits below the first.
@@ -141,9 +143,10 @@ class _Encoder:
         return [self.out[a:b].astype("<u2").tobytes() for a, b in zip(self.begin.tolist(), self.at.tolist(), strict=True)]
 
 
-def encode_ids(ids: np.ndarray, block: int = BLOCK) -> bytes:
+def encode_ids(ids: np.ndarray, block: int | None = None) -> bytes:
     """Frames of consecutive blocks: magic, ids, bytes and crc32 of the ids (little-endian 32-bit), then the code."""
     n = len(ids)
+    block = block or min(BLOCK, max(LEAST_BLOCK, n // LANES))
     if n and (ids.min() < 0 or ids.max() >= (1 << (WIDTHS - 1)) - 1):
         raise ValueError("an id is out of range")
     lanes = -(-n // block)
