@@ -207,17 +207,18 @@ def _meetings(first: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Edges (a, b) between keys of sets that meet in a prefix token, each token's to its least key.
 
     In the order of prefixes, low tokens that only one set has come first, then
-    the other low tokens, then the rest. The first kind meets nothing, so a set
-    with a whole prefix of them is done; others need only the remainder.
+    the other low tokens, the rarer before the more frequent, then the rest. The
+    first kind meets nothing, so a set with a whole prefix of them is done; others
+    need only the remainder, in which passages that many documents share come last.
     """
     tokens = first.select("key", F.explode("tokens").alias("token"))
     lengths = first.groupBy("key").agg(F.first("prefix").alias("prefix"), F.first("low").alias("low"))
-    shared = scratch.table(tokens.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("token"), "shared")
+    shared = scratch.table(tokens.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("token", "n"), "shared")
     scratch.release()
     high = ~F.col("token").between(0, low_bound(percent) - 1)
     mine = (
         tokens.join(shared.hint("merge"), "token")
-        .groupBy("key").agg(F.sort_array(F.collect_set(F.struct(high.alias("high"), "token"))).alias("have"))
+        .groupBy("key").agg(F.sort_array(F.collect_set(F.struct(high.alias("high"), "n", "token"))).alias("have"))
         .join(lengths, "key")
     )
     own = F.col("low") - F.size(F.filter("have", lambda t: ~t["high"]))
