@@ -258,9 +258,9 @@ def scalar_max(t):
     return R.with_scalar(t.customer, t.orders, "c_custkey", "o_custkey", F.max("o_orderpriority"), "last", empty="").select("c_custkey", "last")
 
 
-@query("SELECT c_custkey, (SELECT round(avg(o_totalprice), 4) FROM orders WHERE o_custkey = c_custkey) AS mean FROM customer")
+@query("SELECT c_custkey, (SELECT round(sum(o_totalprice), 2) / count(*) FROM orders WHERE o_custkey = c_custkey) AS mean FROM customer")
 def scalar_avg(t):
-    return R.with_scalar(t.customer, t.orders, "c_custkey", "o_custkey", F.round(F.avg("o_totalprice"), 4), "mean").select("c_custkey", "mean")
+    return R.with_scalar(t.customer, t.orders, "c_custkey", "o_custkey", F.round(F.sum("o_totalprice"), 2) / F.count("*"), "mean").select("c_custkey", "mean")
 
 
 # Constraints and changes
