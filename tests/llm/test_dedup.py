@@ -167,3 +167,45 @@ def test_recall_near_the_threshold():
     x, y = turn.codes(a), turn.codes(near)
     hit = (np.bitwise_count(tables.keys(x) ^ tables.keys(y)) <= 1).any(axis=0) & (np.bitwise_count(x ^ y) <= 24)
     assert hit.mean() >= 0.9
+
+
+def pairs_near_the_threshold(rng, n, dim, common):
+    """Unit vectors and partners of cosine 0.90 to 0.91; with a common direction both share it, at a mean cosine of 0.5."""
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    mean = unit(rng.standard_normal((1, dim))) * (0.5**0.5 if common else 0.0)
+
+    def own(m):
+        return unit(m - (m @ unit(mean).T) * unit(mean)) if common else unit(m)
+
+    a = own(rng.standard_normal((n, dim)))
+    b = own(rng.standard_normal((n, dim)))
+    b = unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    cosine, shared = rng.uniform(0.90, 0.91, size=(n, 1)), (mean * mean).sum()
+    c = (cosine - shared) / (1 - shared)
+    long = np.sqrt(1 - shared)
+    a, b = mean + long * a, mean + long * (c * a + np.sqrt(1 - c * c) * b)
+    assert np.allclose((a * b).sum(axis=1, keepdims=True), cosine)
+    return a, b
+
+
+@pytest.mark.parametrize("dim", [16, 32, 64])
+@pytest.mark.parametrize("common", [False, True])
+def test_recall_at_every_size(dim, common):
+    from tidemark.llm.embedding_dedup import choose_index
+
+    rng = np.random.default_rng(8)
+    a, b = pairs_near_the_threshold(rng, 6000, dim, common)
+    for rows in (1000, 50_000, 200_000, 1_500_000):
+        index = choose_index(a[:4000], rows)
+        met = (index.keys(a[4000:]) == index.keys(b[4000:])).any(axis=0) if index.tables.width else np.ones(2000, dtype=bool)
+        assert met.mean() >= 0.93, rows
+
+
+@pytest.mark.parametrize("common", [False, True])
+def test_links_near_the_threshold(spark, scratch, common):
+    """16 components and many rows: one code has no room for several wide tables."""
+    a, b = pairs_near_the_threshold(np.random.default_rng(9), 12_000, 16, common)
+    vectors = [*a.tolist(), *b[:2000].tolist()]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in near_duplicate_vectors(df, scratch).collect()}
+    assert len(got) == len(vectors) and sum(got[k] == got[len(a) + k] for k in range(2000)) >= 0.9 * 2000

@@ -1,4 +1,4 @@
-"""Near-duplicate embeddings: learned rotation, binary codes, multi-index Hamming tables, exact rerank."""
+"""Near-duplicate embeddings: learned rotations, binary codes, multi-index Hamming tables, exact rerank."""
 
 from __future__ import annotations
 
@@ -17,11 +17,16 @@ LEAST_COSINE = 0.9
 SAMPLE = 20_000
 ROUNDS = 40
 CODE_BITS = 64
-MOST_TABLES = 5
-#: Vectors that a bucket of a table should hold on average, and at most in one block.
-PER_BUCKET, PER_BLOCK = 32, 256
-#: Code distance beyond which a candidate isn't reranked: 26 degrees turn 9 of 64 bits on average.
-MOST_BITS = 24
+#: Vectors that a bucket of the narrowest buckets should hold on average.
+PER_BUCKET = 256
+#: Vectors and components of a block at most.
+PER_BLOCK, BLOCK_PARTS = 1024, 1 << 16
+#: Share of pairs just at the least cosine that must meet in a bucket, by pairs planted around PLANTED sample vectors.
+RECALL, PLANTED = 0.97, 4000
+#: Codes from rotations of their own at most; vectors on which those after the first are learned.
+MOST_CODES, MORE_SAMPLE = 16, 5000
+#: Work of a vector in one more table, in comparisons.
+TABLE_WORK = 2000
 
 
 @dataclass(frozen=True)
@@ -57,17 +62,102 @@ class Tables:
     shifts: tuple[int, ...]
     width: int
 
+    @staticmethod
+    def of_width(width: int, bits: int) -> Tables:
+        """As many whole tables as fit; a single one of one bucket if the width is 0."""
+        return Tables(tuple(range(0, bits - width + 1, width)) if width else (0,), width)
+
     @staticmethod
     def for_rows(rows: int, bits: int) -> Tables:
         """About PER_BUCKET rows a bucket if codes are balanced, in as many whole tables as fit."""
-        width = max(1, min(16, bits, round(math.log2(max(2, rows / PER_BUCKET)))))
-        return Tables(tuple(range(0, bits - width + 1, width))[:MOST_TABLES], width)
+        return Tables.of_width(max(1, min(16, bits, round(math.log2(max(2, rows / PER_BUCKET))))), bits)
 
     def keys(self, codes: np.ndarray) -> np.ndarray:
         mask = np.uint64((1 << self.width) - 1)
         return np.stack([(codes >> np.uint64(s)) & mask for s in self.shifts])
 
 
+@dataclass(frozen=True)
+class Index:
+    """The tables of all codes: those of the first rotation, then of the next; the first ``count`` are used."""
+
+    rotations: list[Rotation]
+    tables: Tables
+    count: int
+
+    def keys(self, unit: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.tables.keys(r.codes(unit)) for r in self.rotations])[: self.count]
+
+
+def planted_partners(unit: np.ndarray, least: float, seed: int = 1) -> list[np.ndarray]:
+    """Partners of cosine ``least`` for unit vectors: once in any direction, once by moving about the mean along differences of the data.
+
+    The second are what pairs around a common mean look like: they keep the mean
+    and turn the rest further.
+    """
+    rng = np.random.default_rng(seed)
+    length = lambda m: np.sqrt((m * m).sum(axis=1, keepdims=True))
+    scaled = lambda m: m / np.maximum(length(m), 1e-300)
+
+    def beside(m: np.ndarray, axis: np.ndarray) -> np.ndarray:
+        """The directions of m across axis; 0 where nothing but rounding is left."""
+        across = m - (m * axis).sum(axis=1, keepdims=True) * axis
+        return np.where(length(across) > 1e-9 * length(m), scaled(across), 0.0)
+
+    any_way = beside(rng.standard_normal(unit.shape), unit)
+    out = [scaled(least * unit + math.sqrt(1 - least * least) * any_way)]
+    mean = unit.mean(axis=0)
+    rest = unit - mean
+    side = beside(unit[rng.permutation(len(unit))] - unit[rng.permutation(len(unit))], scaled(rest)) * length(rest)
+    low, high = np.zeros((len(unit), 1)), np.full((len(unit), 1), math.pi)
+    for _ in range(40):
+        turn = (low + high) / 2
+        moved = scaled(mean + np.cos(turn) * rest + np.sin(turn) * side)
+        near = (moved * unit).sum(axis=1, keepdims=True) > least
+        low, high = np.where(near, turn, low), np.where(near, high, turn)
+    return [*out, moved]
+
+
+def choose_index(unit: np.ndarray, rows: int, least: float = LEAST_COSINE) -> Index:
+    """The width and number of tables with the least work for ``rows`` vectors of which ``unit`` is a sample.
+
+    For every width, tables are added, over several rotations if need be, until
+    RECALL of the planted pairs of either kind share a bucket. Narrower tables
+    have larger buckets and lose fewer pairs; width 0 compares all and loses none,
+    so some width always suffices.
+    """
+    bits = min(CODE_BITS, unit.shape[1])
+    seen = unit[:PLANTED]
+    partners = planted_partners(seen, least)
+    rotations: list[Rotation] = []
+    codes: list[list[np.ndarray]] = []
+
+    def met(tables: Tables, k: int) -> np.ndarray:
+        """Which pairs of either kind share a bucket of the k-th table."""
+        turn, shift = k // len(tables.shifts), k % len(tables.shifts)
+        if turn == len(rotations):
+            rotations.append(learn_rotation(unit if turn == 0 else unit[:MORE_SAMPLE], bits, seed=turn + 1))
+            codes.append([rotations[turn].codes(m) for m in (seen, *partners)])
+        apart = np.stack([codes[turn][0] ^ c for c in codes[turn][1:]]) >> np.uint64(tables.shifts[shift])
+        return (apart & np.uint64((1 << tables.width) - 1)) == 0
+
+    best, least_work = Index([], Tables.of_width(0, bits), 1), rows / 2 + TABLE_WORK
+    for width in range(1, Tables.for_rows(rows, bits).width + 1):
+        tables, count = Tables.of_width(width, bits), 0
+        hit = np.zeros((len(partners), len(seen)), dtype=bool)
+        # Buckets are as uneven as the sample's, so what they cost is taken from it.
+        work = 0.0
+        while hit.mean(axis=1).min() < RECALL and count < MOST_CODES * len(tables.shifts) and work < least_work:
+            hit |= met(tables, count)
+            turn, shift = divmod(count, len(tables.shifts))
+            share = np.bincount(((codes[turn][0] >> np.uint64(tables.shifts[shift])) & np.uint64((1 << width) - 1)).astype(np.int64)) / len(seen)
+            work += (share * share).sum() * rows / 2 + TABLE_WORK
+            count += 1
+        if hit.mean(axis=1).min() >= RECALL and work < least_work:
+            best, least_work = Index(rotations, tables, count), work
+    return Index(best.rotations[: -(-best.count // len(best.tables.shifts))], best.tables, best.count) if best.tables.width else best
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of equally long float lists as doubles."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -86,23 +176,21 @@ def usable(column):
     return F.coalesce((F.size(column) > 0) & F.forall(column, finite) & F.exists(column, lambda x: x != 0), F.lit(False))
 
 
-def compare_blocks(a: dict, b: dict, same: bool, table: int, tables: Tables, least: float):
-    """Links between two blocks that this table is the first to show.
+def compare_blocks(a: dict, b: dict, same: bool, table: int, least: float):
+    """Links between two blocks that this table is the first to show; "keys" are the rows' buckets in every table.
 
     Returns ids, the weight linked to each, and a root of each in the forest of
     these links: never the pairs themselves.
     """
-    mask = np.uint64((1 << tables.width) - 1)
-    apart = a["code"][:, None] ^ b["code"][None, :]
-    close = np.bitwise_count(apart) <= MOST_BITS
-    close &= np.bitwise_count((apart >> np.uint64(tables.shifts[table])) & mask) <= 1
-    for s in tables.shifts[:table]:
-        close &= np.bitwise_count((apart >> np.uint64(s)) & mask) > 1
+    links = a["unit"] @ b["unit"].T >= least
     if same:
-        np.fill_diagonal(close, False)
-    if not close.any():
-        return None
-    links = close & (a["unit"] @ b["unit"].T >= least)
+        np.fill_diagonal(links, False)
+    x, y = np.nonzero(links)
+    if table and len(x):
+        before = np.zeros(len(x), dtype=bool)
+        for t in range(table):
+            before |= a["keys"][x, t] == b["keys"][y, t]
+        links[x[before], y[before]] = False
     return summed_links(links, a, b, same)
 
 
@@ -128,12 +216,14 @@ def near_duplicate_vectors(embeddings: DataFrame, scratch: Scratch, least: float
     """Link vectors (vec_id, embedding) with cosine >= ``least`` and group what the links reach.
 
     Equal vectors become one class with a weight, so copies are counted, not
-    paired. Classes get a code: signs after a rotation learned on ``sample`` unit
-    vectors. The code is cut into substrings, one table each, about log2 of the
-    rows wide; two vectors are candidates if a substring differs in at most one
-    bit. Buckets are held as blocks of bounded size, dealt by hash when a bucket
-    is large, and each pair of neighbouring blocks is compared in one step:
-    substring, whole code, then cosine in double precision. A pair belongs to the
+    paired. Classes get codes: signs after rotations learned on ``sample`` unit
+    vectors. Codes are cut into substrings, one table each; two vectors are
+    candidates if a substring is the same. How wide substrings are and how many
+    tables and rotations it takes is chosen so that RECALL of pairs planted in
+    the sample, just at ``least``, share a bucket; where all pairs are less work
+    than that, all are compared. Buckets are held as blocks of bounded size,
+    dealt by hash when a bucket is large, and each pair of a bucket's blocks is
+    compared in one step by cosine in double precision. A pair belongs to the
     first table that shows it. What leaves a comparison is a count for each
     vector and a forest of its links, never all pairs of a group.
 
@@ -175,26 +265,27 @@ def near_duplicate_vectors(embeddings: DataFrame, scratch: Scratch, least: float
 def _links_of_length(classes: DataFrame, dim: int, scratch: Scratch, least: float, sample: int) -> DataFrame:
     """cid, n (weight linked) and root for the classes of one vector length."""
     picked = classes.select("embedding", F.xxhash64("embedding").alias("h")).orderBy("h").limit(sample).collect()
-    rotation = learn_rotation(_unit(np.array([r["embedding"] for r in picked])), min(CODE_BITS, dim))
-    tables = Tables.for_rows(classes.count(), rotation.axes.shape[1])
+    index = choose_index(_unit(np.array([r["embedding"] for r in picked])), classes.count(), least)
+    per_block = max(16, min(PER_BLOCK, BLOCK_PARTS // dim))
 
-    def encode(batches):
+    def keyed(batches, whole: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
             unit = _unit(_matrix(batch.column("embedding")))
-            code = rotation.codes(unit)
-            keys = tables.keys(code)
-            vec = pa.array([u.tobytes() for u in unit], type=pa.binary())
-            for t in range(len(tables.shifts)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(code), t, np.int32)), pa.array(keys[t].astype(np.int64)), batch.column("cid"), batch.column("weight"), pa.array(code.view(np.int64)), vec],
-                    names=["t", "key", "cid", "weight", "code", "vec"],
-                )
-
-    coded = scratch.table(classes.select("cid", "weight", "embedding").mapInArrow(encode, "t int, key long, cid long, weight long, code long, vec binary"), "coded")
-    sizes = coded.groupBy("t", "key").agg(F.ceil(F.count("*") / PER_BLOCK).alias("parts"))
-    member = F.struct("cid", "weight", "code", "vec")
+            keys = index.keys(unit) if index.tables.width else np.zeros((1, len(unit)), np.uint64)
+            if whole:
+                rows = [batch.column("cid"), batch.column("weight"), *(pa.array([x.tobytes() for x in m], type=pa.binary()) for m in (np.ascontiguousarray(keys.T.astype(np.uint16)), unit))]
+            for t in range(index.count):
+                at = [pa.array(np.full(len(unit), t, np.int32)), pa.array(keys[t].astype(np.int64))]
+                if whole:
+                    yield pa.RecordBatch.from_arrays([*at, *rows], names=["t", "key", "cid", "weight", "keys", "vec"])
+                else:
+                    yield pa.RecordBatch.from_arrays(at, names=["t", "key"])
+
+    sizes = classes.select("embedding").mapInArrow(lambda b: keyed(b, False), "t int, key long").groupBy("t", "key").agg(F.ceil(F.count("*") / per_block).alias("parts"))
+    coded = classes.select("cid", "weight", "embedding").mapInArrow(lambda b: keyed(b, True), "t int, key long, cid long, weight long, keys binary, vec binary")
+    member = F.struct("cid", "weight", "keys", "vec")
     blocks = scratch.table(
         coded.join(scratch.table(sizes, "sizes"), ["t", "key"])
         .withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")))
@@ -202,31 +293,27 @@ def _links_of_length(classes: DataFrame, dim: int, scratch: Scratch, least: floa
         .withColumn("block", F.monotonically_increasing_id()),
         "blocks",
     )
-    scratch.drop(coded)
     heads = blocks.select("t", "key", "block")
-    # Each pair of keys that differ in one bit is met from the one without that bit.
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(tables.width)])
-    near = heads.select("t", F.col("block").alias("a"), "key", F.explode(flips).alias("flip")).where(F.col("key").bitwiseAND(F.col("flip")) == 0)
-    other = heads.select("t", F.col("key").alias("key2"), F.col("block").alias("b"))
-    pairs = near.withColumn("key2", F.col("key").bitwiseOR(F.col("flip"))).join(other, ["t", "key2"]).where((F.col("flip") != 0) | (F.col("a") <= F.col("b")))
-    pairs = scratch.table(pairs.select("t", "a", "b"), "pairs")
+    # Blocks of one bucket meet in pairs; a bucket of one block has none.
+    other = heads.select("t", "key", F.col("block").alias("b"))
+    pairs = scratch.table(heads.select("t", "key", F.col("block").alias("a")).join(other, ["t", "key"]).where("a < b").select("t", "a", "b"), "pairs")
     sided = pairs.join(blocks.select(F.col("block").alias("a"), F.col("rows").alias("rows_a")), "a").join(blocks.select(F.col("block").alias("b"), F.col("rows").alias("rows_b")), "b")
 
     def side(members: pa.Array) -> dict:
         field = lambda n: members.field(n)
-        vec = np.frombuffer(b"".join(field("vec").to_pylist()), dtype=np.float64).reshape(len(members), dim)
-        return {"id": field("cid").to_numpy(), "weight": field("weight").to_numpy(), "code": field("code").to_numpy().view(np.uint64), "unit": vec}
+        joined = lambda n, kind: np.frombuffer(b"".join(field(n).to_pylist()), dtype=kind).reshape(len(members), -1)
+        return {"id": field("cid").to_numpy(), "weight": field("weight").to_numpy(), "keys": joined("keys", np.uint16), "unit": joined("vec", np.float64)}
 
     def compare(batches):
         for batch in batches:
-            out: list = []
+            within = "rows" in batch.schema.names
             for i in range(batch.num_rows):
-                same = batch.column("a")[i] == batch.column("b")[i]
-                a = side(batch.column("rows_a")[i].values)
-                b = a if same else side(batch.column("rows_b")[i].values)
-                if (r := compare_blocks(a, b, same, batch.column("t")[i].as_py(), tables, least)) is not None:
-                    out.append(r)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[k] for r in out])) for k in range(3)], names=["cid", "n", "root"])
-
-    return scratch.table(sided.select("t", "a", "b", "rows_a", "rows_b").mapInArrow(compare, "cid long, n long, root long"), "links")
+                a = side(batch.column("rows" if within else "rows_a")[i].values)
+                b = a if within else side(batch.column("rows_b")[i].values)
+                if (r := compare_blocks(a, b, within, batch.column("t")[i].as_py(), least)) is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in r], names=["cid", "n", "root"])
+
+    found = "cid long, n long, root long"
+    within = scratch.table(blocks.select("t", "rows").mapInArrow(compare, found), "within")
+    across = scratch.table(sided.select("t", "rows_a", "rows_b").mapInArrow(compare, found), "across")
+    return within.union(across)
