@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -40,6 +41,16 @@ def test_license_key_phrases_are_mandatory(spark):
     assert words_of("A-B c2") == [b"a", b"b", b"c2"] and len(PositionalIndex.build().labels) == len(TEMPLATES)
 
 
+def test_license_files_with_several_notices(spark):
+    names = list(TEMPLATES)
+    sets = [c for n in (2, 3) for c in itertools.combinations(names, n)] + [tuple(names), tuple(reversed(names))]
+    rows = [(k, " Some code here. ".join(TEMPLATES[n][0] for n in c)) for k, c in enumerate(sets)]
+    common = [(-1, t) for t, _ in TEMPLATES.values()] * 50
+    for more in ([], common):
+        got = {r.doc_id: set(r.labels.split(",")) for r in scan_licenses(spark.createDataFrame(rows + more, "doc_id long, text string")).collect()}
+        assert [c for k, c in enumerate(sets) if not got[k] >= set(c)] == []
+
+
 def brute_secrets(text):
     kinds = ("assign", "access", "hex")
     spans = [(m.start(), m.end(), "assign") for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]

@@ -1,8 +1,10 @@
-"""License scans by a positional index of rare words."""
+"""License scans by a positional index of licence words."""
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,8 +13,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.batches import LETTER_OR_DIGIT, Words, hash_word, steps, text_bytes
 
-#: Rarest licence words of a file that are looked up in the templates.
-LOOKED_UP = 12
 #: Words by which an alignment may drift, and distinct words that must agree on it.
 DRIFT, LEAST_ANCHORS = 3, 4
 
@@ -41,14 +41,14 @@ def words_of(text: str) -> list[bytes]:
 
 @dataclass
 class PositionalIndex:
-    """Postings (template, position) of every licence word, and the phrases to verify."""
+    """Positions of every licence word in each template, and the phrases to verify, with their words' numbers."""
 
     labels: list[str]
     lengths: list[int]
     vocabulary: list[bytes]
     hashes: np.ndarray
-    postings: list[list[tuple[int, int]]]
-    required: list[list[np.ndarray]]
+    places: list[dict[int, list[int]]]
+    required: list[list[tuple[np.ndarray, list[int]]]]
     base: list[tuple[str, np.ndarray, list[int]]] = field(default_factory=list)
 
     @staticmethod
@@ -58,13 +58,13 @@ class PositionalIndex:
         fixed = [(label, words_of(p)) for p, label in base.items()]
         vocabulary = sorted({w for t in texts for w in t} | {w for ps in phrases for p in ps for w in p} | {w for _, p in fixed for w in p})
         number = {w: i for i, w in enumerate(vocabulary)}
-        postings: list[list[tuple[int, int]]] = [[] for _ in vocabulary]
+        places: list[dict[int, list[int]]] = [{} for _ in texts]
         for k, t in enumerate(texts):
             for at, w in enumerate(t):
-                postings[number[w]].append((k, at))
+                places[k].setdefault(number[w], []).append(at)
         code = lambda p: np.array([hash_word(w) for w in p], dtype=np.uint64)
         return PositionalIndex(
-            list(templates), [len(t) for t in texts], vocabulary, code(vocabulary), postings, [[code(p) for p in ps] for ps in phrases],
+            list(templates), [len(t) for t in texts], vocabulary, code(vocabulary), places, [[(code(p), [number[w] for w in p]) for p in ps] for ps in phrases],
             [(label, code(p), [number[w] for w in p]) for label, p in fixed],
         )
 
@@ -81,14 +81,20 @@ def _stands(hashes: np.ndarray, phrase: np.ndarray, at: int) -> bool:
     return 0 <= at and at + len(phrase) <= len(hashes) and bool((hashes[at : at + len(phrase)] == phrase).all())
 
 
+def _places(idf: np.ndarray, hashes: np.ndarray, at: np.ndarray, which: np.ndarray, phrase: np.ndarray, numbers: list[int]) -> list[int]:
+    """Where a phrase stands, in order; looked for at the places of its rarest word."""
+    k = max(range(len(numbers)), key=lambda i: (idf[numbers[i]], -i))
+    return [a - k for a in at[which == numbers[k]].tolist() if _stands(hashes, phrase, a - k)]
+
+
 def match_document(index: PositionalIndex, idf: np.ndarray, hashes: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[int, int | None, int | None, set[str], set[str], float]:
     """Base places, their smallest and largest start, base labels, all labels, score.
 
     ``hashes`` are the document's words; ``at`` and ``which`` its licence words
-    in order. A base phrase is looked for at the places of its rarest word. For
-    the templates, every place of the file's rarest licence words votes for
-    where the template would begin; alignments with enough distinct words are
-    kept if the mandatory phrases stand there.
+    in order. A phrase is looked for at the places of its rarest word. For the
+    templates all of whose mandatory phrases stand somewhere, every place of each
+    of the template's words votes for where the template would begin; alignments
+    with enough distinct words are kept if the mandatory phrases stand there.
     """
     present = set(which.tolist())
     starts: list[int] = []
@@ -96,34 +102,32 @@ def match_document(index: PositionalIndex, idf: np.ndarray, hashes: np.ndarray,
     for label, phrase, numbers in index.base:
         if not present.issuperset(numbers):
             continue
-        k = max(range(len(numbers)), key=lambda i: (idf[numbers[i]], -i))
-        found = [a - k for a in at[which == numbers[k]].tolist() if _stands(hashes, phrase, a - k)]
-        if found:
+        if found := _places(idf, hashes, at, which, phrase, numbers):
             base_labels.add(label)
             starts += found
     labels, best = set(base_labels), 1.0 if starts else 0.0
-    if len(present) >= LEAST_ANCHORS:
-        rare = sorted(present, key=lambda w: (-idf[w], w))[:LOOKED_UP]
-        votes: dict[int, list[tuple[int, int]]] = {}
-        for w in rare:
-            for a in at[which == w].tolist():
-                for template, place in index.postings[w]:
-                    votes.setdefault(template, []).append((a - place, w))
-        for template, cast in votes.items():
-            cast.sort()
-            low = 0
-            for high, (begin, _) in enumerate(cast):
-                while begin - cast[low][0] > DRIFT:
-                    low += 1
-                agreed = len({w for _, w in cast[low : high + 1]}) if high - low + 1 >= LEAST_ANCHORS else 0
-                if agreed >= LEAST_ANCHORS:
-                    first, last = max(0, cast[low][0] - DRIFT), begin + index.lengths[template] + DRIFT
-                    window = hashes[first:last]
-                    if all(any(_stands(window, p, i) for i in np.flatnonzero(window == p[0]).tolist()) for p in index.required[template]):
-                        labels.add(index.labels[template])
-                        known = {w for w in rare if any(t == template for t, _ in index.postings[w])}
-                        best = max(best, agreed / max(1, len(known)))
-                        break
+    for template, required in enumerate(index.required):
+        if not all(present.issuperset(numbers) for _, numbers in required):
+            continue
+        phrases = [(_places(idf, hashes, at, which, p, numbers), len(p)) for p, numbers in required]
+        if not all(stands for stands, _ in phrases):
+            continue
+        known = present.intersection(index.places[template])
+        cast = sorted((a - place, w) for w in known for a in at[which == w].tolist() for place in index.places[template][w])
+        low, agreed = 0, Counter()
+        for high, (begin, word) in enumerate(cast):
+            agreed[word] += 1
+            while begin - cast[low][0] > DRIFT:
+                agreed[cast[low][1]] -= 1
+                if not agreed[cast[low][1]]:
+                    del agreed[cast[low][1]]
+                low += 1
+            if len(agreed) < LEAST_ANCHORS or (index.labels[template] in labels and len(agreed) <= best * len(known)):
+                continue
+            first, last = max(0, cast[low][0] - DRIFT), begin + index.lengths[template] + DRIFT
+            if all((k := bisect.bisect_left(stands, first)) < len(stands) and stands[k] + n <= last for stands, n in phrases):
+                labels.add(index.labels[template])
+                best = max(best, len(agreed) / len(known))
     return len(starts), min(starts, default=None), max(starts, default=None), base_labels, labels, best
 
 
@@ -160,8 +164,8 @@ def scan_licenses(documents: DataFrame, index: PositionalIndex | None = None) ->
     Words are compared by 64-bit hash.
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels,
-    score (1 with a base phrase, else the share of looked-up words that agree on
-    the best alignment, else 0). Null and empty texts have no words, no labels
+    score (1 with a base phrase, else the share of a template's words in the file
+    that agree on the best alignment, else 0). Null and empty texts have no words, no labels
     ('') and score 0; repeated rows repeat their result; an empty table gives an
     empty result; extra columns are ignored.
     """
