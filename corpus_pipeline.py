@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.exact_dedup import exact_dedup
@@ -23,20 +25,30 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return score_quality(docs, model, carry=COLUMNS).where("score >= 0.5").select(*COLUMNS)
 
 
-def _kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among those kept; rows without an id stay if one of them does."""
-    ids = kept.select(F.col("doc_id").alias("kept_id")).hint("merge")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+def _one_of_each(docs: DataFrame, scratch: Scratch, grouped: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row of each group: that with the smallest doc_id, of equal ones any; null ids come last.
+
+    Rows are numbered and told apart by that number, as a doc_id may be null or
+    repeat. ``grouped`` gets rows with the number as doc_id and returns doc_id and
+    the group of each.
+    """
+    rows = scratch.table(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    groups = grouped(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "group")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    kept = groups.join(rows.select("row", "doc_id").hint("merge"), "row").groupBy("group").agg(F.min(order).alias("least")).select(F.col("least.row").alias("row"))
+    return rows.join(kept.hint("merge"), "row", "left_semi").select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: that with the smallest doc_id."""
-    return _kept(docs, exact_dedup(docs, Scratch(spark, "pipeline-copies")).where("kept"))
+    scratch = Scratch(spark, "pipeline-copies")
+    return _one_of_each(docs, scratch, lambda rows: exact_dedup(rows, scratch).withColumn("group", F.col("keep_id")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shingle links connect: that with the smallest doc_id."""
-    return _kept(docs, shingle_join(docs, Scratch(spark, "pipeline-near"), size=5, percent=80).where("doc_id = component_id"))
+    scratch = Scratch(spark, "pipeline-near")
+    return _one_of_each(docs, scratch, lambda rows: shingle_join(rows, scratch, size=5, percent=80).withColumn("group", F.col("component_id")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,21 @@ def test_stages_on_edges(spark, edge, empty):
         for _, stage in P.STAGES:
             docs = stage(spark, docs, FOLDER)
         assert docs.count() <= 3 * df.count()
+
+
+def test_one_row_of_each_group_stays(spark, edge):
+    """Also of rows without a doc_id, and where a copy's doc_id repeats on another text."""
+    long = " ".join(f"w{k}" for k in range(100))
+    near = long.replace("w50", "v50")
+    other, alone = long.replace("w", "a"), long.replace("w", "b")
+    made = [(1, long), (2, near), (2, other), (None, alone), (None, alone + " "), (None, long), (7, other), (None, "nothing like it"), (7, "nothing at all"), (9, "same"), (9, "same")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in made], edge.select(*P.COLUMNS).schema)
+    key = lambda df: sorted(((r.doc_id, r.text.strip()) for r in df.collect()), key=repr)
+    alike = [(None, alone), (1, long), (2, other), (7, "nothing at all"), (9, "same"), (None, "nothing like it")]
+    assert key(P.drop_near_copies(spark, docs, FOLDER)) == sorted(alike, key=repr)
+    unlike = Counter([(None, alone), (None, alone), (1, long), (2, near), (2, other), (7, "nothing at all"), (9, "same"), (None, "nothing like it")])
+    assert Counter(key(P.drop_copies(spark, docs, FOLDER))) == unlike
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=repr)
+    exact = P.drop_copies(spark, edge.select(*P.COLUMNS), FOLDER)
+    assert ids(exact) == sorted([1, 3, 5, 6, 7, 8, 9, 10, None], key=repr)
+    assert ids(P.drop_near_copies(spark, exact, FOLDER)) == sorted([1, 3, 5, 6, 7, 8, 10, None], key=repr)
