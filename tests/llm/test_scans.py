@@ -85,6 +85,15 @@ def test_weak_parts_need_a_complement():
     assert kinds("login: admin7 \n\n password: hunter22") == ["assign"]
 
 
+def test_parts_link_across_their_whole_scope():
+    kinds = lambda t: [k for _, _, k in scan_text(t)[1]]
+    opaque = "Q29ycmVjdEhvcnNlQmF0dGVyeVN0YXBsZQ9x"
+    between = "".join(f"setting_{k} = on\n" for k in range(2000))
+    assert kinds(f"client_id = svc-reader-01\n{between}{opaque}{' word' * 200} https://db.internal.example.com/v1") == ["link_id", "link_secret", "link_endpoint"]
+    assert kinds(f"client_id = svc-reader-01\n{between} \t\n{opaque}{' word' * 200}") == []
+    assert kinds(f"{opaque} {'word ' * 100}\n\nlogin: admin7 {'word ' * 100}password: hunter22") == ["link_id", "assign"]
+
+
 def test_secret_digest_columns(spark, tmp_path):
     spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     for r in queries.op10_secret_scan(spark, str(tmp_path)).collect():

@@ -11,9 +11,6 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Code points around a part, within its scope, in which a complementary part must lie.
-REACH = 240
-
 # What the parts look like. Letters are ASCII in the first; "in either case" holds there only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -65,13 +62,13 @@ def weak_spans(text: str, strong: list[Span]) -> list[Span]:
     return out
 
 
-def link_parts(text: str, strong: list[Span], weak: list[Span], reach: int = REACH) -> list[Span]:
-    """The weak spans with a complementary part, strong or weak, within reach and in the same scope.
+def link_parts(text: str, strong: list[Span], weak: list[Span]) -> list[Span]:
+    """The weak spans with a complementary part, strong or weak, in the same scope, however far apart.
 
     An interval join by binary search: parts of each role are sorted by start
     with the furthest end so far, so one look tells whether any of those that
-    begin before the interval's end reaches into it. A scope is what lies
-    between blank lines.
+    begin before the scope's end reaches into it. A scope is what lies between
+    blank lines.
     """
     scopes = [m.start() for m in SCOPE_END.finditer(text)]
     starts: dict[str, list[int]] = {"id": [], "secret": [], "endpoint": []}
@@ -83,29 +80,29 @@ def link_parts(text: str, strong: list[Span], weak: list[Span], reach: int = REA
     out = []
     for a, b, kind in weak:
         k = bisect.bisect_right(scopes, a)
-        low = max(a - reach, scopes[k - 1] if k else 0)
-        high = min(b + reach, scopes[k] if k < len(scopes) else len(text))
+        low = scopes[k - 1] if k else 0
+        high = scopes[k] if k < len(scopes) else len(text)
         before = {mate: bisect.bisect_left(starts[mate], high) for mate in MATES[ROLE[kind]]}
         if any(i and furthest[mate][i - 1] > low for mate, i in before.items()):
             out.append((a, b, kind))
     return out
 
 
-def scan_text(text: str, reach: int = REACH) -> tuple[list[Span], list[Span]]:
+def scan_text(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans with the linked weak ones, both by start and kind."""
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
     base = base_spans(text)
     weak = weak_spans(text, base)
-    linked = link_parts(text, base, weak, reach) if weak else []
+    linked = link_parts(text, base, weak) if weak else []
     return sorted(base, key=order), sorted(base + linked, key=order)
 
 
-def scan_secrets(documents: DataFrame, reach: int = REACH) -> DataFrame:
+def scan_secrets(documents: DataFrame) -> DataFrame:
     """Spans of secrets in every document (doc_id, text): doc_id, base and spans, arrays of (start, end, kind).
 
     Base spans are always reported. A weak part (an identifier, an opaque
-    string, an endpoint) is reported only where a complementary part lies within
-    ``reach`` code points in the same paragraph. Each text is scanned whole in
+    string, an endpoint) is reported only where a complementary part lies in the
+    same paragraph, which ends at a blank line or with the text. Each text is scanned whole in
     its own row, without any shuffle. Null and empty texts have no spans; repeated
     rows repeat their result; extra columns are ignored.
     """
@@ -115,7 +112,7 @@ def scan_secrets(documents: DataFrame, reach: int = REACH) -> DataFrame:
     def scan(batches):
         for batch in batches:
             for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-                found = [scan_text(t or "", reach) for t in part.column("text").to_pylist()]
+                found = [scan_text(t or "") for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), *(pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in f[i]] for f in found], type=kind) for i in (0, 1))],
                     names=["doc_id", "base", "spans"],
