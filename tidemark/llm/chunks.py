@@ -7,45 +7,58 @@ from itertools import chain
 
 import numpy as np
 
-#: Distinct pieces after which a worker forgets what it has encoded.
-MOST_PIECES = 600_000
+#: Distinct pieces after which a worker forgets what it has encoded, and those that are encoded at a time.
+MOST_PIECES, AT_A_TIME = 400_000, 1 << 16
+
+
+class _Numbers(dict):
+    """Numbers pieces in the order in which they are first asked for."""
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
 
 
 class ChunkStore:
-    """Maps pieces of text to runs of ids, asking ``encode`` only for pieces not seen before."""
+    """Maps pieces of text to runs of ids, asking ``encode`` only for pieces not seen before.
+
+    ``encode`` gives the ids of some pieces one after another, and how many each has.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = MOST_PIECES):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = MOST_PIECES, at_a_time: int = AT_A_TIME):
+        self.encode, self.most, self.at_a_time = encode, most, at_a_time
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.ends = np.zeros(1 << 12, dtype=np.int32), np.zeros(1, dtype=np.int64)
+        self.number = _Numbers()
+        self.number.new = []
+        self.ids, self.ends, self.known = np.zeros(1 << 12, dtype=np.int32), np.zeros(1 << 12, dtype=np.int64), 0
+
+    @staticmethod
+    def _room(have: np.ndarray, n: int) -> np.ndarray:
+        return have if n <= len(have) else np.concatenate([have, np.zeros(max(n, 2 * len(have)) - len(have), dtype=have.dtype)])
 
     def _learn(self, pieces: list[str]) -> None:
-        new = [p for p in dict.fromkeys(pieces) if p not in self.number]
-        if not new:
-            return
-        runs = self.encode(new)
-        lengths = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
-        old = self.ends[-1]
-        total = int(old + lengths.sum())
-        if total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(total, 2 * len(self.ids)) - len(self.ids), dtype=np.int32)])
-        self.ids[old:total] = np.fromiter(chain.from_iterable(runs), dtype=np.int32, count=total - old)
-        self.number.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new)), strict=True))
-        self.ends = np.concatenate([self.ends, old + np.cumsum(lengths)])
+        ids, lengths = self.encode(pieces)
+        old, n = self.ends[self.known], len(pieces)
+        self.ids = self._room(self.ids, int(old + len(ids)))
+        self.ids[old : old + len(ids)] = ids
+        self.ends = self._room(self.ends, self.known + n + 1)
+        self.ends[self.known + 1 : self.known + n + 1] = old + np.cumsum(lengths)
+        self.known += n
 
     def ids_of(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts given as lists of pieces, one after another, and how many each text has."""
-        if len(self.number) > self.most:
+        if self.known > self.most:
             self._forget()
-        flat = [p for pieces in texts for p in pieces]
-        self._learn(flat)
-        which = np.fromiter(map(self.number.__getitem__, flat), dtype=np.int64, count=len(flat))
+        per_text = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=int(per_text.sum()))
+        new, self.number.new = self.number.new, []
+        for low in range(0, len(new), self.at_a_time):
+            self._learn(new[low : low + self.at_a_time])
         begin, length = self.ends[which], self.ends[which + 1] - self.ends[which]
         ends = np.cumsum(length)
         out = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - length), length)]
-        per_text = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
         return out, np.diff(upto)

@@ -14,12 +14,41 @@ from tidemark.llm.chunks import ChunkStore
 SPACE = "▁"
 #: A piece of text between spaces, with the spaces before it, or a line break; no vocabulary piece crosses its ends.
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n")
-#: Cells of the matrices in which words advance together, and pairs of neighbours a worker remembers.
-STEP_CELLS, MOST_PAIRS = 1 << 20, 6_000_000
-#: Texts of about this many characters are encoded at a time.
-STEP_CHARS = 1 << 21
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_SHIFT = np.uint64(44)
+#: Characters of words that advance together, and of texts that are encoded at a time.
+STEP_CELLS, STEP_CHARS = 1 << 19, 1 << 21
+_BASE, _TAG = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
+
+
+class _Keys:
+    """Sorted mixed 64-bit keys with a value each; a probe starts at the first key with its leading bits."""
+
+    BITS = 18
+
+    @staticmethod
+    def mixed(keys: np.ndarray) -> np.ndarray:
+        keys = (keys ^ (keys >> np.uint64(32))) * _BASE
+        return keys ^ (keys >> np.uint64(29))
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        keys = self.mixed(keys)
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        lead = (self.keys >> np.uint64(64 - self.BITS)).astype(np.int64)
+        crowd = np.bincount(lead, minlength=1 << self.BITS)
+        self.first = np.where(crowd > 0, np.cumsum(crowd) - crowd, -1).astype(np.int32)
+        self.steps = int(crowd.max()) - 1
+
+    def find(self, keys: np.ndarray, none: int) -> np.ndarray:
+        """Values of keys, ``none`` where there is none."""
+        out, keys = np.full(len(keys), none, dtype=np.int64), self.mixed(keys)
+        at = self.first.take((keys >> np.uint64(64 - self.BITS)).astype(np.int64))
+        maybe = np.flatnonzero(at >= 0)
+        at, some = at[maybe], keys[maybe]
+        for _ in range(self.steps):
+            at = np.minimum(at + (self.keys[at] < some), len(self.keys) - 1)
+        here = np.flatnonzero(self.keys[at] == some)
+        out[maybe[here]] = self.values[at[here]]
+        return out
 
 
 class PieceTable:
@@ -49,16 +78,12 @@ class PieceTable:
         for n, which in self._by_length([pieces[i] for i in ids]).items():
             chars = np.array([pieces[ids[k]] for k in which], dtype=f"<U{n}").view(np.uint32).reshape(len(which), n)
             keys[which] = self._hashes(chars.astype(np.uint64))(0, n)
-        order = np.argsort(keys)
-        self.keys, self.key_ids = keys[order], ids[order]
-        #: Whether any key begins with these bits, to pass over most substrings.
-        self.begins = np.zeros(1 << 20, dtype=bool)
-        self.begins[(self.keys >> _SHIFT).astype(np.int64)] = True
-        self.pairs, self.pair_fits = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+        self.lookup = _Keys(keys, ids)
+        #: What a character without a piece scores.
+        self.unknown = self.score[ids].min() - 10
         self.usable = np.ones(self.size, dtype=bool)
         if kind == "bpe":
-            for which, _, count in self._merge([pieces[i] for i in ids]):
-                self.usable[ids[which]] = count == 1
+            self._learn_merges(ids)
 
     @staticmethod
     def from_file(path: str, kind: str) -> PieceTable:
@@ -86,7 +111,7 @@ class PieceTable:
             upto[:, k + 1] = upto[:, k] * _BASE + chars[:, k] + np.uint64(1)
         power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]))
 
-        tag = np.arange(n + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        tag = np.arange(n + 1, dtype=np.uint64) * _TAG
 
         def between(i, j, rows=slice(None)):
             return upto[rows, j] - upto[rows, i] * power[j - i] + tag[j - i]
@@ -95,22 +120,37 @@ class PieceTable:
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
         """Piece ids of substring hashes, -1 where there is none."""
-        out = np.full(keys.shape, -1, dtype=np.int64)
-        maybe = np.flatnonzero(self.begins.take((keys >> _SHIFT).astype(np.int64)))
-        some = keys[maybe]
-        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
-        here = self.keys[at] == some
-        out[maybe[here]] = self.key_ids[at[here]]
-        return out
+        return self.lookup.find(keys, -1)
+
+    def _learn_merges(self, ids: np.ndarray) -> None:
+        """Which pieces merging reaches, the two parts of each one's last merge, and the rank of that merge (0: a character)."""
+        self.parts = np.zeros((2, self.size), dtype=np.int64)
+        self.rank = np.zeros(self.size, dtype=np.int64)
+        for which, between, n, cut in self._merge([self.pieces[i] for i in ids]):
+            own = ids[which]
+            self.usable[own] = cut >= 0
+            done = np.flatnonzero(cut > 0)
+            for side, (i, j) in enumerate(((np.zeros_like(cut), cut), (cut, np.full_like(cut, n)))):
+                parts = self.probe(between(i[done], j[done], done))
+                if (parts < 0).any():
+                    raise ValueError("a piece is made of characters without a piece")
+                self.parts[side, own[done]] = parts
+        merged = ids[self.usable[ids] & (self.length[ids] > 1)]
+        self.rank[merged] = np.unique(-self.score[merged], return_inverse=True)[1] + 1
+        codes = self.parts[0, merged] * self.size + self.parts[1, merged]
+        self.merges = _Keys(codes.astype(np.uint64), self.rank[merged]) if len(merged) else None
 
     def _merge(self, words: list[str]):
-        """Encodings by merging, words of one length together: for each length the words' places, and cuts and their number for each."""
+        """Merge words of one length together: for each length the words' places, a hash function, the length, and where the last merge joined each.
+
+        That is 0 for a single character and -1 for a word that stays in parts.
+        """
         for n, which in self._by_length(words).items():
             chars = np.array([words[k] for k in which], dtype=f"<U{n}").view(np.uint32).reshape(len(which), n)
             between = self._hashes(chars.astype(np.uint64))
             rows = np.arange(len(which))
             start = np.tile(np.arange(n + 1), (len(which), 1))
-            count = np.full(len(which), n)
+            count, cut = np.full(len(which), n), np.full(len(which), -1 if n > 1 else 0)
             score = np.full((len(which), max(n, 2) - 1), -np.inf)
             for k in range(n - 1):
                 ids = self.probe(between(k, k + 2))
@@ -121,6 +161,8 @@ class PieceTable:
                 if not len(live):
                     break
                 b = best[live]
+                final = live[count[live] == 2]
+                cut[final] = start[final, 1]
                 shift = np.arange(n + 1)[None, :] > b[:, None]
                 start[live] = np.where(shift, np.concatenate([start[live][:, 1:], np.full((len(live), 1), n)], axis=1), start[live])
                 gone = np.arange(score.shape[1])[None, :] >= b[:, None]
@@ -133,90 +175,135 @@ class PieceTable:
                     i, j = start[r, k], start[r, k + 2]
                     ids = self.probe(between(i, j, r))
                     score[r, k] = np.where(ids >= 0, self.score[ids], -np.inf)
-            yield np.array(which), start, count
+            yield np.array(which), between, n, cut
 
     def fits(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        """For each two neighbours: do they stay apart? Pairs met for the first time are merged once to see."""
+        """For each two neighbours: do they stay apart? Negative ids are characters of their own, which never merge.
+
+        The last merges of the two are undone from the later one on. At each step
+        the parts that face each other must not make a piece that comes before the
+        merge just undone; two single characters that don't are the end.
+        """
         out = np.ones(len(piece), dtype=bool)
         if self.kind == "unigram":
             return out
-        inner = np.flatnonzero(before >= 0)
-        code = before[inner] * self.size + piece[inner]
-        at = np.searchsorted(self.pairs, code)
-        new = np.unique(code[(at == len(self.pairs)) | (self.pairs[np.minimum(at, len(self.pairs) - 1)] != code)]) if len(self.pairs) else np.unique(code)
-        if len(new):
-            if len(self.pairs) + len(new) > MOST_PAIRS:
-                self.pairs, self.pair_fits, new = self.pairs[:0], self.pair_fits[:0], np.unique(code)
-            fit, cut = np.zeros(len(new), dtype=bool), self.length[new // self.size]
-            for which, start, count in self._merge([self.pieces[a] + self.pieces[b] for a, b in zip((new // self.size).tolist(), (new % self.size).tolist(), strict=True)]):
-                fit[which] = (count == 2) & (start[:, 1] == cut[which])
-            where = np.searchsorted(self.pairs, new)
-            self.pairs, self.pair_fits = np.insert(self.pairs, where, new), np.insert(self.pair_fits, where, fit)
-            at = np.searchsorted(self.pairs, code)
-        out[inner] = self.pair_fits[at]
+        which = np.flatnonzero((before >= 0) & (piece >= 0))
+        a, b = before[which], piece[which]
+        limit = np.full(len(which), self.size + 2)
+        while len(which):
+            apart = self.merged_rank(a, b) >= limit
+            out[which[~apart]] = False
+            ra, rb = self.rank[a], self.rank[b]
+            on = np.flatnonzero(apart & ((ra > 0) | (rb > 0)))
+            which, a, b, ra, rb = which[on], a[on], b[on], ra[on], rb[on]
+            left = ra > rb
+            limit = np.where(left, ra, rb + 1)
+            a, b = np.where(left, self.parts[1][a], a), np.where(left, b, self.parts[0][b])
         return out
 
-    def _viterbi(self, words: list[str]) -> list[list[int]]:
-        """Encodings of words, longest first, which advance together by one character at a time."""
-        n, rows = len(words[0]), len(words)
-        chars = np.array(words, dtype=f"<U{n}").view(np.uint32).reshape(rows, n)
-        lengths = np.array([len(w) for w in words])
-        between = self._hashes(chars.astype(np.uint64))
-        best = np.full((rows, n + 1), -np.inf)
-        best[:, 0] = 0
-        # The piece that ends here on the best path, or -1 - code for a character of its own, and its length.
-        last, length = np.full((rows, n + 1), -1), np.zeros((rows, n + 1), dtype=np.int64)
-        unknown = self.score[self.key_ids].min() - 10
-        for j in range(1, n + 1):
-            live = int(np.searchsorted(-lengths, -j, side="right"))
-            row, begin, piece = [], [], []
-            for i in range(max(0, j - self.longest), j):
-                ids = self.probe(between(i, j, slice(0, live)))
-                on = np.flatnonzero((ids >= 0) & self.usable[ids])
-                row.append(on)
-                begin.append(np.full(len(on), i))
-                piece.append(ids[on])
-                if i == j - 1:
-                    alone = np.flatnonzero(ids < 0)
-                    best[alone, j], last[alone, j], length[alone, j] = best[alone, i] + unknown, -1 - chars[alone, i].astype(np.int64), 1
-            row, begin, piece = np.concatenate(row), np.concatenate(begin), np.concatenate(piece)
-            before = np.where(begin == 0, -1, last[row, begin])
-            ok = self.fits(before, piece)
-            row, begin, piece = row[ok], begin[ok], piece[ok]
-            total = best[row, begin] + self.score[piece]
-            order = np.lexsort((total, row))
-            row, begin, piece, total = row[order], begin[order], piece[order], total[order]
-            top = np.ones(len(row), dtype=bool)
-            top[:-1] = row[1:] != row[:-1]
-            row, begin, piece, total = row[top], begin[top], piece[top], total[top]
-            up = total > best[row, j]
-            row, begin, piece, total = row[up], begin[up], piece[up], total[up]
-            best[row, j], last[row, j], length[row, j] = total, piece, j - begin
-        out: list[list[int]] = [[] for _ in words]
-        at = lengths.copy()
-        while (open_ := np.flatnonzero(at > 0)).size:
-            for r, p in zip(open_.tolist(), last[open_, at[open_]].tolist(), strict=True):
-                out[r].append(p)
-            at[open_] -= length[open_, at[open_]]
-        return [run[::-1] for run in out]
-
-    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        """Ids of chunks; a character without a piece becomes the ids of its UTF-8 bytes.
-
-        Chunks of similar length advance together: up to 4 characters, up to 8, and so on.
+    def merged_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the pieces whose last merge joins a and b; beyond all ranks where there is none."""
+        none = self.size + 2
+        return np.full(len(a), none) if self.merges is None else self.merges.find((a * self.size + b).astype(np.uint64), none)
+
+    def _matches(self, chars: np.ndarray, first: np.ndarray, end: np.ndarray):
+        """Pieces that stand in words: start and end place of each, and its id; a character without a piece is -1 - code.
+
+        Hashes of the substrings that begin at a place grow by a character at a
+        time, over all places whose word goes on.
         """
-        out: list = [None] * len(chunks)
-        groups: dict[int, list[int]] = {}
-        for k, c in enumerate(chunks):
-            groups.setdefault(max(2, (len(c) - 1).bit_length()), []).append(k)
-        for bits, which in groups.items():
-            which.sort(key=lambda k: -len(chunks[k]))
-            step = max(1, STEP_CELLS >> bits)
-            for low in range(0, len(which), step):
-                part = which[low : low + step]
-                for k, run in zip(part, self._viterbi([chunks[k] for k in part]), strict=True):
-                    out[k] = run if min(run) >= 0 else [x for p in run for x in ([p] if p >= 0 else [self.byte_ids[b] for b in chr(-1 - p).encode()])]
-        return out
+        value = chars.astype(np.uint64) + np.uint64(1)
+        at = np.arange(len(chars))
+        left = np.repeat(end, end - first) - at
+        hashes, tags = np.zeros(len(chars), dtype=np.uint64), np.arange(self.longest + 1, dtype=np.uint64) * _TAG
+        found = []
+        for n in range(1, self.longest + 1):
+            if n > 1:
+                go = left >= n
+                at, left, hashes = at[go], left[go], hashes[go]
+            hashes = hashes * _BASE + value[at + (n - 1)]
+            ids = self.probe(hashes + tags[n])
+            if n == 1:
+                alone = np.flatnonzero(ids < 0)
+                found.append((at[alone], at[alone], -1 - chars[alone].astype(np.int64)))
+            on = np.flatnonzero(ids >= 0)
+            on = on[self.usable[ids[on]]]
+            found.append((at[on], at[on] + (n - 1), ids[on]))
+        return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+    def _viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some words, one after another, and how many each has; words advance together by one character at a time.
+
+        ``best`` is the score of the best way to each place, ``last`` the piece
+        that ends there, ``back`` where it begins.
+        """
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        end = np.cumsum(lengths)
+        first = end - lengths
+        start, stop, piece = self._matches(chars, first, end)
+        step = stop - np.repeat(first, lengths)[stop]
+        order = np.argsort(step.astype(np.uint16) if lengths.max() <= 1 << 16 else step, kind="stable")
+        start, stop, piece = start[order], stop[order], piece[order]
+        opens = start == np.repeat(first, lengths)[start]
+        score = np.where(piece >= 0, self.score[np.maximum(piece, 0)], self.unknown)
+        best, last = np.full(len(chars), -np.inf), np.full(len(chars), -1)
+        back, count = np.zeros(len(chars), dtype=np.int64), np.zeros(len(chars), dtype=np.int64)
+        bound = np.searchsorted(step[order], np.arange(int(lengths.max()) + 1)).tolist()
+        for low, high in zip(bound, bound[1:], strict=False):
+            s, e, p, new = start[low:high], stop[low:high], piece[low:high], opens[low:high]
+            ok = self.fits(np.where(new, -1, last[s - 1]), p) & (new | (best[s - 1] > -np.inf))
+            s, e, p, new = s[ok], e[ok], p[ok], new[ok]
+            total = np.where(new, 0.0, best[s - 1]) + score[low:high][ok]
+            np.maximum.at(best, e, total)
+            top = total == best[e]
+            s, e, p, new = s[top], e[top], p[top], new[top]
+            last[e], back[e], count[e] = p, s, np.where(new, 0, count[s - 1]) + 1
+        n = count[end - 1]
+        place, at, open_ = np.cumsum(n) - 1, end - 1, np.arange(len(words))
+        out = np.empty(int(n.sum()), dtype=np.int64)
+        while len(open_):
+            out[place] = last[at]
+            go = back[at] > first[open_]
+            at, place, open_ = back[at][go] - 1, place[go] - 1, open_[go]
+        return self._as_bytes(out, n)
+
+    def _as_bytes(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters without a piece become the ids of their UTF-8 bytes."""
+        alone = np.flatnonzero(ids < 0)
+        if not len(alone):
+            return ids, n
+        code = -1 - ids[alone]
+        wide = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+        width = np.ones(len(ids), dtype=np.int64)
+        width[alone] = wide
+        out, ends = np.repeat(ids, width), np.cumsum(width)
+        raw = np.frombuffer(code.astype("<u4").tobytes().decode("utf-32-le").encode(), dtype=np.uint8)
+        out[np.repeat(ends[alone] - np.cumsum(wide), wide) + np.arange(len(raw))] = np.array(self.byte_ids)[raw]
+        per_word = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
+        return out, np.diff(per_word)
+
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks one after another, and how many each has.
+
+        Chunks are taken by length, so equally long ones advance together.
+        """
+        size = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        order = np.argsort(size, kind="stable")
+        upto, words = np.cumsum(size[order]), [chunks[k] for k in order.tolist()]
+        runs, counts, low = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], 0
+        while low < len(words):
+            high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + STEP_CELLS, side="right")))
+            run, n = self._viterbi(words[low:high])
+            runs.append(run)
+            counts.append(n)
+            low = high
+        flat, n = np.concatenate(runs), np.concatenate(counts)
+        lengths = np.zeros(len(chunks), dtype=np.int64)
+        lengths[order] = n
+        ends, from_ = np.cumsum(lengths), np.zeros(len(chunks), dtype=np.int64)
+        from_[order] = np.cumsum(n) - n
+        return flat[np.arange(len(flat)) + np.repeat(from_ - (ends - lengths), lengths)], lengths
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: bytes and pieces joined, without the space that encoding puts first."""
@@ -233,7 +320,13 @@ class PieceTable:
 
 
 def chunks_of(text: str) -> list[str]:
-    return CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    if not text:
+        return []
+    if text[0] == " " or "  " in text or SPACE in text or "\0" in text:
+        return CHUNK.findall(SPACE + text.replace(" ", SPACE))
+    # No runs of spaces: plain splits do.
+    marked = (SPACE + text.replace(" ", "\0" + SPACE)).replace("\n", "\0\n\0")
+    return list(filter(None, marked.split("\0")))
 
 
 def encode_pieces(documents: DataFrame, model: str, kind: str = "bpe", carry=("doc_id",)) -> DataFrame:
