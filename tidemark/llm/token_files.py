@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,9 @@ from tidemark.plans.scratch import Scratch
 #: Ids after which a segment of whole documents is closed; its blocks are coded in step.
 SEGMENT_IDS = 1 << 22
 #: Bytes of text that one task tokenizes, and characters at a time.
-TASK_BYTES, STEP_CHARS = 1 << 26, 1 << 21
+TASK_BYTES, STEP_CHARS = 1 << 26, 1 << 20
+#: Distinct pieces that the library gets at a time, as it holds far more than the ids of each, and those a worker remembers.
+AT_A_TIME, MOST_PIECES = 1 << 13, 400_000
 END_ID = 2
 
 #: Where a text may be cut before tokenizing: before spaces that follow a character that isn't white space.
@@ -31,13 +34,14 @@ SEGMENT = "part int, seq long, n_ids long, doc_ids array<long>, lengths array<in
 
 
 def pieces_of(text: str) -> list[str]:
+    """A special token has no space in it, so that no cut falls inside one."""
     if OTHER_SPACE.search(text):
         return CUT.split(text)
     return RUN.findall(text)
 
 
 class Tokens:
-    """The tokenizer of a file, opened once per worker; the texts of special tokens are ordinary text."""
+    """The tokenizer of a file, opened once per worker, and used as the library does by itself: the text of a special token gives its id."""
 
     opened: dict[str, ChunkStore] = {}
 
@@ -48,8 +52,13 @@ class Tokens:
 
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
-            cls.opened[path] = ChunkStore(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+
+            def encode(pieces):
+                runs = [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+                lengths = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
+                return np.fromiter(chain.from_iterable(runs), dtype=np.int32, count=int(lengths.sum())), lengths
+
+            cls.opened[path] = ChunkStore(encode, MOST_PIECES, AT_A_TIME)
         return cls.opened[path]
 
 
