@@ -7,6 +7,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,13 +53,14 @@ def weak_spans(text: str, strong: list[Span]) -> list[Span]:
         found += [(*m.span(), "link_id") for m in IDENTIFIER.finditer(text)]
         found += [(*m.span(), "link_endpoint") for m in ENDPOINT.finditer(text)]
     found += [(*m.span(), "link_secret") for m in OPAQUE.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and _entropy(m[0]) >= ENTROPY]
-    taken = sorted(s[:2] for s in strong)
+    starts = sorted(s[:2] for s in strong)
+    furthest = list(accumulate((b for _, b in starts), max))
     out: list[Span] = []
     for s in sorted(found, key=lambda s: (s[0], KINDS.index(s[2]))):
-        k = bisect.bisect_left(taken, (s[1], 0))
-        if not any(b > s[0] for _, b in taken[max(0, k - 3) : k]):
+        # Of the strong spans that begin before this one ends, does any reach into it? Or the last weak one?
+        k = bisect.bisect_left(starts, (s[1], 0))
+        if not (k and furthest[k - 1] > s[0] or out and out[-1][1] > s[0]):
             out.append(s)
-            bisect.insort(taken, s[:2])
     return out
 
 
