@@ -77,8 +77,8 @@ def fit_quality(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_PE
 
     One half of the sample, by hash, fills the dictionaries; the other half,
     which they don't hold, calibrates the curve, each class weighed as it occurs
-    among all labelled rows through the sample's share of it. Null labels, null
-    texts and texts over SAMPLE_BYTES take no part. Without labels of both
+    among all labelled ids through the sample's share of it. Null labels, null
+    texts and texts over SAMPLE_BYTES take no part; of several texts with one id, that with the least hash does. Without labels of both
     classes every text scores the smoothed share of good ones.
     """
     known = labels.where(F.col("quality").isin(0, 1)).where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("labelled"), F.col("quality").alias("y")).distinct()
@@ -86,7 +86,9 @@ def fit_quality(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_PE
     drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("labelled"), "labelled").limit(sample) for y in (0, 1)]
     # At most 2 * sample ids: small enough to send everywhere, so that the texts needn't be shuffled.
     rows = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).join(F.broadcast(drawn[0].union(drawn[1])), F.col("doc_id") == F.col("labelled"))
-    found = sorted(rows.select("y", "text", F.xxhash64("doc_id", "text").alias("h")).collect(), key=lambda r: (r["h"], r["text"]))
+    # One text of each id, however many rows repeat it, so that the sample is bounded.
+    one = rows.groupBy("labelled", "y").agg(F.min(F.struct(F.xxhash64("doc_id", "text").alias("h"), "text")).alias("least")).select("y", "least.*")
+    found = sorted(one.collect(), key=lambda r: (r["h"], r["text"]))
     picked = {y: [r for r in found if r["y"] == y] for y in (0, 1)}
     n = {y: n.get(y, 0) for y in (0, 1)}
     base = float(np.log((n[1] + 1) / (n[0] + 1)))
