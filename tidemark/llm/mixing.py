@@ -41,10 +41,23 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     return walked.select("source", "source_size", F.least(F.col("cap"), F.col("w") * found).alias("target"))
 
 
-def mix_sources(documents: DataFrame, scratch: Scratch, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, whole: bool = False, carry=()) -> DataFrame:
+def _split_hot(dealt: DataFrame, scratch: Scratch, rows_per_block: int) -> DataFrame:
+    """A column part within blocks: '' but for rows of a key with more than rows_per_block rows, which come in parts after the others."""
+    crowded = dealt.groupBy("source_key", "block").agg(F.count("*").alias("n")).where(F.col("n") > 4 * rows_per_block).select("source_key", "block")
+    crowded = scratch.table(crowded, "crowded")
+    if crowded.isEmpty():
+        return dealt.withColumn("part", F.lit(""))
+    # Partial counts keep a key's rows apart until they are numbers; few keys are hot, as each has rows_per_block rows.
+    keys = dealt.join(crowded, ["source_key", "block"], "left_semi").groupBy("source_key", "block", "key").agg(F.count("*").alias("n")).where(F.col("n") > rows_per_block)
+    hot = scratch.table(keys.select("source_key", "block", "key", F.ceil(F.col("n") / rows_per_block).alias("parts")), "hot")
+    part = F.concat("key", F.lit(":"), F.lpad(F.pmod(F.xxhash64("place"), F.col("parts")).cast("string"), 12, "0"))
+    return dealt.join(hot, ["source_key", "block", "key"], "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit("")).otherwise(part)).drop("parts")
+
+
+def mix_sources(documents: DataFrame, scratch: Scratch, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, whole: bool = False, carry=(), rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """How many words a mix of all documents (doc_id, text, source) takes from each.
 
-    Every document gets a hash-random key. Within a source, documents are dealt
+    Every document gets a hash-random key, made of its id and its text. Within a source, documents are dealt
     by ranges of that key into blocks, blocks are summed, and a prefix over the
     blocks plus one inside each block gives every document's place among the
     words of its source. Whole epochs are taken first; the last, partial epoch
@@ -54,29 +67,33 @@ def mix_sources(documents: DataFrame, scratch: Scratch, weights=WEIGHTS, max_epo
 
     Returns doc_id, size, source_size, target, taken, last_epoch (words of the
     partial epoch) and the columns in ``carry``. Null text has size 0 and null
-    source is a source of its own, last. Repeated rows share a key and follow
-    each other in text order. Without words every target is 0. An empty table
+    source is a source of its own, last. Repeated rows share a key; where a key
+    has more rows than a block should, they are dealt by their place in the
+    table, as any of them may stand for another. Without words every target is 0. An empty table
     gives an empty result. All functions are Spark's own, so reruns agree.
     """
-    key = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(text.cast("binary"))))
+    place = F.monotonically_increasing_id()
     sized = scratch.table(
-        documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("tie"), *[F.col(c).alias(f"carried_{c}") for c in carry]), "sized"
+        documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), place.alias("place"), *[F.col(c).alias(f"carried_{c}") for c in carry]), "sized"
     )
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     rows = per_source.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     targets = scratch.table(source_targets(per_source.drop("n"), weights, max_epochs), "targets")
-    blocks = max(LEAST_BLOCKS, rows // ROWS_PER_BLOCK)
+    blocks = max(LEAST_BLOCKS, rows // rows_per_block)
     block = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(2.0**32) * blocks).cast("long")
     dealt = sized.withColumn("block", block).withColumn("source_key", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
-    sums = dealt.groupBy("source_key", "block").agg(F.sum("size").alias("words"))
-    ahead = W.partitionBy("source_key").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    ahead = scratch.table(sums.select("source_key", "block", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead")), "ahead")
+    dealt = _split_hot(dealt, scratch, rows_per_block)
+    sums = dealt.groupBy("source_key", "block", "part").agg(F.sum("size").alias("words"))
+    ahead = W.partitionBy("source_key").orderBy("block", "part").rowsBetween(W.unboundedPreceding, -1)
+    ahead = scratch.table(sums.select("source_key", "block", "part", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead")), "ahead")
     named = targets.select(F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("source_key"), "source_size", "target")
     starts = scratch.table(ahead.join(named, "source_key"), "starts")
-    inside = W.partitionBy("source_key", "block").orderBy("key", "doc_id", "tie", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source_key", "block", "part").orderBy("key", "place").rowsBetween(W.unboundedPreceding, -1)
     placed = (
         dealt.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(starts, ["source_key", "block"])
+        .join(starts, ["source_key", "block", "part"])
         .withColumn("start", F.col("ahead") + F.col("inside"))
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     )

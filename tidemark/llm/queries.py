@@ -77,7 +77,7 @@ ORACLE_SQL = {
     "op5_source_mixing": """
         WITH d AS (
             SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-                   md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k
+                   md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS k
             FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
         w AS (SELECT *, CAST(list_extract([5, 2, 1], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)) AS DOUBLE) AS w, 3.0::DOUBLE * source_size AS cap FROM s),
@@ -88,7 +88,7 @@ ORACLE_SQL = {
         t AS (SELECT source, source_size, least(cap, w * (SELECT level FROM walked WHERE level <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1)) AS target FROM walked),
         p AS (
             SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS epochs,
-                   CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+                   CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target,
                CAST(size * epochs + greatest(0, least(size, CAST(round(target - epochs * source_size) AS BIGINT) - start)) AS BIGINT) AS taken
