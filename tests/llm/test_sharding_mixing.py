@@ -1,3 +1,5 @@
+import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -36,6 +38,65 @@ def test_kd_shards_are_balanced_and_stable(spark, scratch):
     assert again == {r.doc_id: r.shard for r in rows}
 
 
+def brute_shards(rows, shards):
+    """The whole tree again on plain lists: (key per dimension, size) rows, cut at the weighted quantile of the widest dimension."""
+    out = {}
+
+    def cut(part, leaves, first):
+        if leaves == 1:
+            out.update(dict.fromkeys(part, first))
+            return
+        if not part:
+            return
+        dim = max(range(4), key=lambda i: ((max(rows[r][0][i] for r in part) >> 32) - (min(rows[r][0][i] for r in part) >> 32), -i))
+        goal, below, low = sum(rows[r][1] for r in part) * (leaves // 2) / leaves, 0, []
+        for r in sorted(part, key=lambda r: rows[r][0][dim]):
+            if below + rows[r][1] > goal and goal - below <= below + rows[r][1] - goal:
+                break
+            below += rows[r][1]
+            low.append(r)
+            if below > goal:
+                break
+        cut(low, leaves // 2, first)
+        cut([r for r in part if r not in set(low)], leaves - leaves // 2, first + leaves // 2)
+
+    cut(list(rows), shards, 0)
+    return out
+
+
+def test_kd_cuts_against_brute_force(spark, scratch):
+    """Rows of one size and grids without ties: every cut is exact, so the shards are the brute-force tree's."""
+    rng = random.Random(3)
+    ids, chars, n = rng.sample(range(10**6), 600), rng.sample(range(10**6), 600), 600
+    sources, langs = [rng.choice(["news/a", "news/b", "news/c-long-name-1", "news/c-long-name-2", None]) for _ in range(n)], [rng.choice(["en", "de", None]) for _ in range(n)]
+    df = spark.createDataFrame([(ids[k], "x" * 84, langs[k], sources[k], chars[k]) for k in range(n)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.shard for r in kd_shards(df, scratch, 8).collect()}
+    order = lambda names: {v: k + 1.0 for k, v in enumerate(sorted(set(names), key=lambda v: (v is not None, v or "")))}
+    ties = {r.doc_id: r.h & 0xFFFFF000 for r in df.selectExpr("doc_id", "xxhash64(doc_id, text) AS h").collect()}
+
+    def grid(values):
+        low, high = min(values), max(values)
+        return [math.floor((v - low) / (high - low) * (2**31 - 1)) for v in values]
+
+    so, la = order(sources), order(langs)
+    dims = list(zip(grid([so[s] for s in sources]), grid([la[x] for x in langs]), grid(chars), grid(ids), strict=True))
+    rows = {ids[k]: ([g << 32 | ties[ids[k]] for g in dims[k]], 100) for k in range(n)}
+    assert got == brute_shards(rows, 8)
+
+
+def test_a_repeated_row_on_a_third_of_all(spark, scratch):
+    rows = spark.range(30000).selectExpr("IF(id % 3 = 0, 7, id) AS doc_id", "IF(id % 3 = 0, 'the same words', concat('text ', id)) AS text", "'en' AS lang", "'hot' AS source", "IF(id % 3 = 0, 14, 9) AS n_chars").repartition(8)
+    sizes = check_shards(kd_shards(rows, scratch).collect(), rows.collect(), 40)
+    assert max(sizes.values()) - min(sizes.values()) <= 0.1 * sum(sizes.values()) / 40
+    got = mix_sources(rows, scratch, rows_per_block=200).select("doc_id", "size", "taken")
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "parts" in plan
+    taken = got.collect()
+    assert len(taken) == 30000 and sum(r.taken for r in taken) == sum(r.size for r in taken)
+    per_part = scratch.spark.read.parquet(f"{scratch.path}/*-hot").agg({"parts": "max"}).first()[0]
+    assert per_part >= 50
+
+
 def test_mixing_matches_sql_and_targets(spark, edge, documents, empty, scratch, tmp_path):
     for k, df in enumerate((edge.select("doc_id", "text", "source"), documents)):
         df.write.parquet(f"{tmp_path}/{k}")
