@@ -256,7 +256,8 @@ class PieceTable:
             s, e, p, new = s[ok], e[ok], p[ok], new[ok]
             total = np.where(new, 0.0, best[s - 1]) + score[low:high][ok]
             np.maximum.at(best, e, total)
-            top = total == best[e]
+            # Longer pieces come later in order, so of equal totals the shortest stays.
+            top = np.flatnonzero(total == best[e])[::-1]
             s, e, p, new = s[top], e[top], p[top], new[top]
             last[e], back[e], count[e] = p, s, np.where(new, 0, count[s - 1]) + 1
         n = count[end - 1]
