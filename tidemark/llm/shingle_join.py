@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -175,8 +176,12 @@ def leading_tokens(value: np.ndarray, first: np.ndarray, percent: int = PERCENT)
     return prefix, low, np.maximum(prefix, low)
 
 
+def _hashed(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
 def _sketched(documents: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest and key of the word sequence, prefix, low, tokens; copies in one batch have tokens once."""
+    """doc_id, text_hash, n_shingles, digest and key of the word sequence, prefix, low, tokens; copies in one batch have tokens once."""
 
     def sketch(batches):
         for batch in batches:
@@ -196,11 +201,11 @@ def _sketched(documents: DataFrame, size: int, percent: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(tokens.view(np.int64)))
                 key = np.frombuffer(b"".join(d[:8] for d in digests), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(np.diff(first).astype(np.int64)), pa.array(digests, type=pa.binary()), pa.array(key), pa.array(prefix.astype(np.int64)), pa.array(low.astype(np.int64)), lists],
-                    names=["doc_id", "n_shingles", "digest", "key", "prefix", "low", "tokens"],
+                    [batch.column("doc_id").slice(a, b - a), batch.column("text_hash").slice(a, b - a), pa.array(np.diff(first).astype(np.int64)), pa.array(digests, type=pa.binary()), pa.array(key), pa.array(prefix.astype(np.int64)), pa.array(low.astype(np.int64)), lists],
+                    names=["doc_id", "text_hash", "n_shingles", "digest", "key", "prefix", "low", "tokens"],
                 )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, key long, prefix long, low long, tokens array<long>")
+    return _hashed(documents).mapInArrow(sketch, "doc_id long, text_hash long, n_shingles long, digest binary, key long, prefix long, low long, tokens array<long>")
 
 
 def _meetings(first: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
@@ -264,9 +269,10 @@ def shingle_join(documents: DataFrame, scratch: Scratch, size: int = WORDS, perc
     sets are done at once. What the others' tokens connect is a family, found
     from the least class at each token, never from pairs. Each family is a signature
     tree: documents are its lowest nodes, leaves hold documents that share their
-    least token, upper nodes hold leaves, and every node has the OR of the token
+    least token, upper nodes hold leaves or nodes, level upon level up to one root, and
+    every node has the OR of the token
     bitmaps below it and the range of their set sizes. Node pairs are traversed
-    from the top and dropped when even the largest possible overlap is too small;
+    from the root and dropped when even the largest possible overlap is too small;
     in leaf pairs that remain the sets themselves are intersected. A leaf is
     bounded in tokens and rows, so a family of any size is many small
     comparisons. Each gives counts and a forest of links, not pairs. The result
@@ -279,16 +285,20 @@ def shingle_join(documents: DataFrame, scratch: Scratch, size: int = WORDS, perc
     an empty result; extra columns are ignored.
     """
     first = scratch.table(_sketched(documents, size, percent).withColumn("uid", F.monotonically_increasing_id()), "sketched")
-    rows = scratch.table(first.select("uid", "doc_id", "n_shingles", "digest", "key"), "rows")
+    rows = scratch.table(first.select("uid", "doc_id", "text_hash", "n_shingles", "digest", "key"), "rows")
     meets = _meetings(first, scratch, percent)
     scratch.drop(first)
     families = connected_components(meets, scratch)
     scratch.drop(meets)
     classes = scratch.table(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("least_id"), F.count("*").alias("weight"), F.first("key").alias("key")), "classes")
-    wanted = scratch.table(
-        families.select(F.col("node").alias("key"), F.col("comp").alias("fam")).join(classes, "key").join(rows.select(F.col("uid").alias("cid"), F.col("doc_id").alias("row_id")), "cid"), "wanted"
-    )
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("row_id")))
+    one = rows.select(F.col("uid").alias("cid"), F.col("doc_id").alias("row_id"), F.col("text_hash").alias("row_hash"))
+    wanted = scratch.table(families.select(F.col("node").alias("key"), F.col("comp").alias("fam")).join(classes, "key").join(one, "cid"), "wanted")
+    texts = _hashed(documents)
+    if not rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        # Rows repeat in id and text: one of each will do, and is found before the shuffle.
+        texts = texts.groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
+    # By id and text, so that an id on many rows doesn't gather their texts, nor meet more than its own.
+    texts = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("text_hash") == F.col("row_hash")))
     sets = scratch.table(_sets(texts, size), "sets")
     scratch.release()
     leaves, heads = _plant(sets, scratch)
@@ -312,45 +322,85 @@ def _plant(sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     per_family = scratch.table(sets.groupBy("fam").agg(parts().alias("buckets")), "families")
     dealt = sets.join(per_family, "fam").withColumn("bucket", F.pmod(F.xxhash64("least"), F.col("buckets")))
     per_bucket = scratch.table(dealt.groupBy("fam", "bucket").agg(parts().alias("parts")), "buckets")
+    total = per_bucket.groupBy("fam").agg(F.sum("parts").alias("leaves"), F.ceil(F.sum("parts") / NODE_LEAVES).alias("ups"))
+    numbered = scratch.table(per_bucket.join(total, "fam"), "numbered")
+    # Leaves of one bucket share their least token, so they go to a node sixteen at a time.
+    up = F.pmod(F.xxhash64("bucket", F.floor(F.col("part") / 16)), F.col("ups"))
     leaves = scratch.table(
-        dealt.join(per_bucket, ["fam", "bucket"])
+        dealt.join(numbered, ["fam", "bucket"])
         .groupBy("fam", "bucket", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"))
-        .agg(F.collect_list(F.struct("cid", "weight", "tokens")).alias("docs"), F.first("buckets").alias("buckets"), F.first("parts").alias("parts"))
-        .select(F.monotonically_increasing_id().alias("leaf"), "fam", ((F.col("buckets") == 1) & (F.col("parts") == 1)).alias("alone"), F.pmod(F.col("bucket"), F.ceil(F.col("buckets") / NODE_LEAVES)).alias("node"), "docs"),
+        .agg(F.collect_list(F.struct("cid", "weight", "tokens")).alias("docs"), F.first("leaves").alias("leaves"), F.first("ups").alias("ups"))
+        .select(F.monotonically_increasing_id().alias("leaf"), "fam", (F.col("leaves") == 1).alias("alone"), up.alias("up"), "ups", "docs"),
         "leaves",
     )
 
     def summarise(batches):
         for batch in batches:
-            nodes = [merged(_leaf(docs.values)) for docs in batch.column("docs")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("leaf"), batch.column("fam"), batch.column("node"), pa.array([n["bits"].tobytes() for n in nodes], type=pa.binary()), *(pa.array([int(n[k][0]) for n in nodes], type=pa.int64()) for k in ("low", "high", "spare"))],
-                names=["leaf", "fam", "node", "bits", "low", "high", "spare"],
-            )
+            yield _heads(batch.column("leaf"), batch.column("fam"), batch.column("up"), batch.column("ups"), [merged(_leaf(docs.values)) for docs in batch.column("docs")])
+
+    return leaves, scratch.table(leaves.where("not alone").mapInArrow(summarise, HEAD), "heads")
+
+
+HEAD = "id long, fam long, up long, ups long, bits binary, low long, high long, spare long"
+
+
+def _heads(ids: pa.Array, fam: pa.Array, up: pa.Array, ups: pa.Array, nodes: list[dict]) -> pa.RecordBatch:
+    """Nodes as rows: their id and family, the number of their parent, how many parents the family has, and what is known of the sets below."""
+    return pa.RecordBatch.from_arrays(
+        [ids, fam, up, ups, pa.array([n["bits"].tobytes() for n in nodes], type=pa.binary()), *(pa.array([int(n[k][0]) for n in nodes], type=pa.int64()) for k in ("low", "high", "spare"))],
+        names=["id", "fam", "up", "ups", "bits", "low", "high", "spare"],
+    )
+
+
+def _grow(heads: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """Levels of all trees, from the nodes over the leaves (node, fam, up, ups, below) to the roots; a node has about NODE_LEAVES below it."""
+
+    def summarise(batches):
+        for batch in batches:
+            number = lambda name: batch.column(name).to_numpy()
+            up, ups = pa.array(number("up") // NODE_LEAVES), pa.array(-(-number("ups") // NODE_LEAVES))
+            yield _heads(batch.column("node"), batch.column("fam"), up, ups, [merged(_nodes(below.values)) for below in batch.column("below")])
 
-    return leaves, scratch.table(leaves.where("not alone").mapInArrow(summarise, "leaf long, fam long, node long, bits binary, low long, high long, spare long"), "heads")
+    levels = []
+    while True:
+        below = F.collect_list(F.struct("id", "bits", "low", "high", "spare"))
+        level = scratch.table(heads.groupBy("fam", "up").agg(below.alias("below"), F.first("ups").alias("ups")).withColumn("node", F.monotonically_increasing_id()), f"level{len(levels)}")
+        levels.append(level)
+        if level.where("ups > 1").isEmpty():
+            return levels
+        heads = level.mapInArrow(summarise, HEAD)
 
 
 def _traverse(leaves: DataFrame, heads: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """cid, n and root of all links, from the upper nodes of each family down."""
-    upper = scratch.table(heads.groupBy("fam", "node").agg(F.collect_list(F.struct("leaf", "bits", "low", "high", "spare")).alias("below")), "upper")
-    left, right = (upper.select("fam", F.col("node").alias(f"node_{s}"), F.col("below").alias(f"below_{s}")) for s in "ab")
+    """cid, n and root of all links, from the roots of the trees down, level by level.
+
+    A pair of nodes is a row, joined with what is below each by the nodes' ids, so
+    the pairs of one large family are spread over all tasks.
+    """
+    levels = _grow(heads, scratch)
 
-    def descend(batches):
+    def descend(batches, names: tuple[str, str], least: bool):
         for batch in batches:
             for i in range(batch.num_rows):
-                below = [batch.column(f"below_{s}")[i].values for s in "ab"]
+                below = [batch.column(n)[i].values for n in names]
                 a, b = map(_nodes, below)
                 if not may_link(merged(a), merged(b), percent)[0, 0]:
                     continue
-                ids_a, ids_b = (x.field("leaf").to_numpy() for x in below)
+                ids_a, ids_b = (x.field("id").to_numpy() for x in below)
                 close = may_link(a, b, percent)
-                if batch.column("node_a")[i] == batch.column("node_b")[i]:
-                    close &= ids_a[:, None] < ids_b[None, :]
+                if len(ids_a) == len(ids_b) and (ids_a == ids_b).all():
+                    # A node with itself: each pair once, and leaves with themselves are compared elsewhere.
+                    close &= ids_a[:, None] < ids_b[None, :] if least else ids_a[:, None] <= ids_b[None, :]
                 x, y = np.nonzero(close)
                 yield pa.RecordBatch.from_arrays([pa.array(ids_a[x]), pa.array(ids_b[y])], names=["a", "b"])
 
-    pairs = scratch.table(left.join(right, "fam").where("node_a <= node_b").mapInArrow(descend, "a long, b long"), "pairs")
+    found = "a long, b long"
+    pairs = scratch.table(levels[-1].select("below").mapInArrow(partial(descend, names=("below", "below"), least=len(levels) == 1), found), "pairs")
+    for k in reversed(range(len(levels) - 1)):
+        sides = [levels[k].select(F.col("node").alias(s), F.col("below").alias(f"below_{s}")) for s in "ab"]
+        both = pairs.join(sides[0], "a").join(sides[1], "b").select("below_a", "below_b")
+        pairs = scratch.table(both.mapInArrow(partial(descend, names=("below_a", "below_b"), least=k == 0), found), "pairs")
+    scratch.drop(*levels)
     crowded = leaves.where("not alone")
     sided = pairs.join(crowded.select(F.col("leaf").alias("a"), F.col("docs").alias("docs_a")), "a").join(crowded.select(F.col("leaf").alias("b"), F.col("docs").alias("docs_b")), "b")
     found = "cid long, n long, root long"
