@@ -151,22 +151,17 @@ def test_recall_on_whole_table(spark, scratch):
     assert 0.9 * true <= found <= true
 
 
-def test_recall_near_the_threshold():
-    """Pairs of cosine 0.9 to 0.93, where codes differ most."""
-    from tidemark.llm.embedding_dedup import Tables, learn_rotation
-
-    rng = np.random.default_rng(7)
-    a = rng.standard_normal((4000, 64))
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    b = rng.standard_normal(a.shape)
-    b -= (a * b).sum(axis=1, keepdims=True) * a
-    b /= np.linalg.norm(b, axis=1, keepdims=True)
-    c = rng.uniform(0.9, 0.93, size=(len(a), 1))
-    near = c * a + np.sqrt(1 - c * c) * b
-    turn, tables = learn_rotation(a), Tables.for_rows(50_000, 64)
-    x, y = turn.codes(a), turn.codes(near)
-    hit = (np.bitwise_count(tables.keys(x) ^ tables.keys(y)) <= 1).any(axis=0) & (np.bitwise_count(x ^ y) <= 24)
-    assert hit.mean() >= 0.9
+def test_ragged_and_tight_buckets(spark, scratch, monkeypatch):
+    """A third of the rows in one tight cluster over many blocks, a third null, and the links of the cluster counted without loss."""
+    import tidemark.llm.embedding_dedup as E
+
+    monkeypatch.setattr(E, "PER_BLOCK", 64)
+    rng = np.random.default_rng(12)
+    centre = rng.standard_normal(32)
+    rows = [(k, (centre + 0.01 * rng.standard_normal(32)).tolist()) for k in range(700)] + [(1000 + k, None) for k in range(700)] + [(2000 + k, rng.standard_normal(32).tolist()) for k in range(700)] + [(3000 + k, [1.0, 0.0]) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(df, scratch).collect()}
+    assert all(got[k] == (699, 0, k == 0) for k in range(700)) and all(got[k] == (0, k, True) for k in range(1000, 1700)) and all(got[k] == (299, 3000, k == 3000) for k in range(3000, 3300))
 
 
 def pairs_near_the_threshold(rng, n, dim, common):
@@ -195,9 +190,10 @@ def test_recall_at_every_size(dim, common):
 
     rng = np.random.default_rng(8)
     a, b = pairs_near_the_threshold(rng, 6000, dim, common)
-    for rows in (1000, 50_000, 200_000, 1_500_000):
+    for rows in (10**4, 10**6, 10**8, 10**9):
         index = choose_index(a[:4000], rows)
-        met = (index.keys(a[4000:]) == index.keys(b[4000:])).any(axis=0) if index.tables.width else np.ones(2000, dtype=bool)
+        x, y = index.codes(a[4000:]), index.codes(b[4000:])
+        met = (index.keys_of(x) == index.keys_of(y)).any(axis=0) & (np.bitwise_count(x ^ y).sum(axis=1) <= index.limit) if index.tables.width else np.ones(2000, dtype=bool)
         assert met.mean() >= 0.93, rows
 
 
@@ -209,3 +205,29 @@ def test_links_near_the_threshold(spark, scratch, common):
     df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
     got = {r.vec_id: r.component_id for r in near_duplicate_vectors(df, scratch).collect()}
     assert len(got) == len(vectors) and sum(got[k] == got[len(a) + k] for k in range(2000)) >= 0.9 * 2000
+
+
+@pytest.mark.parametrize("hot", ["7", "CAST(NULL AS BIGINT)"])
+def test_shingle_join_with_one_id_on_a_third_of_the_rows(spark, scratch, hot):
+    """The hot id is on 10,000 different texts; every fourth of all texts comes twice, once with a word changed at its end, once whole."""
+    words = "array_join(transform(sequence(1, 30), k -> concat('w', t % 9973, 'x', k)), ' ')"
+    df = spark.range(30000).selectExpr("id", f"IF(id % 3 = 0, {hot}, id) AS doc_id", "IF(id % 4 = 1, id - 1, id) AS t").selectExpr("id", "doc_id", f"concat({words}, ' ', t, IF(id % 8 = 1, ' end', ' last')) AS text")
+    got = shingle_join(df.select("doc_id", "text"), scratch).selectExpr("sum(n_links)", "count(*)").first()
+    # By brute force among texts with one first word, as others share no shingle.
+    texts = [r.text for r in df.orderBy("id").collect()]
+    sets = [frozenset(tuple(w[k : k + 4]) for k in range(len(w) - 3)) for w in (t.split() for t in texts)]
+    groups = defaultdict(list)
+    for k, t in enumerate(texts):
+        groups[t.split()[0]].append(k)
+    links = sum(100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) for g in groups.values() for a in g for b in g if a != b)
+    assert got[1] == 30000 and links >= 15000 and got[0] == links
+    assert spark.read.parquet(f"{scratch.path}/*-leaves").selectExpr("sum(size(docs))").first()[0] <= 30000
+
+
+def test_shingle_join_of_repeated_rows(spark, scratch):
+    """One row on a third of all rows: its tokens are needed once."""
+    rows = [(7, "the very same words again and again in a row")] * 2000 + [(k, f"the very same words again and again in a row {k}") for k in range(100, 130)] + [(k, f"own {k} text {k} of {k} no {k} one {k}") for k in range(1000, 3000)]
+    got = shingle_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), scratch).collect()
+    assert {r.component_id for r in got if r.doc_id == 7 or 100 <= r.doc_id < 130} == {7} and all(r.component_id == r.doc_id for r in got if r.doc_id >= 1000)
+    assert {r.n_links for r in got if r.doc_id == 7} == {2029}
+    assert spark.read.parquet(f"{scratch.path}/*-leaves").selectExpr("sum(size(docs))").first()[0] <= 60

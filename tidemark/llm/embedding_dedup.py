@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark.plans.components import connected_components
 from tidemark.plans.scratch import Scratch
@@ -23,8 +24,12 @@ PER_BUCKET = 256
 PER_BLOCK, BLOCK_PARTS = 1024, 1 << 16
 #: Share of pairs just at the least cosine that must meet in a bucket, by pairs planted around PLANTED sample vectors.
 RECALL, PLANTED = 0.97, 4000
+#: Share of those pairs whose codes, over all rotations, differ in no more bits than candidates may.
+CLOSE_CODES = 0.999
 #: Codes from rotations of their own at most; vectors on which those after the first are learned.
-MOST_CODES, MORE_SAMPLE = 16, 5000
+MOST_CODES, MORE_SAMPLE = 32, 5000
+#: Bits of the widest substrings.
+MOST_WIDTH = 32
 #: Work of a vector in one more table, in comparisons.
 TABLE_WORK = 2000
 
@@ -70,7 +75,7 @@ class Tables:
     @staticmethod
     def for_rows(rows: int, bits: int) -> Tables:
         """About PER_BUCKET rows a bucket if codes are balanced, in as many whole tables as fit."""
-        return Tables.of_width(max(1, min(16, bits, round(math.log2(max(2, rows / PER_BUCKET))))), bits)
+        return Tables.of_width(max(1, min(MOST_WIDTH, bits, round(math.log2(max(2, rows / PER_BUCKET))))), bits)
 
     def keys(self, codes: np.ndarray) -> np.ndarray:
         mask = np.uint64((1 << self.width) - 1)
@@ -79,14 +84,52 @@ class Tables:
 
 @dataclass(frozen=True)
 class Index:
-    """The tables of all codes: those of the first rotation, then of the next; the first ``count`` are used."""
+    """The tables of all codes: those of the first rotation, then of the next; the first ``count`` are used.
+
+    Two vectors that share a bucket are candidates if their codes differ in at most ``limit`` bits.
+    """
 
     rotations: list[Rotation]
     tables: Tables
     count: int
+    limit: int = 0
+
+    def codes(self, unit: np.ndarray) -> np.ndarray:
+        """A row per vector, a column per rotation."""
+        return np.stack([r.codes(unit) for r in self.rotations], axis=1) if self.rotations else np.zeros((len(unit), 0), dtype=np.uint64)
+
+    def keys_of(self, codes: np.ndarray) -> np.ndarray:
+        """The bucket of every code in each table; a single one if there are no codes."""
+        if not codes.shape[1]:
+            return np.zeros((1, len(codes)), dtype=np.uint64)
+        return np.concatenate([self.tables.keys(c) for c in codes.T])[: self.count]
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.tables.keys(r.codes(unit)) for r in self.rotations])[: self.count]
+        return self.keys_of(self.codes(unit))
+
+    def candidates(self, a: np.ndarray, b: np.ndarray, same: bool, table: int) -> np.ndarray:
+        """Which of the codes a and b of one bucket are close, and met in no table before this one."""
+        if not a.shape[1]:
+            close = np.ones((len(a), len(b)), dtype=bool)
+        else:
+            apart = np.zeros((len(a), len(b)), dtype=np.uint16)
+            for x, y in zip(a.T, b.T, strict=True):
+                apart += np.bitwise_count(x[:, None] ^ y[None, :])
+            close = apart <= self.limit
+        if same:
+            np.fill_diagonal(close, False)
+        if table:
+            drop_met(close, self.keys_of(a), self.keys_of(b), table)
+        return close
+
+
+def drop_met(close: np.ndarray, a: np.ndarray, b: np.ndarray, table: int) -> None:
+    """Clear the pairs whose keys are equal in a table before this one."""
+    x, y = np.nonzero(close)
+    before = np.zeros(len(x), dtype=bool)
+    for t in range(table if len(x) else 0):
+        before |= a[t, x] == b[t, y]
+    close[x[before], y[before]] = False
 
 
 def planted_partners(unit: np.ndarray, least: float, seed: int = 1) -> list[np.ndarray]:
@@ -155,7 +198,11 @@ def choose_index(unit: np.ndarray, rows: int, least: float = LEAST_COSINE) -> In
             count += 1
         if hit.mean(axis=1).min() >= RECALL and work < least_work:
             best, least_work = Index(rotations, tables, count), work
-    return Index(best.rotations[: -(-best.count // len(best.tables.shifts))], best.tables, best.count) if best.tables.width else best
+    if not best.tables.width:
+        return best
+    turns = -(-best.count // len(best.tables.shifts))
+    apart = [sum(np.bitwise_count(codes[t][0] ^ codes[t][k]).astype(np.int64) for t in range(turns)) for k in (1, 2)]
+    return Index(rotations[:turns], best.tables, best.count, int(np.ceil(np.quantile(apart, CLOSE_CODES, axis=1).max())))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -177,7 +224,7 @@ def usable(column):
 
 
 def compare_blocks(a: dict, b: dict, same: bool, table: int, least: float):
-    """Links between two blocks that this table is the first to show; "keys" are the rows' buckets in every table.
+    """Links between two sets of vectors that this table is the first to show; "keys" are their buckets in every table.
 
     Returns ids, the weight linked to each, and a root of each in the forest of
     these links: never the pairs themselves.
@@ -185,12 +232,8 @@ def compare_blocks(a: dict, b: dict, same: bool, table: int, least: float):
     links = a["unit"] @ b["unit"].T >= least
     if same:
         np.fill_diagonal(links, False)
-    x, y = np.nonzero(links)
-    if table and len(x):
-        before = np.zeros(len(x), dtype=bool)
-        for t in range(table):
-            before |= a["keys"][x, t] == b["keys"][y, t]
-        links[x[before], y[before]] = False
+    if table:
+        drop_met(links, a["keys"], b["keys"], table)
     return summed_links(links, a, b, same)
 
 
@@ -252,14 +295,21 @@ def near_duplicate_vectors(embeddings: DataFrame, scratch: Scratch, least: float
             linked = linked.union(more)
     counts = linked.groupBy("cid").agg(F.sum("n").alias("n"))
     comps = connected_components(linked.select(F.col("cid").alias("a"), F.col("root").alias("b")).distinct(), scratch)
-    named = classes.select("cid", "embedding", "least_id", "weight").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    named = classes.select("cid", *_digests(), "least_id", "weight").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     ids = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     result = scratch.table(
-        named.join(ids, "comp").join(counts, "cid", "left").select("embedding", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"), "result"
+        named.join(ids, "comp").join(counts, "cid", "left").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"), "result"
     )
-    out = rows.withColumn("usable", usable(F.col("embedding"))).join(result.withColumn("usable", F.lit(True)), ["embedding", "usable"], "left")
-    component = F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    linkable = good.select("vec_id", *_digests()).join(result, ["h1", "h2"]).select("vec_id", "n_links", "component_id", kept)
+    rest = rows.where(~usable(F.col("embedding"))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linkable.union(rest.select("vec_id", "n_links", "component_id", kept))
+
+
+def _digests():
+    """128 bits of a vector, by which rows find their class without carrying it; a negative zero counts as zero, as in grouping."""
+    plain = F.transform("embedding", lambda x: x + 0.0)
+    return F.xxhash64(plain).alias("h1"), F.xxhash64(F.lit(1), plain).alias("h2")
 
 
 def _links_of_length(classes: DataFrame, dim: int, scratch: Scratch, least: float, sample: int) -> DataFrame:
@@ -267,53 +317,66 @@ def _links_of_length(classes: DataFrame, dim: int, scratch: Scratch, least: floa
     picked = classes.select("embedding", F.xxhash64("embedding").alias("h")).orderBy("h").limit(sample).collect()
     index = choose_index(_unit(np.array([r["embedding"] for r in picked])), classes.count(), least)
     per_block = max(16, min(PER_BLOCK, BLOCK_PARTS // dim))
+    n_codes = len(index.rotations)
 
     def keyed(batches, whole: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            unit = _unit(_matrix(batch.column("embedding")))
-            keys = index.keys(unit) if index.tables.width else np.zeros((1, len(unit)), np.uint64)
-            if whole:
-                rows = [batch.column("cid"), batch.column("weight"), *(pa.array([x.tobytes() for x in m], type=pa.binary()) for m in (np.ascontiguousarray(keys.T.astype(np.uint16)), unit))]
-            for t in range(index.count):
-                at = [pa.array(np.full(len(unit), t, np.int32)), pa.array(keys[t].astype(np.int64))]
-                if whole:
-                    yield pa.RecordBatch.from_arrays([*at, *rows], names=["t", "key", "cid", "weight", "keys", "vec"])
-                else:
-                    yield pa.RecordBatch.from_arrays(at, names=["t", "key"])
-
-    sizes = classes.select("embedding").mapInArrow(lambda b: keyed(b, False), "t int, key long").groupBy("t", "key").agg(F.ceil(F.count("*") / per_block).alias("parts"))
-    coded = classes.select("cid", "weight", "embedding").mapInArrow(lambda b: keyed(b, True), "t int, key long, cid long, weight long, keys binary, vec binary")
-    member = F.struct("cid", "weight", "keys", "vec")
+            codes = index.codes(_unit(_matrix(batch.column("embedding"))))
+            keys = index.keys_of(codes)
+            own = [batch.column("cid"), pa.array([x.tobytes() for x in codes], type=pa.binary())] if whole else []
+            for t, key in enumerate(keys):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key.astype(np.int64)), *own], names=["t", "key", "cid", "codes"][: 2 + len(own)])
+
+    bucket = ["t", "key"]
+    sizes = classes.select("embedding").mapInArrow(partial(keyed, whole=False), "t int, key long").groupBy(*bucket).agg(F.ceil(F.count("*") / per_block).alias("parts"))
+    coded = classes.select("cid", "embedding").mapInArrow(partial(keyed, whole=True), "t int, key long, cid long, codes binary")
     blocks = scratch.table(
-        coded.join(scratch.table(sizes, "sizes"), ["t", "key"])
+        coded.join(scratch.table(sizes, "sizes"), bucket)
         .withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")))
-        .groupBy("t", "key", "part").agg(F.collect_list(member).alias("rows"))
-        .withColumn("block", F.monotonically_increasing_id()),
+        .groupBy(*bucket, "part").agg(F.collect_list(F.struct("cid", "codes")).alias("rows"), F.first("parts").alias("parts")),
         "blocks",
     )
-    heads = blocks.select("t", "key", "block")
-    # Blocks of one bucket meet in pairs; a bucket of one block has none.
-    other = heads.select("t", "key", F.col("block").alias("b"))
-    pairs = scratch.table(heads.select("t", "key", F.col("block").alias("a")).join(other, ["t", "key"]).where("a < b").select("t", "a", "b"), "pairs")
-    sided = pairs.join(blocks.select(F.col("block").alias("a"), F.col("rows").alias("rows_a")), "a").join(blocks.select(F.col("block").alias("b"), F.col("rows").alias("rows_b")), "b")
-
-    def side(members: pa.Array) -> dict:
-        field = lambda n: members.field(n)
-        joined = lambda n, kind: np.frombuffer(b"".join(field(n).to_pylist()), dtype=kind).reshape(len(members), -1)
-        return {"id": field("cid").to_numpy(), "weight": field("weight").to_numpy(), "keys": joined("keys", np.uint16), "unit": joined("vec", np.float64)}
-
-    def compare(batches):
+    # Blocks of one bucket meet in pairs, each made from its own block's row; a bucket of one block has none.
+    pairs = blocks.where("part + 1 < parts").select(*bucket, F.col("part").alias("a"), F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("b"))
+    side = lambda name: blocks.select(*bucket, F.col("part").alias(name), F.col("rows").alias(f"rows_{name}"))
+    across = pairs.join(side("a"), [*bucket, "a"]).join(side("b"), [*bucket, "b"])
+
+    def members(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return rows.field("cid").to_numpy(), np.frombuffer(b"".join(rows.field("codes").to_pylist()), dtype=np.uint64).reshape(len(rows), n_codes)
+
+    def retrieve(batches):
+        """Rows with a candidate: the pair of blocks they are in, their side, cid."""
+        for batch in batches:
+            same = "rows" in batch.schema.names
+            for i in range(batch.num_rows):
+                t, key, *ends = (batch.column(c)[i].as_py() for c in (*bucket, *(["part"] if same else ["a", "b"])))
+                ids_a, a = members(batch.column("rows" if same else "rows_a")[i].values)
+                ids_b, b = (ids_a, a) if same else members(batch.column("rows_b")[i].values)
+                close = index.candidates(a, b, same, t)
+                for k, cids in enumerate([ids_a[close.any(axis=1)]] if same else [ids_a[close.any(axis=1)], ids_b[close.any(axis=0)]]):
+                    n = len(cids)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, t, np.int32)), *(pa.array(np.full(n, x, np.int64)) for x in (key, ends[0], ends[-1])), pa.array(np.full(n, k, np.int32)), pa.array(cids)], names=[*bucket, "a", "b", "side", "cid"]
+                    )
+
+    place = "t int, key long, a long, b long, side int, cid long"
+    near = scratch.table(
+        blocks.select(*bucket, "part", "rows").mapInArrow(retrieve, place).union(across.select(*bucket, "a", "b", "rows_a", "rows_b").mapInArrow(retrieve, place)), "near"
+    )
+    scratch.drop(blocks)
+    met = near.join(classes.select("cid", "weight", "embedding"), "cid").groupBy(*bucket, "a", "b").agg(F.collect_list(F.struct("side", "cid", "weight", "embedding")).alias("rows"))
+
+    def rerank(batches):
         for batch in batches:
-            within = "rows" in batch.schema.names
             for i in range(batch.num_rows):
-                a = side(batch.column("rows" if within else "rows_a")[i].values)
-                b = a if within else side(batch.column("rows_b")[i].values)
-                if (r := compare_blocks(a, b, within, batch.column("t")[i].as_py(), least)) is not None:
+                rows = batch.column("rows")[i].values
+                unit, of_b = _unit(_matrix(rows.field("embedding"))), rows.field("side").to_numpy() == 1
+                whole = {"id": rows.field("cid").to_numpy(), "weight": rows.field("weight").to_numpy(), "unit": unit}
+                keys, same = index.keys(unit), not of_b.any()
+                a, b = ({**{k: v[w] for k, v in whole.items()}, "keys": keys[:, w]} for w in (~of_b, of_b))
+                if (r := compare_blocks(a, a if same else b, same, batch.column("t")[i].as_py(), least)) is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in r], names=["cid", "n", "root"])
 
-    found = "cid long, n long, root long"
-    within = scratch.table(blocks.select("t", "rows").mapInArrow(compare, found), "within")
-    across = scratch.table(sided.select("t", "rows_a", "rows_b").mapInArrow(compare, found), "across")
-    return within.union(across)
+    return scratch.table(met.select("t", "rows").mapInArrow(rerank, "cid long, n long, root long"), "links")
