@@ -14,7 +14,7 @@ def test_select_with_everything():
     assert s.order_by == ((T.Name("N"), True), (T.Name("Id"), False))
 
 
-@pytest.mark.parametrize("sql", ["CREATE", "SELECT a FROM t LIMIT 10", "SELECT a FROM t WHERE a='x' OR b='y'", "DELETE FROM t WHERE a='x' AND b='y'", "CREATE TABLE T (a VARCHAR(0))", "SELECT a FROM t WHERE a = 'x", "SELECT a FROM t WHERE a > 1"])
+@pytest.mark.parametrize("sql", ["CREATE", "SELECT a FROM t LIMIT x", "SELECT a FROM t WHERE a='x' OR", "DELETE FROM t WHERE", "SELECT a + 1 FROM t", "CREATE TABLE T (a VARCHAR(0))", "SELECT a FROM t WHERE a = 'x", "SELECT a FROM t WHERE a >"])
 def test_parse_errors(sql):
     with pytest.raises(ParseError):
         parse(sql)

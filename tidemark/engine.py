@@ -7,8 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.errors import EngineError, ValidationError
-from tidemark.functions.text import folded
 from tidemark.plans.database import Database, Table
+from tidemark.plans.scratch import Scratch
 from tidemark.plans.tables import read_table
 from tidemark.sql import tree as T
 from tidemark.sql.parser import parse
@@ -57,6 +57,7 @@ class Engine:
     def __init__(self, spark: SparkSession, profile: Profile = TYPED):
         self.spark, self.profile = spark, profile
         self.open_: dict[str, Database] = {}
+        self.scratch: Scratch | None = None
 
     def open(self, path: str) -> Database:
         path = path.rstrip("/")
@@ -71,16 +72,33 @@ class Engine:
     def query(self, sql: str, path: str, snapshot: int | None = None) -> DataFrame:
         """The rows of a SELECT, as of a version of the database if one is given."""
         s = parse(sql)
-        if not isinstance(s, T.Select):
+        if not isinstance(s, T.Query):
             raise ValidationError("Only SELECT returns rows")
         return self._run(s, path, snapshot).rows
 
     def query_tables(self, sql: str, folder: str) -> DataFrame:
         """The rows of a SELECT over the Parquet tables of a folder."""
         s = parse(sql)
-        if not isinstance(s, T.Select):
+        if not isinstance(s, T.Query):
             raise ValidationError("Only SELECT returns rows")
-        return Planner(lambda name: read_table(self.spark, folder, name.lower()), self.profile).plan(s)
+        return self._planner(lambda name: read_table(self.spark, folder, name.lower())).plan(s)
+
+    def _planner(self, load) -> Planner:
+        def keep(df: DataFrame) -> DataFrame:
+            if self.scratch is None:
+                self.scratch = Scratch(self.spark, "query")
+            return self.scratch.table(df, "round")
+
+        return Planner(load, self.profile, keep)
+
+    def _load(self, db: Database, snapshot: int | None):
+        """Tables and views of a database by name."""
+
+        def load(name: str) -> DataFrame:
+            view = db.views().get(name.lower())
+            return self._planner(load).plan(parse(view)) if view else db.rows(name, snapshot)
+
+        return load
 
     def _run(self, s: T.Statement, path: str, snapshot: int | None = None) -> Result:
         if isinstance(s, T.CreateDatabase):
@@ -88,9 +106,19 @@ class Engine:
             self.open_[made] = Database.create(self.spark, made, s.name, s.options)
             return Result()
         db = self.open(path)
-        if isinstance(s, T.Select):
+        if isinstance(s, T.Query):
             # Files are immutable and the version is read once, so NOLOCK has nothing to skip.
-            return Result(rows=Planner(lambda name: db.rows(name, snapshot), self.profile).plan(s))
+            return Result(rows=self._planner(self._load(db, snapshot)).plan(s))
+        if isinstance(s, T.CreateView):
+            self._planner(self._load(db, None)).plan(s.query)  # a query that can't be planned is no view
+            db.create_view(s.name, s.text)
+            return Result()
+        if isinstance(s, T.DropView):
+            db.drop_view(s.name)
+            return Result()
+        if isinstance(s, T.AlterTable):
+            db.alter(s)
+            return Result()
         if isinstance(s, T.CreateTable):
             db.create_table(s)
             return Result()
@@ -107,11 +135,9 @@ class Engine:
     def _pair(found: tuple[int, list[str]]):
         return found[0], None, found[1]
 
-    def _matches(self, table: Table, where: T.Equals | None) -> Column | None:
-        if where is None:
-            return None
-        column = F.col(f"`{table.column(where.column.column).name}`")
-        return folded(column) == folded(F.lit(where.value)) if self.profile.compat else column == F.lit(where.value)
+    def _matches(self, table: Table, where: tuple, rows: DataFrame) -> Column:
+        visible = rows.select([F.col(f"`{c.name}`") for c in table.columns])
+        return Planner(lambda name: visible, self.profile).condition(where, visible, table.name)
 
     def script(self, text: str, path: str) -> ScriptResult:
         """Statements in order; the first error ends the script, and what ran before stays."""
@@ -140,6 +166,18 @@ class Engine:
     def rebalance(self, path: str, table: str) -> int:
         return self.open(path).rebalance(table)
 
+    def rows_by_id(self, path: str, table: str, ids: list[int]) -> DataFrame:
+        """The current rows with these row ids; files whose range of ids holds none are passed over."""
+        return self.open(path).by_row_id(table, ids)
+
+    def export(self, path: str, table: str, target: str) -> None:
+        """Write a table's rows in the stored format of the database's backend (text or binary)."""
+        self.open(path).export(table, target)
+
+    def import_rows(self, path: str, table: str, source: str) -> tuple[int, list[str]]:
+        """Append rows of files in the stored format of the database's backend."""
+        return self.open(path).import_rows(table, source)
+
     def vacuum(self, path: str, table: str) -> int:
         return self.open(path).vacuum(table)
 

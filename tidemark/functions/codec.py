@@ -18,11 +18,15 @@ def encode(c: Column) -> Column:
 
 
 def decode(c: Column) -> Column:
-    r"""The text of an encoded one; \x of another x is x. Even runs of backslashes are set apart first."""
-    out = F.replace(c, F.lit("\\\\"), F.lit("\x00"))
-    for raw, escaped in list(_ESCAPES.items())[1:]:
-        out = F.replace(out, F.lit(escaped), F.lit(raw))
-    return F.replace(F.regexp_replace(out, r"\\(.)", "$1"), F.lit("\x00"), F.lit("\\"))
+    r"""The text of an encoded one; \x of another x is x. Cut at escaped backslashes, so that none of those begins another escape."""
+
+    def rest(piece: Column) -> Column:
+        out = piece
+        for raw, escaped in list(_ESCAPES.items())[1:]:
+            out = F.replace(out, F.lit(escaped), F.lit(raw))
+        return F.regexp_replace(out, r"(?s)\\(.)", "$1")
+
+    return F.array_join(F.transform(F.split(c, r"\\\\", -1), rest), "\\")
 
 
 def truncate(c: Column, width: int) -> Column:

@@ -26,3 +26,10 @@ def lacking(going: DataFrame, staying: DataFrame, key: str) -> DataFrame:
     """Rows that go and whose key no staying row has."""
     keys = staying.select(F.col(key).alias("_staying_key"))
     return going.join(keys, F.col(key) == F.col("_staying_key"), "left_anti")
+
+
+def taken(new: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:
+    """Keys of new rows that other rows have already; a key without any value is no key."""
+    keys = new.dropna(how="all", subset=key).select([F.col(f"`{k}`").alias(f"_new_{i}") for i, k in enumerate(key)])
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_new_{i}")) for i, k in enumerate(key)]
+    return others.select([F.col(f"`{k}`") for k in key]).join(keys, same, "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import threading
 import uuid
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as Types
 
@@ -13,6 +13,7 @@ from tidemark.errors import ConstraintViolation, SchemaError, StorageError, Vali
 from tidemark.functions.codec import encode, truncate
 from tidemark.operators import constraints
 from tidemark.plans.versions import dead_at, visible_at
+from tidemark.sources import rows as stored
 from tidemark.sources.files import Files
 from tidemark.sql import tree as T
 
@@ -35,7 +36,10 @@ class Table:
     foreign_keys: list[T.ForeignKey] = field(default_factory=list)
     indexes: list[T.CreateIndex] = field(default_factory=list)
     max_shard_size: int | None = None
+    #: Its files, below the database.
     parts: list[str] = field(default_factory=list)
+    #: The first version whose rows are all there still; vacuum drops what only older ones see.
+    oldest: int = 0
     next_row_id: int = 0
     active: int = 0
     deleted: int = 0
@@ -94,29 +98,37 @@ class Database:
 
     # Manifests
 
-    def manifest(self) -> dict:
+    def manifest(self, version: int | None = None) -> dict:
         names = [n for n in self.files.names(f"{self.path}/versions") if n.endswith(".json")]
-        return json.loads(self.files.read(f"{self.path}/versions/{names[-1]}"))
+        name = names[-1] if version is None else f"{version:020d}.json"
+        if name not in names:
+            raise StorageError(f"The database has no version {version}", self.path)
+        return json.loads(self.files.read(f"{self.path}/versions/{name}"))
+
+    def views(self) -> dict[str, str]:
+        return self.manifest().get("views", {})
 
     @property
     def version(self) -> int:
         return self.manifest()["version"]
 
-    def tables(self) -> dict[str, Table]:
-        return {k: Table.from_json(v) for k, v in self.manifest()["tables"].items()}
+    def tables(self, version: int | None = None) -> dict[str, Table]:
+        return {k: Table.from_json(v) for k, v in self.manifest(version)["tables"].items()}
 
-    def table(self, name: str) -> Table:
-        found = self.tables().get(name.lower())
+    def table(self, name: str, version: int | None = None) -> Table:
+        found = self.tables(version).get(name.lower())
         if found is None:
             raise SchemaError(f"Unknown table '{name}'")
         return found
 
-    def _publish(self, version: int, *changed: Table) -> None:
+    def _publish(self, version: int, *changed: Table, views: dict[str, str] | None = None) -> None:
         new = self.manifest()
         if new["version"] != version - 1:
             raise StorageError("Another writer has changed the database")
         new["version"] = version
         new["tables"] |= {t.name.lower(): asdict(t) for t in changed}
+        if views is not None:
+            new["views"] = views
         if not self.files.create(f"{self.path}/versions/{version:020d}.json", json.dumps(new)):
             raise StorageError("Another writer has changed the database")
         for t in changed:
@@ -127,18 +139,50 @@ class Database:
 
     def versions(self, table: Table) -> DataFrame:
         """All row versions of a table, with the hidden columns."""
-        if not table.parts:
+        return self._read_parts(table, table.parts)
+
+    def _read_parts(self, table: Table, parts: list[str]) -> DataFrame:
+        if not parts:
             return self.spark.createDataFrame([], table.schema())
-        return self.spark.read.schema(table.schema()).parquet(*[f"{self.path}/{p}" for p in table.parts])
+        return self.spark.read.schema(table.schema()).parquet(*[f"{self.path}/{p}" for p in parts])
 
     def rows(self, name: str, snapshot: int | None = None, hidden: bool = False) -> DataFrame:
-        """The rows of a table that a snapshot sees, by default the current one."""
-        table = self.table(name)
+        """The rows of a table that a snapshot sees, by default the current one.
+
+        A snapshot is read through its own manifest, so with the files and the
+        columns of then; one that vacuum has taken rows from is an error.
+        """
         if snapshot is None and not hidden and name.lower() in self.cached:
             return self.cached[name.lower()]
+        table = self.table(name, snapshot)
+        if snapshot is not None and snapshot < (oldest := self.table(name).oldest):
+            raise StorageError(f"Version {snapshot} of '{name}' has expired: it was vacuumed at version {oldest}", self.path)
         seen = self.versions(table).where((F.col(XMAX) == 0) if snapshot is None else visible_at(snapshot, XMIN, XMAX))
         return seen if hidden else seen.drop(*HIDDEN)
 
+    def by_row_id(self, name: str, ids: list[int]) -> DataFrame:
+        """Rows with these ids; the ids reach the scan, where the files' statistics rule out those without any."""
+        return self.rows(name, hidden=True).where(F.col(ROW_ID).isin(*ids)).drop(*HIDDEN)
+
+    def export(self, name: str, target: str) -> None:
+        """All row versions in the stored format of the backend."""
+        table = self.table(name)
+        rows = self.versions(table).withColumnRenamed(XMIN, "_xmin").withColumn("_active", F.col(XMAX) == 0)
+        rows = rows.withColumns({c.name: F.col(f"`{c.name}`").cast("int").cast("string") for c in table.columns if c.type == "BIT"})
+        if self._backend() == "binary":
+            stored.write_binary(rows, target, table.columns, versions=True)
+        else:
+            stored.write_text_rows(rows, target, table.columns)
+
+    def import_rows(self, name: str, source: str) -> tuple[int, list[str]]:
+        """Append the active rows of files in the stored format of the backend; they get row ids and versions of their own."""
+        table = self.table(name)
+        rows = stored.read_binary(self.spark, source, table.columns, versions=True) if self._backend() == "binary" else stored.read_text_rows(self.spark, source, table.columns)
+        return self.append(name, rows.where("_active").select([F.col(f"`{c.name}`") for c in table.columns]))
+
+    def _backend(self) -> str:
+        return self.manifest()["options"]["storagebackend"].lower()
+
     def cache(self) -> None:
         """Keep all tables in memory, spilling to disk."""
         for name in self.tables():
@@ -171,6 +215,43 @@ class Database:
                 parent.column(f.referenced)
             self._publish(self.version + 1, table)
 
+    def create_view(self, name: str, text: str) -> None:
+        with self.lock:
+            if name.lower() in self.tables() or name.lower() in self.views():
+                raise SchemaError(f"There is a table or view '{name}' already")
+            self._publish(self.version + 1, views=self.views() | {name.lower(): text})
+
+    def drop_view(self, name: str) -> None:
+        with self.lock:
+            views = self.views()
+            if name.lower() not in views:
+                raise SchemaError(f"Unknown view '{name}'")
+            self._publish(self.version + 1, views={k: v for k, v in views.items() if k != name.lower()})
+
+    def alter(self, s: T.AlterTable) -> None:
+        """Add a column (null in the rows there are), drop one, or rename one, which rewrites the files."""
+        with self.lock:
+            table = self.table(s.table)
+            have = {c.name.lower() for c in table.columns} | set(HIDDEN)
+            new = s.column.name if s.kind == "add" else s.to
+            if new and new.lower() in have:
+                raise SchemaError(f"Table '{table.name}' has a column '{new}' already")
+            if s.kind == "add":
+                old, table.columns = self.versions(table).withColumn(new, F.lit(None).cast(spark_type(s.column))), [*table.columns, s.column]
+            else:
+                gone = table.column(s.column)
+                keyed = {n.lower() for names in (table.primary_key, *table.unique, [f.column for f in table.foreign_keys], *(i.columns for i in table.indexes)) for n in names}
+                if gone.name.lower() in keyed | self._referenced(table):
+                    raise ValidationError(f"'{table.name}.{gone.name}' belongs to a key or an index")
+                if s.kind == "drop" and len(table.columns) == 1:
+                    raise ValidationError("A table needs a column")
+                old = self.versions(table)
+                old = old.drop(gone.name) if s.kind == "drop" else old.withColumnRenamed(gone.name, s.to)
+                table.columns = [replace(c, name=s.to) if c is gone else c for c in table.columns if s.kind == "rename" or c is not gone]
+            # A new column's old values, or a dropped one's, must not come back under a name that is used again.
+            table.parts = self._write(table, old) if table.parts else []
+            self._publish(self.version + 1, table)
+
     def create_index(self, s: T.CreateIndex) -> None:
         """Record an index; rebalancing sorts the files by its columns, so that their statistics prune."""
         with self.lock:
@@ -218,18 +299,25 @@ class Database:
         if found := constraints.repeated_keys(rows.dropna(how="all", subset=key), key).limit(1).collect():
             raise ConstraintViolation(f"{message}: {', '.join(str(found[0][k]) for k in key)}")
 
-    def _check(self, table: Table, rows: DataFrame, touched: set[str] | None = None) -> None:
-        """Constraints of a table whose visible rows would be ``rows``; touched: only those on these columns."""
+    def _check(self, table: Table, new: DataFrame, others: DataFrame, touched: set[str] | None = None) -> None:
+        """Constraints of a table to whose visible rows ``others`` the rows ``new`` come; touched: only those on these columns.
+
+        New keys are compared among themselves, and then looked up in the others:
+        the work on the table is one scan of its key columns, without a shuffle of it
+        where the new keys are few enough to send around.
+        """
         touches = lambda names: touched is None or bool(touched & {n.lower() for n in names})
-        if table.primary_key and touches(table.primary_key):
-            self._require_unique(rows, table.primary_key, f"Duplicate primary key in '{table.name}'")
-        for unique in table.unique:
-            if touches(unique):
-                self._require_unique(rows, unique, f"Duplicate unique value in '{table.name}'")
+        keys = [(table.primary_key, f"Duplicate primary key in '{table.name}'")] if table.primary_key else []
+        for key, message in [*keys, *((u, f"Duplicate unique value in '{table.name}'") for u in table.unique)]:
+            if touches(key):
+                self._require_unique(new, key, message)
+                if found := constraints.taken(new, others, key).limit(1).collect():
+                    raise ConstraintViolation(f"{message}: {', '.join(str(found[0][k]) for k in key)}")
         for f in table.foreign_keys:
             if touches([f.column]):
-                parent = rows if f.table.lower() == table.name.lower() else self.rows(f.table)
-                lost = constraints.orphans(rows, parent, f.column, f.referenced).limit(1).collect()
+                own = f.table.lower() == table.name.lower()
+                parent = new.unionByName(others) if own else self.rows(f.table)
+                lost = constraints.orphans(new, parent, f.column, f.referenced).limit(1).collect()
                 if lost:
                     raise ConstraintViolation(f"Foreign key '{table.name}.{f.column}' has no '{f.table}' row: {lost[0][f.column]}")
 
@@ -246,12 +334,22 @@ class Database:
 
     # Changes
 
-    def _write(self, table: Table, rows: DataFrame, sort: bool = False) -> str:
-        part = f"data/{table.name.lower()}/{uuid.uuid4().hex}"
-        if sort and table.indexes:
-            rows = rows.sortWithinPartitions(*[F.col(f"`{c}`") for c in table.indexes[0].columns])
-        rows.select(*[F.col(f"`{f.name}`") for f in table.schema()]).write.parquet(f"{self.path}/{part}")
-        return part
+    def _shard_rows(self, table: Table) -> int:
+        """How many rows a file of the table's shard size holds, by the widths of its columns."""
+        size = table.max_shard_size or int(self.manifest()["options"]["defaultmaxshardsize"])
+        return max(1, size // (sum(c.width or 8 for c in table.columns) + 24))
+
+    def _order(self, table: Table) -> list[Column]:
+        """What files are sorted by: the first index, else the primary key, else the row id."""
+        names = list(table.indexes[0].columns) if table.indexes else table.primary_key or [ROW_ID]
+        return [F.col(f"`{n}`") for n in names]
+
+    def _write(self, table: Table, rows: DataFrame) -> list[str]:
+        """New files, none beyond the shard size: their names."""
+        folder = f"data/{table.name.lower()}/{uuid.uuid4().hex}"
+        fields = [F.col(f"`{f.name}`").alias(f.name) for f in table.schema()]
+        rows.select(fields).write.option("maxRecordsPerFile", self._shard_rows(table)).parquet(f"{self.path}/{folder}")
+        return [f"{folder}/{n}" for n in self.files.names(f"{self.path}/{folder}") if n.endswith(".parquet")]
 
     def insert(self, s: T.Insert) -> tuple[int, list[str]]:
         """Rows of literals; columns left out, and values missing at the end of a row, are null."""
@@ -274,105 +372,149 @@ class Database:
                 return 0, []
             version = self.version + 1
             texts = values.select([F.col(f"`{c}`").cast("string").alias(table.column(c).name) for c in values.columns])
-            typed, warnings = self._converted(table, texts, texts.columns)
-            for c in table.columns:
-                if c.name not in typed.columns:
-                    typed = typed.withColumn(c.name, F.lit(None).cast(spark_type(c)))
+            # Written once, then checked and numbered as written, as the input may not give the same rows again.
             staging = f"{self.path}/data/{table.name.lower()}/staging-{uuid.uuid4().hex}"
-            numbered = _numbered(typed, table.next_row_id, staging).withColumns({XMIN: F.lit(version).cast("long"), XMAX: F.lit(0).cast("long")})
-            part = self._write(table, numbered)
-            self.files.delete(staging)
-            added = self.spark.read.schema(table.schema()).parquet(f"{self.path}/{part}")
+            try:
+                staged = _staged(texts, staging)
+                typed, warnings = self._converted(table, staged, texts.columns)
+                for c in table.columns:
+                    if c.name not in typed.columns:
+                        typed = typed.withColumn(c.name, F.lit(None).cast(spark_type(c)))
+                numbered = _numbered(typed, table.next_row_id).withColumns({XMIN: F.lit(version).cast("long"), XMAX: F.lit(0).cast("long")})
+                parts = self._write(table, numbered)
+            finally:
+                self.files.delete(staging)
+            added = self._read_parts(table, parts)
             try:
                 if table.keyed:
-                    self._check(table, self.rows(name, hidden=True).unionByName(added))
+                    self._check(table, added, self.rows(name, hidden=True))
             except ConstraintViolation:
-                self.files.delete(f"{self.path}/{part}")
+                self._forget(parts)
                 raise
             n = added.count()
-            table.parts.append(part)
+            table.parts += parts
             table.next_row_id, table.active = table.next_row_id + n, table.active + n
             table.streams |= dict([stamp]) if stamp else {}
             self._publish(version, table)
             return n, warnings
 
-    def _matching(self, table: Table, where: T.Equals | None, equal: Column | None) -> Column:
-        live = F.col(XMAX) == 0
-        return live if where is None else live & F.coalesce(equal, F.lit(False))
+    def _forget(self, parts: list[str]) -> None:
+        for folder in {p.rsplit("/", 1)[0] for p in parts}:
+            self.files.delete(f"{self.path}/{folder}")
+
+    def _hit(self, table: Table, where: tuple, matches) -> tuple[Column, list[str], int]:
+        """The condition for live matching rows, the files that hold any, and how many rows; the driver gets a row per file."""
+        old = self.versions(table)
+        hit = (F.col(XMAX) == 0) & matches(table, where, old) if where else F.col(XMAX) == 0
+        if not table.parts:
+            return hit, [], 0
+        found = old.where(hit).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n")).collect()
+        tail = {"/".join(p.split("/")[-2:]): p for p in table.parts}
+        return hit, [tail["/".join(r["file"].split("/")[-2:])] for r in found], sum(r["n"] for r in found)
 
     def update(self, s: T.Update, matches) -> tuple[int, list[str]]:
-        """Close the matching row versions and add new ones; checked before anything is published."""
+        """Close the matching row versions and add new ones; checked before anything is published. Only files with a match are rewritten."""
         with self.lock:
             table = self.table(s.table)
-            version, old = self.version + 1, self.versions(table)
-            hit = self._matching(table, s.where, matches(table, s.where))
+            version = self.version + 1
             names = [table.column(c).name for c, _ in s.changes]
             literals = self.spark.createDataFrame([tuple(v for _, v in s.changes)], Types.StructType([Types.StructField(n, Types.StringType()) for n in names]))
             typed, warnings = self._converted(table, literals, names)
             new = typed.first()
+            hit, files, n = self._hit(table, s.where, matches)
+            if not n:
+                return 0, warnings
+            old = self._read_parts(table, files)
             changed = old.where(hit).withColumns({n: F.lit(new[n]).cast(spark_type(table.column(n))) for n in names}).withColumns({XMIN: F.lit(version).cast("long"), XMAX: F.lit(0).cast("long")})
             closed = old.withColumn(XMAX, F.when(hit, F.lit(version)).otherwise(F.col(XMAX)).cast("long"))
-            after = old.where((F.col(XMAX) == 0) & ~hit).unionByName(changed)
-            self._check(table, after, {n.lower() for n in names})
-            if {n.lower() for n in names} & self._referenced(table):
-                self._check_children(table, old.where(hit), after)
-            n = old.where(hit).count()
-            if n:
-                table.parts = [self._write(table, closed.unionByName(changed))]
-                table.deleted += n
-                self._publish(version, table)
+            touched, staying = {x.lower() for x in names}, self.versions(table).where((F.col(XMAX) == 0) & ~hit)
+            self._check(table, changed, staying, touched)
+            if touched & self._referenced(table):
+                self._check_children(table, old.where(hit), staying.unionByName(changed))
+            table.parts = [p for p in table.parts if p not in set(files)] + self._write(table, closed.unionByName(changed))
+            table.deleted += n
+            self._publish(version, table)
             return n, warnings
 
     def _referenced(self, table: Table) -> set[str]:
         return {f.referenced.lower() for t in self.tables().values() for f in t.foreign_keys if f.table.lower() == table.name.lower()}
 
     def delete(self, s: T.Delete, matches) -> int:
-        """Close the matching row versions; they stay for older snapshots until vacuum."""
+        """Close the matching row versions, in the files that hold any; they stay for older snapshots until vacuum."""
         with self.lock:
             table = self.table(s.table)
-            version, old = self.version + 1, self.versions(table)
-            hit = self._matching(table, s.where, matches(table, s.where))
-            self._check_children(table, old.where(hit), old.where((F.col(XMAX) == 0) & ~hit))
-            n = old.where(hit).count()
-            if n:
-                table.parts = [self._write(table, old.withColumn(XMAX, F.when(hit, F.lit(version)).otherwise(F.col(XMAX)).cast("long")))]
-                table.active, table.deleted = table.active - n, table.deleted + n
-                self._publish(version, table)
+            version = self.version + 1
+            hit, files, n = self._hit(table, s.where, matches)
+            if not n:
+                return 0
+            old = self._read_parts(table, files)
+            self._check_children(table, old.where(hit), self.versions(table).where((F.col(XMAX) == 0) & ~hit))
+            kept = [p for p in table.parts if p not in set(files)]
+            table.parts = kept + self._write(table, old.withColumn(XMAX, F.when(hit, F.lit(version)).otherwise(F.col(XMAX)).cast("long")))
+            table.active, table.deleted = table.active - n, table.deleted + n
+            self._publish(version, table)
             return n
 
     def vacuum(self, name: str) -> int:
-        """Drop row versions that no later snapshot sees; returns how many."""
+        """Drop row versions that no later snapshot sees, and files that the new version doesn't name; returns how many rows.
+
+        Older snapshots of the table expire: reading them is an error from now on.
+        """
         with self.lock:
             table = self.table(name)
-            version, old = self.version + 1, self.versions(table)
+            version = self.version + 1
             dead = dead_at(version - 1, XMAX)
-            n = old.where(dead).count()
+            _, files, n = self._hit_dead(table, dead)
+            kept = [p for p in table.parts if p not in set(files)]
             if n:
-                table.parts = [self._write(table, old.where(~dead), sort=True)]
+                table.parts = kept + self._write(table, self._read_parts(table, files).where(~dead))
                 table.deleted = max(0, table.deleted - n)
-                self._publish(version, table)
+            table.oldest = version
+            self._publish(version, table)
+            used = {p.split("/")[2] for p in table.parts}
+            root = f"{self.path}/data/{name.lower()}"
+            for folder in self.files.names(root):
+                if folder not in used:
+                    self.files.delete(f"{root}/{folder}")
+                else:
+                    for file in self.files.names(f"{root}/{folder}"):
+                        if file.endswith(".parquet") and f"data/{name.lower()}/{folder}/{file}" not in table.parts:
+                            self.files.delete(f"{root}/{folder}/{file}")
             return n
 
+    def _hit_dead(self, table: Table, dead: Column) -> tuple[Column, list[str], int]:
+        if not table.parts:
+            return dead, [], 0
+        found = self.versions(table).where(dead).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n")).collect()
+        tail = {"/".join(p.split("/")[-2:]): p for p in table.parts}
+        return dead, [tail["/".join(r["file"].split("/")[-2:])] for r in found], sum(r["n"] for r in found)
+
     def rebalance(self, name: str) -> int:
-        """Rewrite a table into files near its shard size, sorted by its first index; returns the active rows."""
+        """Rewrite a table into files near its shard size, each a range of its first index or key; returns the active rows.
+
+        Lookups by those columns then read the files whose statistics allow a match.
+        """
         with self.lock:
             table = self.table(name)
             if not table.parts:
                 return 0
-            files, size = self.versions(table), table.max_shard_size or int(self.manifest()["options"]["defaultmaxshardsize"])
-            widths = sum(c.width or 8 for c in table.columns) + 24
-            shards = max(1, -(-(table.active + table.deleted) * widths // size))
-            table.parts = [self._write(table, files.repartition(shards), sort=True)]
+            shards = max(1, -(-(table.active + table.deleted) // self._shard_rows(table)))
+            order = self._order(table)
+            table.parts = self._write(table, self.versions(table).repartitionByRange(shards, *order).sortWithinPartitions(*order))
             self._publish(self.version + 1, table)
             return table.active
 
 
-def _numbered(rows: DataFrame, base: int, staging: str) -> DataFrame:
-    """Dense row ids from base on: the place within a written partition, after the counts of those before."""
+def _staged(rows: DataFrame, path: str) -> DataFrame:
+    """rows written and read back, with the partition and the place in it of each."""
     schema = Types.StructType([*rows.schema.fields, Types.StructField("_part", Types.IntegerType()), Types.StructField("_place", Types.LongType())])
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    rows.withColumns({"_part": F.spark_partition_id(), "_place": place}).write.parquet(staging)
-    staged = rows.sparkSession.read.schema(schema).parquet(staging)
+    rows.withColumns({"_part": F.spark_partition_id(), "_place": place}).write.parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
+
+
+def _numbered(staged: DataFrame, base: int) -> DataFrame:
+    """Dense row ids from base on: the place within a written partition, after the counts of those before."""
     counts = staged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return staged.join(F.broadcast(before), "_part").withColumn(ROW_ID, F.col("_before") + F.col("_place") + base).drop("_part", "_place", "_before")

@@ -13,7 +13,7 @@ _TOKEN = re.compile(
       | (?P<bracket>\[[^\]\n]*\])
       | (?P<number>[0-9]+(?:\.[0-9]+)?)
       | (?P<word>[A-Za-z_][A-Za-z0-9_]*)
-      | (?P<sign><=|>=|<>|[(),.;*=<>])""",
+      | (?P<sign><=|>=|<>|!=|\|\||[(),.;*=<>+\-/%])""",
     re.S | re.X,
 )
 _ESCAPE = {"n": "\n", "r": "\r", "t": "\t"}
