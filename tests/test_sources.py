@@ -17,7 +17,7 @@ def test_codec_round_trip_and_truncation(s, width):
 
 
 def test_codec_columns(spark):
-    texts = ["Line1\nLine2\tTab\\Esc", "a\nb", "", "\\\\\\", "abcdefgh", "\\n", None]
+    texts = ["Line1\nLine2\tTab\\Esc", "a\nb", "", "\\\\\\", "abcdefgh", "\\n", "a\0b\\\\\0", "\\\\n\\", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = df.select("t", encode(df.t).alias("e"), decode(encode(df.t)).alias("d"), truncate(df.t, 2).alias("c")).collect()
     for r in got:

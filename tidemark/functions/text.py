@@ -15,10 +15,6 @@ def same_text(a: Column, b: Column) -> Column:
     return F.upper(a.cast("string")) == F.upper(b.cast("string"))
 
 
-def first_known(*columns: Column) -> Column:
-    return F.coalesce(*columns)
-
-
 def number(c: Column) -> Column:
     """The value as a double; what isn't a number counts as 0."""
     return F.coalesce(c.cast("string").try_cast("double"), F.lit(0.0))

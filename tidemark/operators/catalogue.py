@@ -72,21 +72,6 @@ def alias_qualified(t):
     return t.nation.alias("n").select(c("n.n_name").alias("nation"), "n.n_regionkey")
 
 
-@query("SELECT p_partkey, coalesce(CAST(NULL AS VARCHAR), p_name) AS name FROM part")
-def name_fallback(t):
-    return t.part.select("p_partkey", R.first_known(lit(None).cast("string"), c("p_name")).alias("name"))
-
-
-@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 33")
-def point_lookup(t):
-    return t.orders.where(c("o_orderkey") == 33).select("o_orderkey", "o_custkey", "o_totalprice")
-
-
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (1, 2, 3, 32, 64, 1000)")
-def row_id_scan(t):
-    return t.orders.where(c("o_orderkey").isin(1, 2, 3, 32, 64, 1000)).select("o_orderkey", "o_custkey")
-
-
 @query("SELECT o_orderkey, o_custkey % 7 AS xmin, o_custkey % 5 AS xmax FROM orders WHERE o_custkey % 7 <= 3 AND (o_custkey % 5 = 0 OR o_custkey % 5 > 3)")
 def snapshot_visibility(t):
     stamped = t.orders.select("o_orderkey", (c("o_custkey") % 7).alias("xmin"), (c("o_custkey") % 5).alias("xmax"))
@@ -202,27 +187,27 @@ def join_group_having(t):
     return joined.groupBy("c_custkey", "c_name").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")).where("n > 5").orderBy(c("total").desc(), "c_custkey")
 
 
-# Sorting
+# Sorting: each row's place in the result shows its order
 
 
-@query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey")
+@query("SELECT o_orderkey, o_orderpriority, o_totalprice, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) - 1 AS place FROM orders")
 def order_by_multi(t):
-    return t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice").orderBy("o_orderpriority", c("o_totalprice").desc(), "o_orderkey")
+    return R.placed(t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice").orderBy("o_orderpriority", c("o_totalprice").desc(), "o_orderkey"))
 
 
-@query("SELECT s_name FROM supplier ORDER BY s_acctbal DESC")
+@query("SELECT s_name, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) - 1 AS place FROM supplier")
 def order_by_unselected(t):
-    return t.supplier.orderBy(c("s_acctbal").desc()).select("s_name")
+    return R.placed(t.supplier.orderBy(c("s_acctbal").desc(), "s_suppkey").select("s_name"))
 
 
-@query("SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY c_nationkey ORDER BY n DESC, c_nationkey")
+@query("SELECT c_nationkey, n, row_number() OVER (ORDER BY n DESC, c_nationkey) - 1 AS place FROM (SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY c_nationkey)")
 def order_by_grouped(t):
-    return t.customer.groupBy("c_nationkey").agg(F.count("*").alias("n")).orderBy(c("n").desc(), "c_nationkey")
+    return R.placed(t.customer.groupBy("c_nationkey").agg(F.count("*").alias("n")).orderBy(c("n").desc(), "c_nationkey"))
 
 
-@query("SELECT n_name FROM nation ORDER BY upper(coalesce(n_name, '')) DESC")
+@query("SELECT n_name, row_number() OVER (ORDER BY upper(coalesce(n_name, '')) DESC) - 1 AS place FROM nation")
 def order_by_folded(t):
-    return t.nation.orderBy(R.folded(c("n_name")).desc()).select("n_name")
+    return R.placed(t.nation.orderBy(R.folded(c("n_name")).desc()).select("n_name"))
 
 
 # Subqueries
@@ -286,21 +271,6 @@ def fk_restrict_scan(t):
     return constraints.still_referenced(t.nation.where("n_regionkey = 1"), t.customer, "n_nationkey", "c_nationkey").select("n_nationkey")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
-def update_cow(t):
-    return t.orders.withColumn("o_orderstatus", F.when(c("o_orderstatus") == "P", "X").otherwise(c("o_orderstatus"))).select("o_orderkey", "o_orderstatus")
-
-
-@query("SELECT o_orderkey FROM orders WHERE NOT coalesce(o_orderstatus = 'P', false)")
-def delete_cow(t):
-    return t.orders.where(~F.coalesce(c("o_orderstatus") == "P", lit(False))).select("o_orderkey")
-
-
-@query("SELECT o_orderkey FROM orders WHERE NOT (o_custkey % 5 > 0 AND o_custkey % 5 <= 3)")
-def vacuum_versions(t):
-    return t.orders.where(~((c("o_custkey") % 5 > 0) & (c("o_custkey") % 5 <= 3))).select("o_orderkey")
-
-
 # Planned operators
 
 
@@ -355,11 +325,6 @@ def cte(t):
     return t.customer.join(big, c("c_custkey") == c("o_custkey")).select("c_name", F.round("s", 2).alias("total"))
 
 
-@query("WITH RECURSIVE up(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM up WHERE n < 20) SELECT n, n * n AS square FROM up")
-def recursive_cte(t):
-    return t._spark.sql("WITH RECURSIVE up(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM up WHERE n < 20) SELECT n, n * n AS square FROM up")
-
-
 @query("SELECT n_nationkey, lpad(n_name, 12, '.') AS l, rpad(n_name, 12, '.') AS r, trim('  ' || n_name || ' ') AS t FROM nation")
 def lpad_rpad_trim(t):
     return t.nation.select("n_nationkey", F.lpad("n_name", 12, ".").alias("l"), F.rpad("n_name", 12, ".").alias("r"), F.trim(F.concat(lit("  "), "n_name", lit(" "))).alias("t"))
@@ -389,17 +354,132 @@ def select_distinct(t):
 def window_rank(t):
     return t.orders.select("o_orderkey", F.rank().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("place"))
 
+
 # The same operators through the engine's own SQL: dialect text, and SQL for the comparison
 
 
-def statement(name: str, text: str, sql: str, compat: bool = False) -> None:
+def statement(name: str, text: str, sql: str = "", compat: bool = False, ordered: bool = False) -> None:
+    """A query of the dialect; without sql of its own the text itself is compared. ordered: with each row's place in the result."""
+
     def run(spark: SparkSession, folder: str) -> DataFrame:
         from tidemark.engine import Engine
         from tidemark.sql.planner import COMPAT, TYPED
 
-        return Engine(spark, COMPAT if compat else TYPED).query_tables(text, folder)
+        out = Engine(spark, COMPAT if compat else TYPED).query_tables(text, folder)
+        return R.placed(out) if ordered else out
+
+    QUERIES[name], ORACLE_SQL[name] = run, sql or text
+
+
+def database(sql: str):
+    """A query that runs against a database of its own, built from the tables."""
+
+    def register(steps):
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            from tidemark.engine import Engine
+            from tidemark.plans.scratch import Scratch
+
+            engine, place = Engine(spark), Scratch(spark, "database").path
+            engine.execute("CREATE DATABASE D", place)
+            engine.script(ORDERS, f"{place}/D")
+            orders = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+            engine.open(f"{place}/D").append("Orders", orders.orderBy("o_orderkey"))
+            return steps(engine, f"{place}/D")
+
+        QUERIES[steps.__name__], ORACLE_SQL[steps.__name__] = run, sql
+        return steps
+
+    return register
+
+
+ORDERS = "CREATE TABLE Orders (o_orderkey BIGINT PRIMARY KEY, o_custkey BIGINT, o_orderstatus CHAR(1), o_totalprice DECIMAL(15,2)) WITH (maxShardSize=500000); CREATE INDEX ByCustomer ON Orders (o_custkey)"
+
+
+@database("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 33")
+def point_lookup(engine, path):
+    return engine.query("SELECT o_orderkey, o_custkey FROM Orders WHERE o_orderkey = 33", path)
+
+
+@database("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 37")
+def index_lookup(engine, path):
+    engine.rebalance(path, "Orders")
+    return engine.query("SELECT o_orderkey, o_custkey FROM Orders WHERE o_custkey = 37", path)
+
+
+@database("SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders) WHERE r IN (0, 1, 2, 77, 1000)")
+def row_id_scan(engine, path):
+    return engine.rows_by_id(path, "Orders", [0, 1, 2, 77, 1000]).select("o_orderkey", "o_custkey")
+
+
+@database("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def update_cow(engine, path):
+    engine.execute("UPDATE Orders SET o_orderstatus = 'X' WHERE o_orderstatus = 'P'", path)
+    return engine.query("SELECT o_orderkey, o_orderstatus FROM Orders", path)
+
+
+@database("SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'P' AND o_custkey > 50)")
+def delete_cow(engine, path):
+    engine.execute("DELETE FROM Orders WHERE o_orderstatus = 'P' AND o_custkey > 50", path)
+    return engine.query("SELECT o_orderkey FROM Orders", path)
+
+
+@database("SELECT o_orderkey, o_orderstatus FROM orders")
+def snapshot_read(engine, path):
+    before = engine.open(path).version
+    engine.execute("DELETE FROM Orders WHERE o_orderstatus = 'P'", path)
+    engine.execute("UPDATE Orders SET o_orderstatus = 'X'", path)
+    return engine.query("SELECT o_orderkey, o_orderstatus FROM Orders", path, before)
+
+
+@database("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'")
+def vacuum_versions(engine, path):
+    engine.execute("DELETE FROM Orders WHERE o_orderstatus = 'F'", path)
+    engine.vacuum(path, "Orders")
+    db = engine.open(path)
+    return db.versions(db.table("Orders")).select("o_orderkey")
+
+
+@database("SELECT * FROM (VALUES ('foreign', 'refused'), ('primary', 'refused'), ('restrict', 'refused'), ('unique', 'refused'), ('valid', 'taken')) AS t(change, outcome)")
+def constraints_enforced(engine, path):
+    """What becomes of changes that break each kind of key, beside one that breaks none."""
+    from tidemark.errors import ConstraintViolation
+
+    engine.script("CREATE TABLE Notes (Id INT PRIMARY KEY, Code CHAR(5) UNIQUE, OrderKey BIGINT, FOREIGN KEY (OrderKey) REFERENCES Orders(o_orderkey)); INSERT INTO Notes (Id, Code, OrderKey) VALUES (1, 'a', 1)", path)
+    changes = {
+        "primary": "INSERT INTO Notes (Id, Code) VALUES (1, 'b')", "unique": "INSERT INTO Notes (Id, Code) VALUES (2, 'a')", "foreign": "INSERT INTO Notes (Id, Code, OrderKey) VALUES (3, 'c', -5)",
+        "restrict": "DELETE FROM Orders WHERE o_orderkey = 1", "valid": "INSERT INTO Notes (Id, Code, OrderKey) VALUES (4, 'd', 2)",
+    }
+    out = []
+    for change, sql in changes.items():
+        try:
+            engine.execute(sql, path)
+            out.append((change, "taken"))
+        except ConstraintViolation:
+            out.append((change, "refused"))
+    return engine.spark.createDataFrame(out, "change string, outcome string")
+
+
+@database("SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey")
+def view_over_table(engine, path):
+    engine.script("CREATE VIEW Open AS SELECT o_custkey, o_orderkey FROM Orders WHERE o_orderstatus = 'O'", path)
+    return engine.query("SELECT o_custkey, COUNT(*) AS n FROM Open GROUP BY o_custkey", path)
+
+
+@database("SELECT o_orderkey AS key, CASE WHEN o_orderkey = 33 THEN 7 END AS grade FROM orders")
+def alter_table(engine, path):
+    engine.script("CREATE TABLE Plain (id BIGINT, old BIGINT)", path)
+    engine.open(path).append("Plain", engine.query("SELECT o_orderkey AS id, o_custkey AS old FROM Orders", path))
+    engine.script("ALTER TABLE Plain DROP COLUMN old; ALTER TABLE Plain RENAME COLUMN id TO key; ALTER TABLE Plain ADD grade INT; UPDATE Plain SET grade = 7 WHERE key = 33", path)
+    return engine.query("SELECT * FROM Plain", path)
+
 
-    QUERIES[name], ORACLE_SQL[name] = run, sql
+@database("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'")
+def export_import(engine, path):
+    engine.execute("DELETE FROM Orders WHERE o_orderstatus = 'P'", path)
+    engine.export(path, "Orders", f"{path}/exported")
+    engine.script("CREATE TABLE Copy (o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus CHAR(1), o_totalprice DECIMAL(15,2))", path)
+    engine.import_rows(path, "Copy", f"{path}/exported")
+    return engine.query("SELECT o_orderkey, o_custkey, o_orderstatus FROM Copy", path)
 
 
 statement("sql_filter_and", "SELECT o_orderkey, o_custkey AS buyer FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'", "SELECT o_orderkey, o_custkey AS buyer FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'")
@@ -418,3 +498,32 @@ statement("sql_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (
 statement("sql_scalar_count", "SELECT c_custkey, (SELECT COUNT(*) FROM orders o WHERE o.o_custkey = c.c_custkey) AS n FROM customer c", "SELECT c_custkey, CAST((SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS BIGINT) AS n FROM customer")
 statement("sql_aggregate_all", "SELECT COUNT(*), MIN(l_shipdate), MAX(l_quantity) AS most FROM lineitem", """SELECT CAST(count(*) AS BIGINT) AS "COUNT_*", min(l_shipdate) AS "MIN_l_shipdate", max(l_quantity) AS most FROM lineitem""")
 statement("sql_compat_numbers", "SELECT p_brand, COUNT(*) AS n, MIN(p_size) AS low, MAX(p_size) AS high FROM part GROUP BY p_brand", "SELECT p_brand, CAST(count(*) AS BIGINT) AS n, CAST(min(p_size) AS VARCHAR) AS low, CAST(max(p_size) AS VARCHAR) AS high FROM part GROUP BY p_brand", compat=True)
+statement("name_fallback", "SELECT c.c_custkey, c.n_name AS nation FROM customer c INNER JOIN nation n ON c.c_nationkey = n.n_nationkey", "SELECT c_custkey, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey", compat=True)
+statement("sql_order_by", "SELECT o_orderkey AS k, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_totalprice, k", "SELECT o_orderkey AS k, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey) - 1 AS place FROM orders", ordered=True)
+statement("sql_order_by_compat", "SELECT c_custkey, c_mktsegment FROM customer ORDER BY c_mktsegment, c_name DESC", "SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY upper(c_mktsegment), upper(c_name) DESC) - 1 AS place FROM customer", compat=True, ordered=True)
+statement("sql_order_grouped", "SELECT c_nationkey, COUNT(*) AS n FROM customer GROUP BY c_nationkey ORDER BY n DESC, c_nationkey", "SELECT *, row_number() OVER (ORDER BY n DESC, c_nationkey) - 1 AS place FROM (SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY c_nationkey)", ordered=True)
+statement("sql_group_two_tables", "SELECT a.n_regionkey AS x, b.n_regionkey AS y, COUNT(*) AS n FROM nation a CROSS JOIN nation b GROUP BY a.n_regionkey, b.n_regionkey", "SELECT a.n_regionkey AS x, b.n_regionkey AS y, CAST(count(*) AS BIGINT) AS n FROM nation a CROSS JOIN nation b GROUP BY a.n_regionkey, b.n_regionkey")
+statement("sql_having_all", "SELECT COUNT(*) AS n FROM orders HAVING COUNT(*) > 1000000000", "SELECT CAST(count(*) AS BIGINT) AS n FROM orders HAVING count(*) > 1000000000")
+statement("sql_cross_join", "SELECT r_name, n_name FROM region CROSS JOIN nation")
+statement("sql_full_join", "SELECT c_custkey, o_orderkey FROM (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') c FULL OUTER JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P') o ON c.c_custkey = o.o_custkey")
+statement("sql_right_join", "SELECT c_custkey, n_name FROM customer c RIGHT JOIN nation n ON c.c_nationkey = n.n_nationkey")
+statement("sql_natural_join", "SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) n NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region) r")
+statement("sql_multi_column_on", "SELECT l_orderkey, l_linenumber, o_orderdate FROM lineitem INNER JOIN orders ON l_orderkey = o_orderkey AND l_shipdate = o_orderdate")
+statement("sql_rich_where", "SELECT o_orderkey FROM orders WHERE (o_totalprice > 200000 OR o_orderstatus <> 'F') AND NOT (o_orderpriority = '5-LOW') AND o_custkey BETWEEN 10 AND 500 AND o_orderpriority IS NOT NULL AND o_orderstatus IN ('O', 'P', 'F')")
+statement("sql_arithmetic", "SELECT l_orderkey, l_linenumber, l_linenumber * 2 + 1 AS odd, l_returnflag || '-' || l_linestatus AS flags FROM lineitem WHERE l_linenumber % 2 = 1")
+statement("sql_any_value", "SELECT c_nationkey, ANY_VALUE(c_nationkey + 1) AS next FROM customer GROUP BY c_nationkey")
+statement("sql_count_distinct", "SELECT o_orderstatus, COUNT(DISTINCT o_custkey) AS n FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, CAST(count(DISTINCT o_custkey) AS BIGINT) AS n FROM orders GROUP BY o_orderstatus")
+statement("sql_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+statement("sql_intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+statement("sql_union_except", "(SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey FROM region) EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 5")
+statement("sql_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
+statement("sql_not_in_null", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT k FROM (SELECT o_custkey AS k FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey) x)")
+statement("sql_top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
+statement("sql_cte", "WITH big AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) >= 12) SELECT c_name, n FROM customer INNER JOIN big ON c_custkey = o_custkey", "WITH big AS (SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey HAVING count(*) >= 12) SELECT c_name, n FROM customer JOIN big ON c_custkey = o_custkey")
+statement("sql_recursive_cte", "WITH RECURSIVE up(k, n) AS (SELECT n_regionkey AS k, n_nationkey AS n FROM nation UNION ALL SELECT k, n + 5 AS n FROM up WHERE n < 30) SELECT k, n FROM up")
+statement("sql_recursive_union", "WITH RECURSIVE near(k) AS (SELECT n_regionkey AS k FROM nation UNION SELECT (k + 2) % 5 AS k FROM near) SELECT k FROM near")
+statement("sql_like", "SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%' AND o_orderpriority NOT LIKE '%LOW'")
+statement("sql_functions", "SELECT n_nationkey, LPAD(n_name, 12, '.') AS l, RPAD(n_name, 12, '.') AS r, TRIM('  ' || n_name || ' ') AS t, GREATEST(n_nationkey, n_regionkey) AS most, LEAST(n_nationkey, n_regionkey) AS less FROM nation")
+statement("sql_lengths", "SELECT doc_id, CHAR_LENGTH(text) AS chars, OCTET_LENGTH(text) AS bytes FROM documents", "SELECT doc_id, CAST(length(text) AS INT) AS chars, CAST(octet_length(encode(text)) AS INT) AS bytes FROM documents")
+statement("sql_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+statement("sql_window", "SELECT o_orderkey, RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders")

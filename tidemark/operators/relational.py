@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.text import first_known, folded, mean_of_text, same_text, sum_of_text
+from tidemark.functions.text import folded, mean_of_text, same_text, sum_of_text
 
-__all__ = ["first_known", "folded", "having_match", "lacking_match", "mean_of_text", "natural_join", "same_text", "sum_of_text", "with_scalar"]
+__all__ = ["folded", "having_match", "lacking_match", "mean_of_text", "natural_join", "placed", "same_text", "sum_of_text", "with_scalar"]
 
 
 def having_match(outer: DataFrame, inner: DataFrame, outer_key: str, inner_key: str) -> DataFrame:
@@ -35,3 +35,11 @@ def natural_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """Equality on all columns that both sides have; without any, the cross join."""
     shared = [x for x in left.columns if x in right.columns]
     return left.join(right, shared) if shared else left.crossJoin(right)
+
+
+def placed(ordered: DataFrame) -> DataFrame:
+    """ordered with the place of each row, from 0: numbered within the written partitions, whose counts come before; never in one task."""
+    from tidemark.plans.database import ROW_ID, numbered, staged
+    from tidemark.plans.scratch import Scratch
+
+    return numbered(staged(ordered, f"{Scratch(ordered.sparkSession, 'placed').path}/rows"), 0).withColumnRenamed(ROW_ID, "place")

@@ -375,13 +375,12 @@ class Database:
             # Written once, then checked and numbered as written, as the input may not give the same rows again.
             staging = f"{self.path}/data/{table.name.lower()}/staging-{uuid.uuid4().hex}"
             try:
-                staged = _staged(texts, staging)
-                typed, warnings = self._converted(table, staged, texts.columns)
+                typed, warnings = self._converted(table, staged(texts, staging), texts.columns)
                 for c in table.columns:
                     if c.name not in typed.columns:
                         typed = typed.withColumn(c.name, F.lit(None).cast(spark_type(c)))
-                numbered = _numbered(typed, table.next_row_id).withColumns({XMIN: F.lit(version).cast("long"), XMAX: F.lit(0).cast("long")})
-                parts = self._write(table, numbered)
+                stamped = numbered(typed, table.next_row_id).withColumns({XMIN: F.lit(version).cast("long"), XMAX: F.lit(0).cast("long")})
+                parts = self._write(table, stamped)
             finally:
                 self.files.delete(staging)
             added = self._read_parts(table, parts)
@@ -505,7 +504,7 @@ class Database:
             return table.active
 
 
-def _staged(rows: DataFrame, path: str) -> DataFrame:
+def staged(rows: DataFrame, path: str) -> DataFrame:
     """rows written and read back, with the partition and the place in it of each."""
     schema = Types.StructType([*rows.schema.fields, Types.StructField("_part", Types.IntegerType()), Types.StructField("_place", Types.LongType())])
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
@@ -513,8 +512,8 @@ def _staged(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(schema).parquet(path)
 
 
-def _numbered(staged: DataFrame, base: int) -> DataFrame:
+def numbered(rows: DataFrame, base: int) -> DataFrame:
     """Dense row ids from base on: the place within a written partition, after the counts of those before."""
-    counts = staged.groupBy("_part").agg(F.count("*").alias("_n"))
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return staged.join(F.broadcast(before), "_part").withColumn(ROW_ID, F.col("_before") + F.col("_place") + base).drop("_part", "_place", "_before")
+    return rows.join(F.broadcast(before), "_part").withColumn(ROW_ID, F.col("_before") + F.col("_place") + base).drop("_part", "_place", "_before")
