@@ -371,20 +371,25 @@ def statement(name: str, text: str, sql: str = "", compat: bool = False, ordered
     QUERIES[name], ORACLE_SQL[name] = run, sql or text
 
 
+def orders_database(spark: SparkSession, folder: str):
+    """An engine, and the path of a database with the folder's orders."""
+    from tidemark.engine import Engine
+    from tidemark.plans.scratch import Scratch
+
+    engine, place = Engine(spark), Scratch(spark, "database").path
+    engine.execute("CREATE DATABASE D", place)
+    engine.script(ORDERS, f"{place}/D")
+    orders = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    engine.open(f"{place}/D").append("Orders", orders.orderBy("o_orderkey"))
+    return engine, f"{place}/D"
+
+
 def database(sql: str):
     """A query that runs against a database of its own, built from the tables."""
 
     def register(steps):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            from tidemark.engine import Engine
-            from tidemark.plans.scratch import Scratch
-
-            engine, place = Engine(spark), Scratch(spark, "database").path
-            engine.execute("CREATE DATABASE D", place)
-            engine.script(ORDERS, f"{place}/D")
-            orders = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-            engine.open(f"{place}/D").append("Orders", orders.orderBy("o_orderkey"))
-            return steps(engine, f"{place}/D")
+            return steps(*orders_database(spark, folder))
 
         QUERIES[steps.__name__], ORACLE_SQL[steps.__name__] = run, sql
         return steps
