@@ -7,33 +7,43 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TMC2"
+MAGIC = b"TMC3"
 #: Most ids of a block; every block starts with an empty model and has its own checksum.
 BLOCK = 4096
 #: Blocks that a run of ids should have if that leaves them LEAST_BLOCK ids, as blocks advance together.
 LANES, LEAST_BLOCK = 512, 512
 #: Bits of the places of a block's order-1 and order-2 tables.
 PLACES = (10, 11)
-#: Ids must be below 2 ** (WIDTHS - 1) - 1; what no order predicts is coded as a bit width and the bits below the first.
-WIDTHS = 18
-#: Probabilities are parts of 2 ** SCALE; they move by 1 / 2 ** RATE of the way.
-SCALE, RATE = 12, 5
-ONE = 1 << SCALE
+#: An id is coded as three digits, the highest first: ID_BITS bits in all, the lower two digits of DIGIT bits each.
+ID_BITS, DIGIT = 17, 6
+KINDS = 1 << DIGIT
+#: Rows of running sums of order-0 counts that a block has for the highest, middle and lowest digit; from id 2 ** 16 on, lowest digits share rows.
+ROWS = (1, 1 << (ID_BITS - 2 * DIGIT), 1 << 10)
+#: What a digit adds to its count, and the sum of a row from which its counts are halved.
+GAIN, MOST = (6, 8, 24), 1 << 14
+#: Weights of the orders are parts of 2 ** SCALE and move by 1 / 2 ** RATE of the way. Order 0 keeps LEAST less two TRACES at
+#: least, which is above the largest sum of a row, so that every digit has a part.
+SCALE, RATE = 22, 4
+ONE, LEAST = 1 << SCALE, 1 << 15
+#: The least weight of orders 1 and 2, from which they can rise again.
+TRACE = 1 << 12
 _U = np.uint64
 _WORD, _LOW32, _ROOM = _U(16), _U(0xFFFFFFFF), _U(48)
 _SHORT = _U(1 << 32)
-#: Where the bounds of the widths move once a width is seen.
-_PULL = np.array([[ONE if j > w else 0 for j in range(WIDTHS + 1)] for w in range(WIDTHS)], dtype=np.int16)
-_STEPS = np.arange(WIDTHS + 1, dtype=np.int32)
+#: What a digit adds to the running sums of a row, for each place of it.
+_ADDED = [np.triu(np.full((KINDS, KINDS), gain, dtype=np.uint16)) for gain in GAIN]
 
 
 class _Model:
-    """What orders 2, 1 and 0 predict as the next id of each block, and how far each is trusted.
-
-    An entry of a table is an id and a confidence of 0 to 3. The trust in orders
-    2 and 1 depends on both confidences, so each of the 16 mixing contexts has
-    its own adaptive probabilities; order 0 predicts the id that a running vote
-    favours, and the widths of ids that no order predicts.
+    """What orders 2, 1 and 0 predict as the next id of each block, and their mix.
+
+    Orders 2 and 1 each name the id that last followed the last two ids or the
+    last one, with a confidence of 0 to 3; order 0 has adaptive counts of every
+    digit after the digits above it, kept as running sums. An id's probability is the weighted sum of
+    those that the three orders give it. It is coded digit by digit: after each,
+    the weights become what they are given the digits so far, so those after the
+    last are how far each order is to thank for the id, and the stored weights
+    (one set for each of the 16 pairs of confidences) move towards them.
     """
 
     def __init__(self, lanes: int):
@@ -41,22 +51,25 @@ class _Model:
         self.base = [np.arange(lanes, dtype=np.int64) << b for b in PLACES]
         self.table = [np.zeros(lanes << b, dtype=np.int32) for b in PLACES]
         self.context = np.arange(lanes, dtype=np.int64) << 4
-        first = np.repeat(np.array([40, 1200, 2400, 3200], dtype=np.int32), 4)
-        self.trust = [np.tile(np.tile(np.array([40, 800, 1600, 2400], dtype=np.int32), 4), lanes), np.tile(first, lanes)]
-        self.trust0 = np.full(lanes, 80, dtype=np.int32)
-        self.common, self.votes = np.zeros(lanes, dtype=np.int32), np.zeros(lanes, dtype=np.int32)
-        self.width = np.tile((np.arange(WIDTHS + 1) * ONE // WIDTHS).astype(np.int16), (lanes, 1))
-        self.rows = np.arange(lanes, dtype=np.int64) * (WIDTHS + 1)
+        trust = np.array([1, 20, 45, 60], dtype=np.int64) * (ONE >> 7)
+        self.weight = [np.tile(np.tile(trust, 4) >> 1, lanes), np.tile(np.repeat(trust, 4), lanes)]
+        # Low ids are the more frequent ones in vocabularies that merges built.
+        even = np.arange(1, KINDS + 1, dtype=np.uint16)
+        falling = (1 + 64 // np.arange(1, KINDS + 1) ** 2).cumsum().astype(np.uint16)
+        self.sums = [np.tile(first, (lanes * r, 1)) for first, r in zip((falling, even, even), ROWS, strict=True)]
+        self.rows = [np.arange(lanes, dtype=np.int64) * r for r in ROWS]
+        self.cells = np.arange(lanes, dtype=np.int64) * KINDS
+        self.ends = self.cells + KINDS - 1
         self.one = self.two = np.zeros(lanes, dtype=np.uint32)
 
     def shrink(self, lanes: int) -> None:
         """Go on with the first lanes only: the last block of a run may be shorter than the others."""
-        for name in ("context", "trust0", "common", "votes", "width", "rows", "one", "two"):
+        for name in ("context", "cells", "ends", "one", "two"):
             setattr(self, name, getattr(self, name)[:lanes])
-        self.base, self.lanes = [b[:lanes] for b in self.base], lanes
+        self.base, self.rows, self.lanes = [b[:lanes] for b in self.base], [r[:lanes] for r in self.rows], lanes
 
     def predict(self) -> None:
-        """Guesses of orders 1 and 2, and the upper bounds of the parts of orders 2, 1 and 0."""
+        """The ids that orders 1 and 2 name, and the weights of the orders before the first digit."""
         spread = self.one * np.uint32(2654435761)
         self.at = (
             self.base[0] + (spread >> np.uint32(32 - PLACES[0])),
@@ -66,33 +79,59 @@ class _Model:
         self.guess = [e >> 2 for e in self.entry]
         self.sure = [e & 3 for e in self.entry]
         self.mix = self.context + ((self.sure[1] << 2) | self.sure[0])
-        self.now = [t.take(self.mix) for t in self.trust]
-        self.b2 = self.now[1]
-        self.b1 = self.b2 + (((ONE - self.b2) * self.now[0]) >> SCALE)
-        self.b0 = self.b1 + (((ONE - self.b1) * self.trust0) >> SCALE)
-
-    def bounds(self, width: np.ndarray) -> np.ndarray:
-        """The lower bound of a width; every width has a part of its own."""
-        return ((self.width.ravel().take(self.rows + width).astype(np.int32) * (ONE - WIDTHS)) >> SCALE) + width
-
-    def all_bounds(self) -> np.ndarray:
-        return ((self.width.astype(np.int32) * (ONE - WIDTHS)) >> SCALE) + _STEPS
-
-    def update(self, ids: np.ndarray, width: np.ndarray, escaped: np.ndarray) -> None:
-        hits = [g == ids for g in self.guess]
+        self.first = [w.take(self.mix) for w in self.weight]
+        self.now = list(self.first)
+
+    def enter(self, place: int, above: np.ndarray | None) -> None:
+        """Look up the counts of the digit at ``place`` after the digits ``above``."""
+        rows = self.rows[place]
+        self.row = rows if above is None else rows + (above & (ROWS[place] - 1))
+        self.found = self.sums[place].take(self.row, axis=0)
+        self.cell = self.found.ravel()
+        self.total = self.cell.take(self.ends).astype(np.int64)
+        self.rest = ONE - self.now[0] - self.now[1]
+        shift = np.int32(DIGIT * (2 - place))
+        self.named = [(g >> shift) & (KINDS - 1) for g in self.guess]
+
+    def bounds(self, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the part of a digit begins and ends in 0 .. ONE."""
+        cell = self.cells + digit
+        high = self.rest * self.cell.take(cell) // self.total
+        low = self.rest * (self.cell.take(cell - 1) * (digit > 0)) // self.total
+        for weight, named in zip(self.now, self.named, strict=True):
+            low += weight * (digit > named)
+            high += weight * (digit >= named)
+        return low, high
+
+    def digit_at(self, place: np.ndarray) -> np.ndarray:
+        """The digit whose part holds ``place``: one that an order names, else found among the sums."""
+        left, inside = place.copy(), []
+        for weight, named in zip(self.now, self.named, strict=True):
+            low, high = self.bounds(named)
+            left -= weight * (place >= high)
+            inside.append((low <= place) & (place < high))
+        below = np.minimum(((left + 1) * self.total - 1) // self.rest, 0xFFFF).astype(np.uint16)
+        digit = (self.found > below[:, None]).argmax(axis=1)
+        return np.where(inside[1], self.named[1], np.where(inside[0], self.named[0], digit))
+
+    def leave(self, place: int, digit: np.ndarray, part: np.ndarray) -> None:
+        """Count the digit, and weigh the orders by what each gave it."""
+        for k in (0, 1):
+            self.now[k] = (self.now[k] * (ONE - LEAST) // part) * (self.named[k] == digit)
+        grown = self.found
+        grown += _ADDED[place].take(digit, axis=0)
+        full = np.flatnonzero(self.total > MOST - GAIN[place])
+        if len(full):
+            counts = np.diff(grown[full], axis=1, prepend=np.uint16(0))
+            grown[full] = (counts - (counts >> np.uint16(1))).cumsum(axis=1, dtype=np.uint16)
+        self.sums[place][self.row] = grown
+
+    def update(self, ids: np.ndarray) -> None:
         fresh = (ids << 2) | 1
         for k in (0, 1):
-            hit, sure, entry = hits[k], self.sure[k], self.entry[k]
-            self.trust[k][self.mix] = self.now[k] + ((np.where(hit, ONE - 64, 16) - self.now[k]) >> RATE)
+            hit, sure, entry, first = self.guess[k] == ids, self.sure[k], self.entry[k], self.first[k]
+            self.weight[k][self.mix] = np.maximum(first + ((self.now[k] - first) >> RATE), TRACE)
             self.table[k][self.at[k]] = np.where(hit, entry + (sure < 3), np.where(sure > 1, entry - 1, fresh))
-        same = self.common == ids
-        self.trust0 = self.trust0 + ((np.where(same, ONE - 64, 16) - self.trust0) >> RATE)
-        fall = self.votes == 0
-        self.common = np.where(fall, ids, self.common)
-        self.votes = np.where(same | fall, np.minimum(self.votes + 4, 60), self.votes - 1)
-        move = (_PULL.take(width, axis=0) - self.width) >> RATE
-        move *= escaped[:, None]
-        self.width = self.width + move
         self.two, self.one = spread_two(self.one), ids.astype(np.uint32)
 
 
@@ -100,11 +139,6 @@ def spread_two(ids: np.ndarray) -> np.ndarray:
     return (ids + np.uint32(1)) * np.uint32(0x9E3779B1)
 
 
-def _width(ids: np.ndarray) -> np.ndarray:
-    """Bits of id + 1 below the first."""
-    return np.frexp((ids + 1).astype(np.float32))[1].astype(np.int64) - 1
-
-
 class _Encoder:
     """Range coders in step: 48-bit low and range, words of 16 bits, carries into what is written."""
 
@@ -114,9 +148,9 @@ class _Encoder:
         self.begin = np.arange(lanes, dtype=np.int64) * words
         self.at = self.begin.copy()
 
-    def narrow(self, n: int, bits, low: np.ndarray, part: np.ndarray) -> None:
-        """Of the first n coders, keep the part low .. low + part of 2 ** bits."""
-        unit = self.range[:n] >> bits
+    def narrow(self, n: int, low: np.ndarray, part: np.ndarray) -> None:
+        """Of the first n coders, keep the part low .. low + part of ONE."""
+        unit = self.range[:n] >> _U(SCALE)
         self.low[:n] += unit * low
         self.range[:n] = unit * part
 
@@ -147,7 +181,7 @@ def encode_ids(ids: np.ndarray, block: int | None = None) -> bytes:
     """Frames of consecutive blocks: magic, ids, bytes and crc32 of the ids (little-endian 32-bit), then the code."""
     n = len(ids)
     block = block or min(BLOCK, max(LEAST_BLOCK, n // LANES))
-    if n and (ids.min() < 0 or ids.max() >= (1 << (WIDTHS - 1)) - 1):
+    if n and (ids.min() < 0 or ids.max() >> ID_BITS):
         raise ValueError("an id is out of range")
     lanes = -(-n // block)
     if not lanes:
@@ -163,23 +197,14 @@ def encode_ids(ids: np.ndarray, block: int | None = None) -> bytes:
         m = model.lanes
         now = columns[step, :m]
         model.predict()
-        hit2, hit1, hit0 = model.guess[1] == now, model.guess[0] == now, model.common == now
-        hit1 &= model.b1 > model.b2
-        hit0 &= model.b0 > model.b1
-        hit1 |= hit2
-        hit0 |= hit1
-        low = np.where(hit2, 0, np.where(hit1, model.b2, np.where(hit0, model.b1, model.b0)))
-        high = np.where(hit2, model.b2, np.where(hit1, model.b1, np.where(hit0, model.b0, ONE)))
-        coder.narrow(m, _U(SCALE), low.astype(_U), (high - low).astype(_U))
-        width = _width(now)
-        low = np.where(hit0, 0, model.bounds(width))
-        part = np.where(hit0, ONE, model.bounds(width + 1)) - low
-        coder.narrow(m, _U(SCALE), low.astype(_U), part.astype(_U))
-        coder.settle(m)
-        bits = np.where(hit0, 0, width)
-        coder.narrow(m, bits.astype(_U), np.where(hit0, 0, now + 1 - (1 << width)).astype(_U), _U(1))
-        coder.settle(m)
-        model.update(now, width, ~hit0)
+        for place in range(3):
+            digit = (now >> (DIGIT * (2 - place))) & (KINDS - 1)
+            model.enter(place, now >> (DIGIT * (3 - place)) if place else None)
+            low, high = model.bounds(digit)
+            coder.narrow(m, low.astype(_U), (high - low).astype(_U))
+            coder.settle(m)
+            model.leave(place, digit, high - low)
+        model.update(now)
     frames = []
     for k, code in enumerate(coder.finish()):
         row = grid[k, : block if k < lanes - 1 else last]
@@ -220,10 +245,6 @@ def decode_ids(data: bytes) -> np.ndarray:
     end = len(code) - 1
     model, columns = _Model(lanes), np.zeros((int(length[0]), lanes), dtype=np.int32)
 
-    def narrow(m, unit, low, part):
-        value[:m] -= unit * low
-        span[:m] = unit * part
-
     def refill(m):
         while len(short := np.flatnonzero(span[:m] < _SHORT)):
             place = at[short]
@@ -236,27 +257,19 @@ def decode_ids(data: bytes) -> np.ndarray:
         if m < model.lanes:
             model.shrink(m)
         model.predict()
-        unit = span[:m] >> _U(SCALE)
-        place = np.minimum(value[:m] // unit, _U(ONE - 1)).astype(np.int32)
-        hit2, hit1, hit0 = place < model.b2, place < model.b1, place < model.b0
-        low = np.where(hit2, 0, np.where(hit1, model.b2, np.where(hit0, model.b1, model.b0)))
-        high = np.where(hit2, model.b2, np.where(hit1, model.b1, np.where(hit0, model.b0, ONE)))
-        narrow(m, unit, low.astype(_U), (high - low).astype(_U))
-        unit = span[:m] >> _U(SCALE)
-        place = np.minimum(value[:m] // unit, _U(ONE - 1)).astype(np.int32)
-        width = np.minimum((model.all_bounds() <= place[:, None]).sum(axis=1) - 1, WIDTHS - 1)
-        low = np.where(hit0, 0, model.bounds(width))
-        narrow(m, unit, low.astype(_U), (np.where(hit0, ONE, model.bounds(width + 1)) - low).astype(_U))
-        refill(m)
-        bits = np.where(hit0, 0, width).astype(_U)
-        unit = span[:m] >> bits
-        below = np.where(hit0, _U(0), np.minimum(value[:m] // unit, (_U(1) << bits) - _U(1)))
-        narrow(m, unit, below, _U(1))
-        refill(m)
-        escaped = below.astype(np.int32) + ((1 << width) - 1).astype(np.int32)
-        ids = np.where(hit2, model.guess[1], np.where(hit1, model.guess[0], np.where(hit0, model.common, escaped)))
+        ids = None
+        for place in range(3):
+            model.enter(place, ids)
+            unit = span[:m] >> _U(SCALE)
+            digit = model.digit_at(np.minimum(value[:m] // unit, _U(ONE - 1)).astype(np.int64)).astype(np.int32)
+            low, high = model.bounds(digit)
+            value[:m] -= unit * low.astype(_U)
+            span[:m] = unit * (high - low).astype(_U)
+            refill(m)
+            model.leave(place, digit, high - low)
+            ids = digit if ids is None else (ids << DIGIT) | digit
         columns[step, :m] = ids
-        model.update(ids, width, ~hit0)
+        model.update(ids)
     out: list = [None] * lanes
     grid = np.ascontiguousarray(columns.T)
     for row, k in enumerate(order):
