@@ -18,7 +18,7 @@ from tidemark.plans.scratch import Scratch
 #: Ids after which a segment of whole documents is closed; its blocks are coded in step.
 SEGMENT_IDS = 1 << 22
 #: Bytes of text that one task tokenizes, and characters at a time.
-TASK_BYTES, STEP_CHARS = 1 << 26, 1 << 20
+TASK_BYTES, STEP_CHARS = 1 << 25, 1 << 20
 #: Distinct pieces that the library gets at a time, as it holds far more than the ids of each, and those a worker remembers.
 AT_A_TIME, MOST_PIECES = 1 << 13, 400_000
 END_ID = 2
