@@ -30,13 +30,15 @@ def _one_of_each(docs: DataFrame, scratch: Scratch, grouped: Callable[[DataFrame
 
     Rows are numbered and told apart by that number, as a doc_id may be null or
     repeat. ``grouped`` gets rows with the number as doc_id and returns doc_id and
-    the group of each.
+    the group of each. The result is a table of its own, so that nothing else on
+    disk outlives the stage.
     """
     rows = scratch.table(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
     groups = grouped(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "group")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     kept = groups.join(rows.select("row", "doc_id").hint("merge"), "row").groupBy("group").agg(F.min(order).alias("least")).select(F.col("least.row").alias("row"))
-    return rows.join(kept.hint("merge"), "row", "left_semi").select(*COLUMNS)
+    kept = scratch.table(kept, "kept")
+    return scratch.leave(scratch.table(rows.join(kept.hint("merge"), "row", "left_semi").select(*COLUMNS), "one-of-each"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,5 +85,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = scratch.table(docs, f"stage{k}")
+            docs = scratch.leave(scratch.table(docs, f"stage{k}"))
     return docs

@@ -13,6 +13,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether Spark deletes the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; on a local master without that setting, one of our own."""
@@ -47,13 +50,24 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.held: list[str] = []
         atexit.register(_delete_at_exit, spark, self.path)
 
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write df and return the table read back, with its plan cut."""
+        """Write df and return the table read back, with its plan cut.
+
+        Spark deletes the shuffle files of the write as soon as it ends, rather
+        than when the driver's collector finds its plan unreachable.
+        """
         self.count += 1
         path = f"{self.path}/{self.count:03d}-{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        self.held.append(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
         return back
@@ -70,3 +84,11 @@ class Scratch:
         """Delete tables that no later plan reads."""
         for t in tables:
             _delete(self.spark, t._scratch_path)
+            self.held.remove(t._scratch_path)
+
+    def leave(self, table: DataFrame) -> DataFrame:
+        """Delete all tables but this one, and return it."""
+        for path in [p for p in self.held if p != table._scratch_path]:
+            _delete(self.spark, path)
+        self.held = [table._scratch_path]
+        return table
