@@ -219,7 +219,6 @@ def _meetings(first: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     tokens = first.select("key", F.explode("tokens").alias("token"))
     lengths = first.groupBy("key").agg(F.first("prefix").alias("prefix"), F.first("low").alias("low"))
     shared = scratch.table(tokens.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("token", "n"), "shared")
-    scratch.release()
     high = ~F.col("token").between(0, low_bound(percent) - 1)
     mine = (
         tokens.join(shared.hint("merge"), "token")
@@ -229,7 +228,6 @@ def _meetings(first: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     own = F.col("low") - F.size(F.filter("have", lambda t: ~t["high"]))
     ahead = scratch.table(mine.withColumn("need", (F.col("prefix") - own).cast("int")).where("need > 0").select("key", F.explode(F.slice("have", F.lit(1), F.col("need"))).alias("t")).select("key", "t.token"), "ahead")
     scratch.drop(shared)
-    scratch.release()
     least = scratch.table(ahead.groupBy("token").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least != most").select("token", "least"), "least")
     meets = scratch.table(ahead.join(least.hint("merge"), "token").where("key != least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct(), "meets")
     scratch.drop(ahead, least)
@@ -300,10 +298,8 @@ def shingle_join(documents: DataFrame, scratch: Scratch, size: int = WORDS, perc
     # By id and text, so that an id on many rows doesn't gather their texts, nor meet more than its own.
     texts = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("text_hash") == F.col("row_hash")))
     sets = scratch.table(_sets(texts, size), "sets")
-    scratch.release()
     leaves, heads = _plant(sets, scratch)
     scratch.drop(sets)
-    scratch.release()
     links = _traverse(leaves, heads, scratch, percent)
     counts = links.groupBy("cid").agg(F.sum("n").alias("n"))
     comps = connected_components(links.select(F.col("cid").alias("a"), F.col("root").alias("b")).distinct(), scratch)
