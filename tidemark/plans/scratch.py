@@ -72,14 +72,6 @@ class Scratch:
         back._scratch_path = path
         return back
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of finished steps.
-
-        It does so once the driver's collector finds their plans unreachable;
-        asking the collector to look keeps the files of all steps from piling up.
-        """
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
         for t in tables:
