@@ -231,3 +231,28 @@ def test_shingle_join_of_repeated_rows(spark, scratch):
     assert {r.component_id for r in got if r.doc_id == 7 or 100 <= r.doc_id < 130} == {7} and all(r.component_id == r.doc_id for r in got if r.doc_id >= 1000)
     assert {r.n_links for r in got if r.doc_id == 7} == {2029}
     assert spark.read.parquet(f"{scratch.path}/*-leaves").selectExpr("sum(size(docs))").first()[0] <= 60
+
+
+def test_short_texts_that_share_a_passage_do_not_meet(spark, scratch):
+    """Passages grow with the corpus, and what meets is compared with all that meets it."""
+    from tidemark.llm.shingle_join import _meetings, _sketched
+
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"p{k}" for k in range(9))
+    rows = [(i, passage + "".join(f" v{rng.integers(10**9)}" for _ in range(12 + i % 100))) for i in range(400)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    assert _meetings(_sketched(made, 4, 85), scratch, 85).isEmpty()
+
+
+@pytest.mark.parametrize("size,percent", [(4, 85), (5, 80)])
+def test_links_between_short_and_longer_sets(spark, scratch, size, percent):
+    from tidemark.llm.shingle_join import SHORT
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for extra in (-1, 0, 1, 2, 5, 12, 19, 22, 23, 24, 31, 32, 33):
+        for _ in range(4):
+            whole = [f"v{rng.integers(10**9)}" for _ in range(SHORT + size - 1 + extra)]
+            rows += [(len(rows) + k, " ".join(whole[: len(whole) - cut])) for k, cut in enumerate((0, 1, max(1, extra), 22, 30))]
+    got = shingle_join(spark.createDataFrame(rows, "doc_id long, text string"), scratch, size, percent).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_shingles(rows, size, percent)

@@ -21,6 +21,8 @@ PERCENT = 85
 BITS = 2048
 #: A leaf holds about this many tokens and at most about this many documents; an upper node this many leaves.
 LEAF_TOKENS, LEAF_ROWS, NODE_LEAVES = 1 << 16, 256, 256
+#: Sets of up to this many shingles have all of them counted: in few tokens, chance leaves too few that no other set has.
+SHORT = 128
 #: Columns of the 0/1 matrices in which intersections are counted at a time.
 COLUMNS = 4096
 
@@ -176,12 +178,29 @@ def leading_tokens(value: np.ndarray, first: np.ndarray, percent: int = PERCENT)
     return prefix, low, np.maximum(prefix, low)
 
 
+def short_tokens(value: np.ndarray, first: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens of the sets that a set of at most SHORT tokens may link with, as hashes of their own, how many each set has, and which sets only these speak for.
+
+    Of two sets that link, either the smaller has at most SHORT tokens, and both are among
+    these, or both have more. So each kind has an order of prefixes of its own.
+    """
+    n = np.diff(first)
+    length = np.where(percent * n <= 100 * SHORT, n, 0)
+    return mixed(_ragged(value, first[:-1], length) ^ np.uint64(0x9E3779B97F4A7C15)), length, n <= SHORT
+
+
 def _hashed(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
 def _sketched(documents: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, digest and key of the word sequence, prefix, low, tokens; copies in one batch have tokens once."""
+    """doc_id, text_hash, n_shingles, digest and key of the word sequence, prefix, low, tokens, short; copies in one batch have tokens once.
+
+    Keys are even, which leaves the lowest bit to tell a set's two orders apart.
+    """
+
+    def lists(value, length):
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(value.view(np.int64)))
 
     def sketch(batches):
         for batch in batches:
@@ -193,19 +212,20 @@ def _sketched(documents: DataFrame, size: int, percent: int) -> DataFrame:
                 value, first = shingle_sets(words, b - a, size)
                 prefix, low, length = leading_tokens(value, first, percent)
                 digests = word_digests(words, here)
+                again = np.zeros(b - a, dtype=bool)
                 for i, d in enumerate(digests):
-                    if d in seen:
-                        length[i] = 0
+                    again[i] = d in seen
                     seen.add(d)
-                tokens = _ragged(value, first[:-1], length)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(tokens.view(np.int64)))
-                key = np.frombuffer(b"".join(d[:8] for d in digests), dtype=np.int64)
+                short, n_short, only = short_tokens(value, first, percent)
+                short = short[~np.repeat(again, n_short)]
+                length[again | only], n_short[again] = 0, 0
+                key = np.frombuffer(b"".join(d[:8] for d in digests), dtype=np.int64) & -2
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), batch.column("text_hash").slice(a, b - a), pa.array(np.diff(first).astype(np.int64)), pa.array(digests, type=pa.binary()), pa.array(key), pa.array(prefix.astype(np.int64)), pa.array(low.astype(np.int64)), lists],
-                    names=["doc_id", "text_hash", "n_shingles", "digest", "key", "prefix", "low", "tokens"],
+                    [batch.column("doc_id").slice(a, b - a), batch.column("text_hash").slice(a, b - a), pa.array(np.diff(first).astype(np.int64)), pa.array(digests, type=pa.binary()), pa.array(key), pa.array(prefix.astype(np.int64)), pa.array(low.astype(np.int64)), lists(_ragged(value, first[:-1], length), length), lists(short, n_short)],
+                    names=["doc_id", "text_hash", "n_shingles", "digest", "key", "prefix", "low", "tokens", "short"],
                 )
 
-    return _hashed(documents).mapInArrow(sketch, "doc_id long, text_hash long, n_shingles long, digest binary, key long, prefix long, low long, tokens array<long>")
+    return _hashed(documents).mapInArrow(sketch, "doc_id long, text_hash long, n_shingles long, digest binary, key long, prefix long, low long, tokens array<long>, short array<long>")
 
 
 def _meetings(first: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
@@ -215,11 +235,14 @@ def _meetings(first: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     the other low tokens, the rarer before the more frequent, then the rest. The
     first kind meets nothing, so a set with a whole prefix of them is done; others
     need only the remainder, in which passages that many documents share come last.
+    Short sets have an order in which all tokens are low. A set takes part under
+    its key in the one order, and under the next odd number in the other.
     """
-    tokens = first.select("key", F.explode("tokens").alias("token"))
-    lengths = first.groupBy("key").agg(F.first("prefix").alias("prefix"), F.first("low").alias("low"))
+    odd, even = F.col("key").bitwiseOR(F.lit(1).cast("long")), lambda k: F.col(k).bitwiseAND(F.lit(-2).cast("long"))
+    tokens = first.select("key", F.explode("tokens").alias("token")).union(first.select(odd, F.explode("short")))
+    lengths = first.select("key", "prefix", "low").union(first.select(odd, "prefix", "n_shingles")).groupBy("key").agg(F.first("prefix").alias("prefix"), F.first("low").alias("low"))
     shared = scratch.table(tokens.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("token", "n"), "shared")
-    high = ~F.col("token").between(0, low_bound(percent) - 1)
+    high = (F.col("key") == even("key")) & ~F.col("token").between(0, low_bound(percent) - 1)
     mine = (
         tokens.join(shared.hint("merge"), "token")
         .groupBy("key").agg(F.sort_array(F.collect_set(F.struct(high.alias("high"), "n", "token"))).alias("have"))
@@ -229,7 +252,7 @@ def _meetings(first: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     ahead = scratch.table(mine.withColumn("need", (F.col("prefix") - own).cast("int")).where("need > 0").select("key", F.explode(F.slice("have", F.lit(1), F.col("need"))).alias("t")).select("key", "t.token"), "ahead")
     scratch.drop(shared)
     least = scratch.table(ahead.groupBy("token").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least != most").select("token", "least"), "least")
-    meets = scratch.table(ahead.join(least.hint("merge"), "token").where("key != least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct(), "meets")
+    meets = scratch.table(ahead.join(least.hint("merge"), "token").where("key != least").select(even("key").alias("a"), even("least").alias("b")).distinct(), "meets")
     scratch.drop(ahead, least)
     return meets
 
@@ -263,8 +286,8 @@ def shingle_join(documents: DataFrame, scratch: Scratch, size: int = WORDS, perc
     Texts with one word sequence (A-Z lower-cased) become a class with a weight.
     Two sets that link share one of the first tokens of each in a fixed order
     (all but percent of them, plus one). That order puts tokens that no other
-    set has first, as far as a quarter of the hash range is counted, so most
-    sets are done at once. What the others' tokens connect is a family, found
+    set has first, as far as a quarter of the hash range is counted (all of it
+    for short sets), so most sets are done at once. What the others' tokens connect is a family, found
     from the least class at each token, never from pairs. Each family is a signature
     tree: documents are its lowest nodes, leaves hold documents that share their
     least token, upper nodes hold leaves or nodes, level upon level up to one root, and
