@@ -256,3 +256,16 @@ def test_links_between_short_and_longer_sets(spark, scratch, size, percent):
             rows += [(len(rows) + k, " ".join(whole[: len(whole) - cut])) for k, cut in enumerate((0, 1, max(1, extra), 22, 30))]
     got = shingle_join(spark.createDataFrame(rows, "doc_id long, text string"), scratch, size, percent).select("doc_id", "n_shingles", "component_id", "n_links").collect()
     assert sorted(map(tuple, got), key=repr) == brute_shingles(rows, size, percent)
+
+
+def test_leaf_pairs_in_rounds_find_the_same(spark, scratch, monkeypatch):
+    """Leaves travel with each of their pairs, so pairs are compared some at a time."""
+    import tidemark.llm.shingle_join as S
+
+    rng = np.random.default_rng(10)
+    rows = list(enumerate(t for n in (60, 30) for t in near_copies(rng, n, 50, 1)))
+    for name, value in (("LEAF_TOKENS", 300), ("LEAF_ROWS", 8), ("PAIRS", 9), ("PAIRS_A_LEAF", 1)):
+        monkeypatch.setattr(S, name, value)
+    got = shingle_join(spark.createDataFrame(rows, "doc_id long, text string"), scratch).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_shingles(rows, 4, 85)
+    assert sum(path.endswith("-across") for path in scratch.held) > 2

@@ -23,6 +23,8 @@ BITS = 2048
 LEAF_TOKENS, LEAF_ROWS, NODE_LEAVES = 1 << 16, 256, 256
 #: Sets of up to this many shingles have all of them counted: in few tokens, chance leaves too few that no other set has.
 SHORT = 128
+#: Leaf pairs compared at a time: PAIRS at least, or this many for each leaf, so that the leaves that travel follow the sets and not the pairs.
+PAIRS, PAIRS_A_LEAF = 1024, 8
 #: Columns of the 0/1 matrices in which intersections are counted at a time.
 COLUMNS = 4096
 
@@ -296,7 +298,7 @@ def shingle_join(documents: DataFrame, scratch: Scratch, size: int = WORDS, perc
     from the root and dropped when even the largest possible overlap is too small;
     in leaf pairs that remain the sets themselves are intersected. A leaf is
     bounded in tokens and rows, so a family of any size is many small
-    comparisons. Each gives counts and a forest of links, not pairs. The result
+    comparisons, made a bounded number at a time. Each gives counts and a forest of links, not pairs. The result
     is exact but for collisions of 64-bit shingle hashes.
 
     Returns doc_id, n_shingles, component_id, n_links (other documents directly
@@ -421,7 +423,13 @@ def _traverse(leaves: DataFrame, heads: DataFrame, scratch: Scratch, percent: in
         pairs = scratch.table(both.mapInArrow(partial(descend, names=("below_a", "below_b"), least=k == 0), found), "pairs")
     scratch.drop(*levels)
     crowded = leaves.where("not alone")
-    sided = pairs.join(crowded.select(F.col("leaf").alias("a"), F.col("docs").alias("docs_a")), "a").join(crowded.select(F.col("leaf").alias("b"), F.col("docs").alias("docs_b")), "b")
+    # Every pair takes its two leaves along, and the pairs of a family grow with its square: so many at a time.
+    rounds = -(-pairs.count() // max(PAIRS, PAIRS_A_LEAF * heads.count()))
+
+    def sided(k: int) -> DataFrame:
+        now = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k)
+        return now.join(crowded.select(F.col("leaf").alias("a"), F.col("docs").alias("docs_a")), "a").join(crowded.select(F.col("leaf").alias("b"), F.col("docs").alias("docs_b")), "b").select("docs_a", "docs_b")
+
     found = "cid long, n long, root long"
 
     def batch_of(r):
@@ -440,6 +448,7 @@ def _traverse(leaves: DataFrame, heads: DataFrame, scratch: Scratch, percent: in
                 if (r := compare_leaves(leaf, leaf, True, percent)) is not None:
                     yield batch_of(r)
 
-    within = scratch.table(leaves.select("docs").mapInArrow(compare_within, found), "within")
-    across = scratch.table(sided.select("docs_a", "docs_b").mapInArrow(compare, found), "across")
-    return within.union(across)
+    links = scratch.table(leaves.select("docs").mapInArrow(compare_within, found), "within")
+    for k in range(rounds):
+        links = links.union(scratch.table(sided(k).mapInArrow(compare, found), "across"))
+    return links
