@@ -8,6 +8,7 @@ import pytest
 from tidemark.llm.embedding_dedup import near_duplicate_vectors
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.shingle_join import bitmap_of, intersections, may_link, merged, prefix_lengths, shingle_join
+from tidemark.plans.components import connected_components
 
 
 def groups_of(links, nodes):
@@ -269,3 +270,35 @@ def test_leaf_pairs_in_rounds_find_the_same(spark, scratch, monkeypatch):
     got = shingle_join(spark.createDataFrame(rows, "doc_id long, text string"), scratch).select("doc_id", "n_shingles", "component_id", "n_links").collect()
     assert sorted(map(tuple, got), key=repr) == brute_shingles(rows, 4, 85)
     assert sum(path.endswith("-across") for path in scratch.held) > 2
+
+
+def test_components_against_union_find_with_fewer_edges_each_round(spark, scratch, monkeypatch):
+    """What is joined again in every round is what is left, not all edges: chains in order and in any order, a hub, a dense group, self loops."""
+    rng = np.random.default_rng(5)
+    chain, ids = np.arange(300), rng.permutation(np.arange(1000, 1300))
+    dense = 2000 + rng.integers(0, 80, (1500, 2))
+    edges = [*zip(chain, chain[1:]), *zip(ids, ids[1:]), *((i, 5999) for i in range(5000, 5999)), *dense.tolist(), (7000, 7000), (-5, -3)]
+    edges = [(int(a), int(b)) for a, b in edges]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    left, write = [], scratch.table
+
+    def table(df, name="t"):
+        t = write(df, name)
+        if name == "edges":
+            left.append(t.count())
+        return t
+
+    monkeypatch.setattr(scratch, "table", table)
+    got = connected_components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()
+    assert len(got) == len(up) and {r.node: r.comp for r in got} == {x: root(x) for x in up}
+    assert left[-1] == 0 and sum(left[1:]) < left[0]
+    assert connected_components(spark.createDataFrame([], "a long, b long"), scratch).count() == 0
