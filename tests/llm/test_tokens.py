@@ -55,6 +55,18 @@ def test_coder_mixes_the_orders():
     assert (decode_ids(encode_ids(chained)) == chained).all()
 
 
+def test_counts_of_a_run_serve_all_its_blocks():
+    """Short blocks needn't learn how frequent ids are; the counts have a checksum, and frames without them are refused."""
+    ids = np.random.default_rng(4).choice(50_000 - np.arange(400) * 7, 1 << 16, p=(w := 1 / np.arange(1, 401)) / w.sum()).astype(np.int32)
+    data = encode_ids(ids, 128)
+    blocks = len(ids) // 128
+    assert (decode_ids(data) == ids).all() and (len(data) - 22 * blocks) * 8 / len(ids) < entropy(ids) + 0.5
+    table = data.rindex(b"TMCT")
+    for bad in (data[:table], data[:-3] + bytes([data[-3] ^ 1]) + data[-2:], data + data[table:]):
+        with pytest.raises(ValueError):
+            decode_ids(bad)
+
+
 LIBRARY = Tokenizer.from_file(BYTE_BPE)
 
 

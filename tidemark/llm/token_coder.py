@@ -1,4 +1,4 @@
-"""Adaptive context-mixing range coder for token ids, many independent blocks in step."""
+"""Context-mixing range coder for token ids, many independent blocks in step."""
 
 from __future__ import annotations
 
@@ -7,43 +7,70 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TMC3"
+MAGIC, TABLE = b"TMC4", b"TMCT"
 #: Most ids of a block; every block starts with an empty model and has its own checksum.
 BLOCK = 4096
 #: Blocks that a run of ids should have if that leaves them LEAST_BLOCK ids, as blocks advance together.
 LANES, LEAST_BLOCK = 512, 512
 #: Bits of the places of a block's order-1 and order-2 tables.
 PLACES = (10, 11)
-#: An id is coded as three digits, the highest first: ID_BITS bits in all, the lower two digits of DIGIT bits each.
-ID_BITS, DIGIT = 17, 6
-KINDS = 1 << DIGIT
-#: Rows of running sums of order-0 counts that a block has for the highest, middle and lowest digit; from id 2 ** 16 on, lowest digits share rows.
-ROWS = (1, 1 << (ID_BITS - 2 * DIGIT), 1 << 10)
-#: What a digit adds to its count, and the sum of a row from which its counts are halved.
-GAIN, MOST = (6, 8, 24), 1 << 14
+ID_BITS = 17
+#: Order 0 gives the ids of a run parts of 2 ** COUNT_BITS by how often each is there.
+COUNT_BITS = 20
 #: Weights of the orders are parts of 2 ** SCALE and move by 1 / 2 ** RATE of the way. Order 0 keeps LEAST less two TRACES at
-#: least, which is above the largest sum of a row, so that every digit has a part.
-SCALE, RATE = 22, 4
-ONE, LEAST = 1 << SCALE, 1 << 15
+#: least, which is above 2 ** COUNT_BITS, so that every id has a part.
+SCALE, RATE = 27, 4
+ONE, LEAST = 1 << SCALE, 1 << 21
 #: The least weight of orders 1 and 2, from which they can rise again.
-TRACE = 1 << 12
+TRACE = 1 << 17
 _U = np.uint64
 _WORD, _LOW32, _ROOM = _U(16), _U(0xFFFFFFFF), _U(48)
 _SHORT = _U(1 << 32)
-#: What a digit adds to the running sums of a row, for each place of it.
-_ADDED = [np.triu(np.full((KINDS, KINDS), gain, dtype=np.uint16)) for gain in GAIN]
+
+
+class _Counts:
+    """Order 0 of a run of ids: its distinct ids in ascending order, by whose places all else names them, and the part of each."""
+
+    def __init__(self, ids: np.ndarray, parts: np.ndarray):
+        self.ids, self.parts = ids, parts.astype(np.int64)
+        self.ends = np.cumsum(self.parts)
+        self.begins = self.ends - self.parts
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> _Counts:
+        seen = np.bincount(ids)
+        distinct = np.flatnonzero(seen)
+        parts = 1 + seen[distinct] * ((1 << COUNT_BITS) - len(distinct)) // len(ids)
+        parts[parts.argmax()] += (1 << COUNT_BITS) - parts.sum()
+        return cls(distinct, parts)
+
+    def frame(self) -> bytes:
+        """Steps between ids, and parts, byte by byte, as the higher bytes are mostly zero."""
+        columns = np.concatenate([np.diff(self.ids, prepend=0), self.parts]).astype("<u4")
+        code = zlib.compress(columns.view(np.uint8).reshape(-1, 4).T.tobytes(), 6)
+        return TABLE + struct.pack("<III", len(self.ids), len(code), zlib.crc32(code)) + code
+
+    @classmethod
+    def read(cls, n: int, code: bytes) -> _Counts:
+        try:
+            columns = np.frombuffer(zlib.decompress(code), dtype=np.uint8).reshape(4, 2 * n).T.copy().view("<u4").ravel().astype(np.int64)
+        except zlib.error as e:
+            raise ValueError("a table of counts is damaged") from e
+        counts = cls(np.cumsum(columns[:n]), columns[n:])
+        if not n or counts.ends[-1] != 1 << COUNT_BITS:
+            raise ValueError("a table of counts is damaged")
+        return counts
 
 
 class _Model:
     """What orders 2, 1 and 0 predict as the next id of each block, and their mix.
 
     Orders 2 and 1 each name the id that last followed the last two ids or the
-    last one, with a confidence of 0 to 3; order 0 has adaptive counts of every
-    digit after the digits above it, kept as running sums. An id's probability is the weighted sum of
-    those that the three orders give it. It is coded digit by digit: after each,
-    the weights become what they are given the digits so far, so those after the
-    last are how far each order is to thank for the id, and the stored weights
-    (one set for each of the 16 pairs of confidences) move towards them.
+    last one, with a confidence of 0 to 3; order 0 has the counts of the run that
+    the blocks are cut from. An id's probability is the weighted sum of those that
+    the three orders give it. The part of it that each order gave is how far that order is to
+    thank for the id, and the stored weights (one set for each of the 16 pairs of
+    confidences) move towards these parts.
     """
 
     def __init__(self, lanes: int):
@@ -53,23 +80,16 @@ class _Model:
         self.context = np.arange(lanes, dtype=np.int64) << 4
         trust = np.array([1, 20, 45, 60], dtype=np.int64) * (ONE >> 7)
         self.weight = [np.tile(np.tile(trust, 4) >> 1, lanes), np.tile(np.repeat(trust, 4), lanes)]
-        # Low ids are the more frequent ones in vocabularies that merges built.
-        even = np.arange(1, KINDS + 1, dtype=np.uint16)
-        falling = (1 + 64 // np.arange(1, KINDS + 1) ** 2).cumsum().astype(np.uint16)
-        self.sums = [np.tile(first, (lanes * r, 1)) for first, r in zip((falling, even, even), ROWS, strict=True)]
-        self.rows = [np.arange(lanes, dtype=np.int64) * r for r in ROWS]
-        self.cells = np.arange(lanes, dtype=np.int64) * KINDS
-        self.ends = self.cells + KINDS - 1
         self.one = self.two = np.zeros(lanes, dtype=np.uint32)
 
     def shrink(self, lanes: int) -> None:
         """Go on with the first lanes only: the last block of a run may be shorter than the others."""
-        for name in ("context", "cells", "ends", "one", "two"):
+        for name in ("context", "one", "two"):
             setattr(self, name, getattr(self, name)[:lanes])
-        self.base, self.rows, self.lanes = [b[:lanes] for b in self.base], [r[:lanes] for r in self.rows], lanes
+        self.base, self.lanes = [b[:lanes] for b in self.base], lanes
 
     def predict(self) -> None:
-        """The ids that orders 1 and 2 name, and the weights of the orders before the first digit."""
+        """The ids that orders 1 and 2 name, and the weights of the orders."""
         spread = self.one * np.uint32(2654435761)
         self.at = (
             self.base[0] + (spread >> np.uint32(32 - PLACES[0])),
@@ -79,59 +99,40 @@ class _Model:
         self.guess = [e >> 2 for e in self.entry]
         self.sure = [e & 3 for e in self.entry]
         self.mix = self.context + ((self.sure[1] << 2) | self.sure[0])
-        self.first = [w.take(self.mix) for w in self.weight]
-        self.now = list(self.first)
-
-    def enter(self, place: int, above: np.ndarray | None) -> None:
-        """Look up the counts of the digit at ``place`` after the digits ``above``."""
-        rows = self.rows[place]
-        self.row = rows if above is None else rows + (above & (ROWS[place] - 1))
-        self.found = self.sums[place].take(self.row, axis=0)
-        self.cell = self.found.ravel()
-        self.total = self.cell.take(self.ends).astype(np.int64)
+        self.now = [w.take(self.mix) for w in self.weight]
         self.rest = ONE - self.now[0] - self.now[1]
-        shift = np.int32(DIGIT * (2 - place))
-        self.named = [(g >> shift) & (KINDS - 1) for g in self.guess]
-
-    def bounds(self, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the part of a digit begins and ends in 0 .. ONE."""
-        cell = self.cells + digit
-        high = self.rest * self.cell.take(cell) // self.total
-        low = self.rest * (self.cell.take(cell - 1) * (digit > 0)) // self.total
-        for weight, named in zip(self.now, self.named, strict=True):
-            low += weight * (digit > named)
-            high += weight * (digit >= named)
-        return low, high
-
-    def digit_at(self, place: np.ndarray) -> np.ndarray:
-        """The digit whose part holds ``place``: one that an order names, else found among the sums."""
-        left, inside = place.copy(), []
-        for weight, named in zip(self.now, self.named, strict=True):
-            low, high = self.bounds(named)
-            left -= weight * (place >= high)
-            inside.append((low <= place) & (place < high))
-        below = np.minimum(((left + 1) * self.total - 1) // self.rest, 0xFFFF).astype(np.uint16)
-        digit = (self.found > below[:, None]).argmax(axis=1)
-        return np.where(inside[1], self.named[1], np.where(inside[0], self.named[0], digit))
-
-    def leave(self, place: int, digit: np.ndarray, part: np.ndarray) -> None:
-        """Count the digit, and weigh the orders by what each gave it."""
+
+    def bounds(self, ids: np.ndarray, counts: _Counts) -> tuple[np.ndarray, np.ndarray]:
+        """Where the parts of ids begin in 0 .. ONE, and how large they are."""
+        low = (self.rest * counts.begins.take(ids)) >> COUNT_BITS
+        part = ((self.rest * counts.ends.take(ids)) >> COUNT_BITS) - low
+        self.hit = [named == ids for named in self.guess]
+        self.gave = [weight * hit for weight, hit in zip(self.now, self.hit, strict=True)]
+        for weight, named, gave in zip(self.now, self.guess, self.gave, strict=True):
+            low += weight * (ids > named)
+            part += gave
+        return low, part
+
+    def id_at(self, place: np.ndarray, counts: _Counts, holder: np.ndarray) -> np.ndarray:
+        """The id whose part holds ``place``: one that an order names, else the holder of a count."""
+        left, inside, same = place.copy(), [], self.guess[0] == self.guess[1]
         for k in (0, 1):
-            self.now[k] = (self.now[k] * (ONE - LEAST) // part) * (self.named[k] == digit)
-        grown = self.found
-        grown += _ADDED[place].take(digit, axis=0)
-        full = np.flatnonzero(self.total > MOST - GAIN[place])
-        if len(full):
-            counts = np.diff(grown[full], axis=1, prepend=np.uint16(0))
-            grown[full] = (counts - (counts >> np.uint16(1))).cumsum(axis=1, dtype=np.uint16)
-        self.sums[place][self.row] = grown
-
-    def update(self, ids: np.ndarray) -> None:
-        fresh = (ids << 2) | 1
+            named, weight, other = self.guess[k], self.now[k], self.now[1 - k]
+            low = (self.rest * counts.begins.take(named)) >> COUNT_BITS
+            part = ((self.rest * counts.ends.take(named)) >> COUNT_BITS) - low + weight + other * same
+            off = place - low - other * (named > self.guess[1 - k])
+            left -= weight * (off >= part)
+            inside.append(off.view(_U) < part.view(_U))
+        below = np.minimum((((left + 1) << COUNT_BITS) - 1).view(_U) // self.rest.view(_U), _U((1 << COUNT_BITS) - 1)).view(np.int64)
+        return np.where(inside[1], self.guess[1], np.where(inside[0], self.guess[0], holder.take(below)))
+
+    def update(self, ids: np.ndarray, part: np.ndarray) -> None:
+        """Weigh the orders by what each gave the id, and remember what followed."""
+        fresh, share = (ids << 2) | 1, (ONE - LEAST) / part
         for k in (0, 1):
-            hit, sure, entry, first = self.guess[k] == ids, self.sure[k], self.entry[k], self.first[k]
-            self.weight[k][self.mix] = np.maximum(first + ((self.now[k] - first) >> RATE), TRACE)
-            self.table[k][self.at[k]] = np.where(hit, entry + (sure < 3), np.where(sure > 1, entry - 1, fresh))
+            sure, entry, now = self.sure[k], self.entry[k], self.now[k]
+            self.weight[k][self.mix] = np.maximum(now + (((self.gave[k] * share).astype(np.int64) - now) >> RATE), TRACE)
+            self.table[k][self.at[k]] = np.where(self.hit[k], entry + (sure < 3), np.where(sure > 1, entry - 1, fresh))
         self.two, self.one = spread_two(self.one), ids.astype(np.uint32)
 
 
@@ -163,12 +164,14 @@ class _Encoder:
             while len(at):
                 self.out[at] += np.uint16(1)
                 at = at[self.out[at] == 0] - 1
-        while len(short := np.flatnonzero(self.range[:n] < _SHORT)):
+        short = np.flatnonzero(self.range[:n] < _SHORT)
+        while len(short):
             low, at = self.low[short], self.at[short]
             self.out[at] = (low >> _U(32)).astype(np.uint16)
             self.at[short] = at + 1
             self.low[short] = (low & _LOW32) << _WORD
             self.range[short] <<= _WORD
+            short = short[self.range[short] < _SHORT]
 
     def finish(self) -> list[bytes]:
         for shift in (32, 16, 0):
@@ -178,7 +181,7 @@ class _Encoder:
 
 
 def encode_ids(ids: np.ndarray, block: int | None = None) -> bytes:
-    """Frames of consecutive blocks: magic, ids, bytes and crc32 of the ids (little-endian 32-bit), then the code."""
+    """Frames of consecutive blocks: magic, ids, bytes and crc32 of the ids (little-endian 32-bit), then the code; after them one of the run's counts."""
     n = len(ids)
     block = block or min(BLOCK, max(LEAST_BLOCK, n // LANES))
     if n and (ids.min() < 0 or ids.max() >> ID_BITS):
@@ -186,10 +189,13 @@ def encode_ids(ids: np.ndarray, block: int | None = None) -> bytes:
     lanes = -(-n // block)
     if not lanes:
         return b""
+    counts = _Counts.of(ids)
+    place = np.zeros(1 << ID_BITS, dtype=np.int32)
+    place[counts.ids] = np.arange(len(counts.ids))
     grid = np.zeros(lanes * block, dtype=np.int32)
     grid[:n] = ids
     grid = grid.reshape(lanes, block)
-    columns, last = np.ascontiguousarray(grid.T), n - (lanes - 1) * block
+    columns, last = place[grid.T], n - (lanes - 1) * block
     model, coder = _Model(lanes), _Encoder(lanes, 3 * block + 8)
     for step in range(block if lanes > 1 else last):
         if step == last:
@@ -197,42 +203,48 @@ def encode_ids(ids: np.ndarray, block: int | None = None) -> bytes:
         m = model.lanes
         now = columns[step, :m]
         model.predict()
-        for place in range(3):
-            digit = (now >> (DIGIT * (2 - place))) & (KINDS - 1)
-            model.enter(place, now >> (DIGIT * (3 - place)) if place else None)
-            low, high = model.bounds(digit)
-            coder.narrow(m, low.astype(_U), (high - low).astype(_U))
-            coder.settle(m)
-            model.leave(place, digit, high - low)
-        model.update(now)
+        low, part = model.bounds(now, counts)
+        coder.narrow(m, low.view(_U), part.view(_U))
+        coder.settle(m)
+        model.update(now, part)
     frames = []
     for k, code in enumerate(coder.finish()):
         row = grid[k, : block if k < lanes - 1 else last]
         frames.append(MAGIC + struct.pack("<III", len(row), len(code), zlib.crc32(row.astype("<u4").tobytes())) + code)
-    return b"".join(frames)
+    return b"".join(frames) + counts.frame()
 
 
-def read_frames(data: bytes) -> tuple[list[int], list[np.ndarray], list[int]]:
-    """Lengths, code words and checksums of the frames in data; damage to their form raises ValueError."""
+def read_frames(data: bytes) -> tuple[list[int], list[np.ndarray], list[int], _Counts]:
+    """Lengths, code words and checksums of the frames in data, and the counts that end it; damage to their form raises ValueError."""
     lengths, codes, sums, at = [], [], [], 0
-    while at < len(data):
-        if data[at : at + 4] != MAGIC or at + 16 > len(data):
+    while True:
+        magic = data[at : at + 4]
+        if magic not in (MAGIC, TABLE) or at + 16 > len(data):
             raise ValueError("not a block of ids")
         n, size, crc = struct.unpack_from("<III", data, at + 4)
-        if at + 16 + size > len(data) or size % 2:
+        end = at + 16 + size
+        if end > len(data) or (magic == TABLE) != (end == len(data)):
+            raise ValueError("a block of ids is cut off")
+        if magic == TABLE:
+            if zlib.crc32(data[at + 16 :]) != crc:
+                raise ValueError("a table of counts fails its checksum")
+            return lengths, codes, sums, _Counts.read(n, data[at + 16 :])
+        if size % 2:
             raise ValueError("a block of ids is cut off")
         lengths.append(n)
         codes.append(np.frombuffer(data, dtype="<u2", count=size // 2, offset=at + 16))
         sums.append(crc)
-        at += 16 + size
-    return lengths, codes, sums
+        at = end
 
 
 def decode_ids(data: bytes) -> np.ndarray:
-    """The ids of some frames; a wrong magic, length or checksum raises ValueError."""
-    lengths, codes, sums = read_frames(data)
+    """The ids of some frames, of which the last holds the counts; a wrong magic, length or checksum raises ValueError."""
+    if not data:
+        return np.zeros(0, dtype=np.int32)
+    lengths, codes, sums, counts = read_frames(data)
     if not lengths:
         return np.zeros(0, dtype=np.int32)
+    holder = np.repeat(np.arange(len(counts.ids), dtype=np.int32), counts.parts)
     order = np.argsort(-np.array(lengths), kind="stable")
     length = np.array(lengths)[order]
     lanes, words = len(order), max(map(len, codes)) + 6
@@ -246,32 +258,29 @@ def decode_ids(data: bytes) -> np.ndarray:
     model, columns = _Model(lanes), np.zeros((int(length[0]), lanes), dtype=np.int32)
 
     def refill(m):
-        while len(short := np.flatnonzero(span[:m] < _SHORT)):
+        short = np.flatnonzero(span[:m] < _SHORT)
+        while len(short):
             place = at[short]
             value[short] = (value[short] << _WORD) | code[np.minimum(place, end)]
             span[short] <<= _WORD
             at[short] = place + 1
+            short = short[span[short] < _SHORT]
 
     for step in range(int(length[0])):
         m = int((length > step).sum()) if step >= length[-1] else lanes
         if m < model.lanes:
             model.shrink(m)
         model.predict()
-        ids = None
-        for place in range(3):
-            model.enter(place, ids)
-            unit = span[:m] >> _U(SCALE)
-            digit = model.digit_at(np.minimum(value[:m] // unit, _U(ONE - 1)).astype(np.int64)).astype(np.int32)
-            low, high = model.bounds(digit)
-            value[:m] -= unit * low.astype(_U)
-            span[:m] = unit * (high - low).astype(_U)
-            refill(m)
-            model.leave(place, digit, high - low)
-            ids = digit if ids is None else (ids << DIGIT) | digit
+        unit = span[:m] >> _U(SCALE)
+        ids = model.id_at(np.minimum(value[:m] // unit, _U(ONE - 1)).view(np.int64), counts, holder)
+        low, part = model.bounds(ids, counts)
+        value[:m] -= unit * low.view(_U)
+        span[:m] = unit * part.view(_U)
+        refill(m)
         columns[step, :m] = ids
-        model.update(ids)
+        model.update(ids, part)
     out: list = [None] * lanes
-    grid = np.ascontiguousarray(columns.T)
+    grid = counts.ids.astype(np.int32)[columns.T]
     for row, k in enumerate(order):
         out[k] = grid[row, : lengths[k]]
         if zlib.crc32(out[k].astype("<u4").tobytes()) != sums[k]:

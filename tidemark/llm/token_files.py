@@ -68,8 +68,8 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
     Texts are sorted by ranges of doc_id, so a task holds a run of documents; it
     tokenizes them, appends ``end_id`` to each, and closes a segment of whole
     documents every SEGMENT_IDS ids. A segment is a row of a Parquet file: its
-    place, the documents and their lengths, and the ids as frames of independent
-    blocks. ``tokenizer`` must be readable by every worker. Null text is empty, so
+    place, the documents and their lengths, and the ids as frames of blocks that
+    share the segment's counts. ``tokenizer`` must be readable by every worker. Null text is empty, so
     its document is the end id alone. Null doc_ids come first; repeated doc_ids
     follow each other by a hash of the text, so even one id on a third of all
     rows is spread over tasks.
