@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from itertools import chain
+from collections.abc import Callable, Collection
+from itertools import chain, compress
 
 import numpy as np
 
@@ -34,30 +34,52 @@ class ChunkStore:
         self.number = _Numbers()
         self.number.new = []
         self.ids, self.ends, self.known = np.zeros(1 << 12, dtype=np.int32), np.zeros(1 << 12, dtype=np.int64), 0
+        self.again = np.zeros(1 << 12, dtype=bool)
+
+    def _keep_repeated(self) -> None:
+        """Forget the pieces that were asked for in one call only, or all if that leaves too many."""
+        keep = self.again[: self.known]
+        if 2 * keep.sum() > self.most:
+            return self._forget()
+        pieces, length = list(compress(self.number, keep)), np.diff(self.ends[: self.known + 1])
+        ids = self.ids[: self.ends[self.known]][np.repeat(keep, length)]
+        self._forget()
+        for piece in pieces:
+            self.number[piece]
+        self.number.new = []
+        self._add(ids, length[keep])
 
     @staticmethod
     def _room(have: np.ndarray, n: int) -> np.ndarray:
         return have if n <= len(have) else np.concatenate([have, np.zeros(max(n, 2 * len(have)) - len(have), dtype=have.dtype)])
 
-    def _learn(self, pieces: list[str]) -> None:
-        ids, lengths = self.encode(pieces)
-        old, n = self.ends[self.known], len(pieces)
+    def _add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        old, n = self.ends[self.known], len(lengths)
         self.ids = self._room(self.ids, int(old + len(ids)))
         self.ids[old : old + len(ids)] = ids
         self.ends = self._room(self.ends, self.known + n + 1)
         self.ends[self.known + 1 : self.known + n + 1] = old + np.cumsum(lengths)
+        self.again = self._room(self.again, self.known + n)
+        self.again[self.known : self.known + n] = False
         self.known += n
 
-    def ids_of(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts given as lists of pieces, one after another, and how many each text has."""
+    def runs_of(self, pieces: Collection[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``ids`` those of each piece begin, and how many they are; both hold until the next call."""
         if self.known > self.most:
-            self._forget()
-        per_text = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=int(per_text.sum()))
+            self._keep_repeated()
+        old = self.known
+        which = np.fromiter(map(self.number.__getitem__, pieces), dtype=np.int64, count=len(pieces))
         new, self.number.new = self.number.new, []
         for low in range(0, len(new), self.at_a_time):
-            self._learn(new[low : low + self.at_a_time])
-        begin, length = self.ends[which], self.ends[which + 1] - self.ends[which]
+            self._add(*self.encode(new[low : low + self.at_a_time]))
+        self.again[which[which < old]] = True
+        begin = self.ends[which]
+        return begin, self.ends[which + 1] - begin
+
+    def ids_of(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts given as lists of pieces, one after another, and how many each text has."""
+        per_text = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        begin, length = self.runs_of(list(chain.from_iterable(texts)))
         ends = np.cumsum(length)
         out = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - length), length)]
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]

@@ -7,13 +7,13 @@ import zlib
 
 import numpy as np
 
-MAGIC, TABLE = b"TMC4", b"TMCT"
+MAGIC, TABLE = b"TMC5", b"TMCT"
 #: Most ids of a block; every block starts with an empty model and has its own checksum.
-BLOCK = 4096
+BLOCK = 2048
 #: Blocks that a run of ids should have if that leaves them LEAST_BLOCK ids, as blocks advance together.
-LANES, LEAST_BLOCK = 512, 512
+LANES, LEAST_BLOCK = 2048, 512
 #: Bits of the places of a block's order-1 and order-2 tables.
-PLACES = (10, 11)
+PLACES = (9, 10)
 ID_BITS = 17
 #: Order 0 gives the ids of a run parts of 2 ** COUNT_BITS by how often each is there.
 COUNT_BITS = 20
@@ -24,8 +24,9 @@ ONE, LEAST = 1 << SCALE, 1 << 21
 #: The least weight of orders 1 and 2, from which they can rise again.
 TRACE = 1 << 17
 _U = np.uint64
-_WORD, _LOW32, _ROOM = _U(16), _U(0xFFFFFFFF), _U(48)
-_SHORT = _U(1 << 32)
+_LOWEST, _HIGH, _FULL, _SHORT = 0xFFFFFFFF, 0xFFFF << 32, (1 << 48) - 1, 1 << 32
+_SHIFTS = np.array([[32 - p] for p in PLACES], dtype=np.uint32)
+_MIX = [np.uint32(x) for x in (2654435761, 0x85EBCA6B, 0x9E3779B1, 1)]
 
 
 class _Counts:
@@ -34,7 +35,8 @@ class _Counts:
     def __init__(self, ids: np.ndarray, parts: np.ndarray):
         self.ids, self.parts = ids, parts.astype(np.int64)
         self.ends = np.cumsum(self.parts)
-        self.begins = self.ends - self.parts
+        #: Where the part of each begins, and above that where it ends.
+        self.bounds = (self.ends - self.parts) | (self.ends << 32)
 
     @classmethod
     def of(cls, ids: np.ndarray) -> _Counts:
@@ -70,114 +72,161 @@ class _Model:
     the blocks are cut from. An id's probability is the weighted sum of those that
     the three orders give it. The part of it that each order gave is how far that order is to
     thank for the id, and the stored weights (one set for each of the 16 pairs of
-    confidences) move towards these parts.
+    confidences) move towards these parts. Arrays of two rows hold order 1 and order 2.
     """
 
     def __init__(self, lanes: int):
         self.lanes = lanes
-        self.base = [np.arange(lanes, dtype=np.int64) << b for b in PLACES]
-        self.table = [np.zeros(lanes << b, dtype=np.int32) for b in PLACES]
-        self.context = np.arange(lanes, dtype=np.int64) << 4
-        trust = np.array([1, 20, 45, 60], dtype=np.int64) * (ONE >> 7)
-        self.weight = [np.tile(np.tile(trust, 4) >> 1, lanes), np.tile(np.repeat(trust, 4), lanes)]
-        self.one = self.two = np.zeros(lanes, dtype=np.uint32)
+        first = np.arange(lanes, dtype=np.int64)
+        self.base = np.stack([first << PLACES[0], (lanes << PLACES[0]) + (first << PLACES[1])])
+        self.table = np.zeros(lanes * ((1 << PLACES[0]) + (1 << PLACES[1])), dtype=np.int32)
+        self.context = np.stack([first << 4, (lanes + first) << 4])
+        trust = np.array([1, 20, 45, 60], dtype=np.int32) * (ONE >> 7)
+        self.weights = np.concatenate([np.tile(np.tile(trust, 4) >> 1, lanes), np.tile(np.repeat(trust, 4), lanes)])
+        self.hashes = np.zeros((2, lanes), dtype=np.uint32)
+        self.two = np.zeros(lanes, dtype=np.uint32)
 
     def shrink(self, lanes: int) -> None:
         """Go on with the first lanes only: the last block of a run may be shorter than the others."""
-        for name in ("context", "one", "two"):
-            setattr(self, name, getattr(self, name)[:lanes])
-        self.base, self.lanes = [b[:lanes] for b in self.base], lanes
+        for name in ("base", "context", "hashes", "two"):
+            setattr(self, name, getattr(self, name)[..., :lanes].copy())
+        self.lanes = lanes
 
     def predict(self) -> None:
         """The ids that orders 1 and 2 name, and the weights of the orders."""
-        spread = self.one * np.uint32(2654435761)
-        self.at = (
-            self.base[0] + (spread >> np.uint32(32 - PLACES[0])),
-            self.base[1] + (((spread ^ self.two) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - PLACES[1])),
-        )
-        self.entry = [self.table[k].take(self.at[k]) for k in (0, 1)]
-        self.guess = [e >> 2 for e in self.entry]
-        self.sure = [e & 3 for e in self.entry]
-        self.mix = self.context + ((self.sure[1] << 2) | self.sure[0])
-        self.now = [w.take(self.mix) for w in self.weight]
-        self.rest = ONE - self.now[0] - self.now[1]
+        self.at = (self.hashes >> _SHIFTS) + self.base
+        self.entry = self.table.take(self.at)
+        self.guess, self.sure = self.entry >> 2, self.entry & 3
+        sets = self.sure[1] << 2
+        sets += self.sure[0]
+        self.mix = self.context + sets
+        self.now = self.weights.take(self.mix)
+        rest = self.now[0] + self.now[1]
+        self.rest = np.subtract(ONE, rest, dtype=np.int64)
+
+    def count_bounds(self, ids: np.ndarray, counts: _Counts) -> tuple[np.ndarray, np.ndarray]:
+        """Where the parts of ids begin, and how large they are, of order 0 with the weight that orders 1 and 2 leave to it."""
+        part = counts.bounds.take(ids)
+        low = part & _LOWEST
+        low *= self.rest
+        low >>= COUNT_BITS
+        part >>= 32
+        part *= self.rest
+        part >>= COUNT_BITS
+        part -= low
+        return low, part
 
     def bounds(self, ids: np.ndarray, counts: _Counts) -> tuple[np.ndarray, np.ndarray]:
         """Where the parts of ids begin in 0 .. ONE, and how large they are."""
-        low = (self.rest * counts.begins.take(ids)) >> COUNT_BITS
-        part = ((self.rest * counts.ends.take(ids)) >> COUNT_BITS) - low
-        self.hit = [named == ids for named in self.guess]
-        self.gave = [weight * hit for weight, hit in zip(self.now, self.hit, strict=True)]
-        for weight, named, gave in zip(self.now, self.guess, self.gave, strict=True):
-            low += weight * (ids > named)
-            part += gave
+        low, part = self.count_bounds(ids, counts)
+        off = self.guess - ids.astype(np.int32)
+        self.gave = self.now & ~_differ(off)
+        part += self.gave[0] + self.gave[1]
+        off >>= 31
+        off &= self.now
+        low += off[0] + off[1]
         return low, part
 
     def id_at(self, place: np.ndarray, counts: _Counts, holder: np.ndarray) -> np.ndarray:
         """The id whose part holds ``place``: one that an order names, else the holder of a count."""
-        left, inside, same = place.copy(), [], self.guess[0] == self.guess[1]
-        for k in (0, 1):
-            named, weight, other = self.guess[k], self.now[k], self.now[1 - k]
-            low = (self.rest * counts.begins.take(named)) >> COUNT_BITS
-            part = ((self.rest * counts.ends.take(named)) >> COUNT_BITS) - low + weight + other * same
-            off = place - low - other * (named > self.guess[1 - k])
-            left -= weight * (off >= part)
-            inside.append(off.view(_U) < part.view(_U))
-        below = np.minimum((((left + 1) << COUNT_BITS) - 1).view(_U) // self.rest.view(_U), _U((1 << COUNT_BITS) - 1)).view(np.int64)
-        return np.where(inside[1], self.guess[1], np.where(inside[0], self.guess[0], holder.take(below)))
+        low, part = self.count_bounds(self.guess, counts)
+        part += self.now
+        apart = self.guess[0] - self.guess[1]
+        part += self.now[::-1] & ~_differ(apart)
+        low[0] += self.now[1] & (-apart >> 31)
+        low[1] += self.now[0] & (apart >> 31)
+        off = place - low
+        part -= off
+        # part is 0 or less where the place lies past what a named id has, off is less than 0 where before it
+        past = (part - 1) >> 63
+        out = past | (off >> 63)
+        past &= self.now
+        left = place + 1
+        left -= past[0]
+        left -= past[1]
+        left <<= COUNT_BITS
+        left -= 1
+        ids = holder.take((left / self.rest).astype(np.int64), mode="clip")
+        for named, beyond in zip(self.guess, out, strict=True):
+            ids = named ^ ((named ^ ids) & beyond)
+        return ids
 
     def update(self, ids: np.ndarray, part: np.ndarray) -> None:
         """Weigh the orders by what each gave the id, and remember what followed."""
-        fresh, share = (ids << 2) | 1, (ONE - LEAST) / part
-        for k in (0, 1):
-            sure, entry, now = self.sure[k], self.entry[k], self.now[k]
-            self.weight[k][self.mix] = np.maximum(now + (((self.gave[k] * share).astype(np.int64) - now) >> RATE), TRACE)
-            self.table[k][self.at[k]] = np.where(self.hit[k], entry + (sure < 3), np.where(sure > 1, entry - 1, fresh))
-        self.two, self.one = spread_two(self.one), ids.astype(np.uint32)
-
-
-def spread_two(ids: np.ndarray) -> np.ndarray:
-    return (ids + np.uint32(1)) * np.uint32(0x9E3779B1)
+        thanks = (self.gave * ((ONE - LEAST) / part)).astype(np.int32)
+        thanks -= self.now
+        thanks >>= RATE
+        thanks += self.now
+        self.weights[self.mix] = np.maximum(thanks, TRACE, out=thanks)
+        ids = ids.astype(np.int32)
+        # a miss lowers the confidence, or from 1 and less puts the id there; a hit raises it up to 3
+        fresh, sure = (ids << 2) | 1, self.sure
+        new = self.entry - 1
+        new ^= fresh
+        new &= (1 - sure) >> 31
+        new ^= fresh
+        hit = self.entry - ((sure - 3) >> 31)
+        new ^= hit
+        new &= _differ(self.guess - ids)
+        new ^= hit
+        self.table[self.at] = new
+        one = ids.view(np.uint32)
+        np.multiply(one, _MIX[0], out=self.hashes[0])
+        np.bitwise_xor(self.hashes[0], self.two, out=self.hashes[1])
+        self.hashes[1] *= _MIX[1]
+        self.two = (one + _MIX[3]) * _MIX[2]
+
+
+def _differ(off: np.ndarray) -> np.ndarray:
+    """-1 where a difference of ids isn't 0."""
+    return (off | -off) >> 31
 
 
 class _Encoder:
-    """Range coders in step: 48-bit low and range, words of 16 bits, carries into what is written."""
+    """Range coders in step: 48-bit low and range, words of 16 bits, carries added to the word before."""
 
     def __init__(self, lanes: int, words: int):
-        self.low, self.range = np.zeros(lanes, dtype=_U), np.full(lanes, (1 << 48) - 1, dtype=_U)
-        self.out = np.zeros(lanes * words, dtype=np.uint16)
+        self.low, self.range = np.zeros(lanes, dtype=np.int64), np.full(lanes, (1 << 48) - 1, dtype=np.int64)
+        self.out = np.zeros(lanes * words, dtype=np.int32)
         self.begin = np.arange(lanes, dtype=np.int64) * words
         self.at = self.begin.copy()
 
     def narrow(self, n: int, low: np.ndarray, part: np.ndarray) -> None:
         """Of the first n coders, keep the part low .. low + part of ONE."""
-        unit = self.range[:n] >> _U(SCALE)
-        self.low[:n] += unit * low
-        self.range[:n] = unit * part
+        unit = self.range[:n] >> SCALE
+        low *= unit
+        self.low[:n] += low
+        np.multiply(unit, part, out=self.range[:n])
 
     def settle(self, n: int) -> None:
         """Carry, and write words until every range has room again."""
-        over = np.flatnonzero(self.low[:n] >> _ROOM)
+        low, span, at = self.low[:n], self.range[:n], self.at[:n]
+        over = np.flatnonzero(low >> 48)
         if len(over):
-            self.low[over] &= _U((1 << 48) - 1)
-            at = self.at[over] - 1
-            while len(at):
-                self.out[at] += np.uint16(1)
-                at = at[self.out[at] == 0] - 1
-        short = np.flatnonzero(self.range[:n] < _SHORT)
-        while len(short):
-            low, at = self.low[short], self.at[short]
-            self.out[at] = (low >> _U(32)).astype(np.uint16)
-            self.at[short] = at + 1
-            self.low[short] = (low & _LOW32) << _WORD
-            self.range[short] <<= _WORD
-            short = short[self.range[short] < _SHORT]
+            self.out[at[over] - 1] += 1
+            low &= _FULL
+        short = (span - _SHORT) >> 63
+        while short.any():
+            self.out[at] = low >> 32
+            at -= short
+            low &= ~(short & _HIGH)
+            short &= 16
+            low <<= short
+            span <<= short
+            short = (span - _SHORT) >> 63
 
     def finish(self) -> list[bytes]:
         for shift in (32, 16, 0):
-            self.out[self.at] = ((self.low >> _U(shift)) & _U(0xFFFF)).astype(np.uint16)
+            self.out[self.at] = (self.low >> shift) & 0xFFFF
             self.at += 1
-        return [self.out[a:b].astype("<u2").tobytes() for a, b in zip(self.begin.tolist(), self.at.tolist(), strict=True)]
+        over = np.flatnonzero(self.out >> 16)
+        while len(over):
+            self.out[over] &= 0xFFFF
+            over -= 1
+            self.out[over] += 1
+            over = over[self.out[over] >> 16 > 0]
+        words = self.out.astype("<u2")
+        return [words[a:b].tobytes() for a, b in zip(self.begin.tolist(), self.at.tolist(), strict=True)]
 
 
 def encode_ids(ids: np.ndarray, block: int | None = None) -> bytes:
@@ -196,7 +245,7 @@ def encode_ids(ids: np.ndarray, block: int | None = None) -> bytes:
     grid[:n] = ids
     grid = grid.reshape(lanes, block)
     columns, last = place[grid.T], n - (lanes - 1) * block
-    model, coder = _Model(lanes), _Encoder(lanes, 3 * block + 8)
+    model, coder = _Model(lanes), _Encoder(lanes, 2 * block + 8)
     for step in range(block if lanes > 1 else last):
         if step == last:
             model.shrink(lanes - 1)
@@ -204,7 +253,7 @@ def encode_ids(ids: np.ndarray, block: int | None = None) -> bytes:
         now = columns[step, :m]
         model.predict()
         low, part = model.bounds(now, counts)
-        coder.narrow(m, low.view(_U), part.view(_U))
+        coder.narrow(m, low, part)
         coder.settle(m)
         model.update(now, part)
     frames = []
@@ -248,35 +297,35 @@ def decode_ids(data: bytes) -> np.ndarray:
     order = np.argsort(-np.array(lengths), kind="stable")
     length = np.array(lengths)[order]
     lanes, words = len(order), max(map(len, codes)) + 6
-    code = np.zeros((lanes, words), dtype=np.uint16)
+    code = np.zeros((lanes, words), dtype=np.int32)
     for row, k in enumerate(order):
         code[row, : len(codes[k])] = codes[k]
-    value = (code[:, 0].astype(_U) << _U(32)) | (code[:, 1].astype(_U) << _U(16)) | code[:, 2].astype(_U)
-    span, at = np.full(lanes, (1 << 48) - 1, dtype=_U), np.arange(lanes, dtype=np.int64) * words + 3
+    value = (code[:, 0].astype(np.int64) << 32) | (code[:, 1].astype(np.int64) << 16) | code[:, 2]
+    span, at = np.full(lanes, _FULL, dtype=np.int64), np.arange(lanes, dtype=np.int64) * words + 3
     code = code.ravel()
-    end = len(code) - 1
     model, columns = _Model(lanes), np.zeros((int(length[0]), lanes), dtype=np.int32)
-
-    def refill(m):
-        short = np.flatnonzero(span[:m] < _SHORT)
-        while len(short):
-            place = at[short]
-            value[short] = (value[short] << _WORD) | code[np.minimum(place, end)]
-            span[short] <<= _WORD
-            at[short] = place + 1
-            short = short[span[short] < _SHORT]
-
     for step in range(int(length[0])):
         m = int((length > step).sum()) if step >= length[-1] else lanes
         if m < model.lanes:
             model.shrink(m)
+            value, span, at = value[:m], span[:m], at[:m]
         model.predict()
-        unit = span[:m] >> _U(SCALE)
-        ids = model.id_at(np.minimum(value[:m] // unit, _U(ONE - 1)).view(np.int64), counts, holder)
+        unit = span >> SCALE
+        place = (value / unit).astype(np.int64)
+        ids = model.id_at(np.minimum(place, ONE - 1, out=place), counts, holder).astype(np.int64)
         low, part = model.bounds(ids, counts)
-        value[:m] -= unit * low.view(_U)
-        span[:m] = unit * part.view(_U)
-        refill(m)
+        low *= unit
+        value -= low
+        np.multiply(unit, part, out=span)
+        short = (span - _SHORT) >> 63
+        while short.any():
+            word = code.take(at, mode="clip") & short
+            at -= short
+            short &= 16
+            value <<= short
+            value |= word
+            span <<= short
+            short = (span - _SHORT) >> 63
         columns[step, :m] = ids
         model.update(ids, part)
     out: list = [None] * lanes

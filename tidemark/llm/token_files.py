@@ -5,22 +5,24 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from tidemark.llm.batches import steps
 from tidemark.llm.chunks import ChunkStore
 from tidemark.llm.token_coder import decode_ids, encode_ids
 from tidemark.plans.scratch import Scratch
 
 #: Ids after which a segment of whole documents is closed; its blocks are coded in step.
 SEGMENT_IDS = 1 << 22
-#: Bytes of text that one task tokenizes, and characters at a time.
-TASK_BYTES, STEP_CHARS = 1 << 25, 1 << 20
-#: Distinct pieces that the library gets at a time, as it holds far more than the ids of each, and those a worker remembers.
-AT_A_TIME, MOST_PIECES = 1 << 13, 400_000
+#: Bytes of text that one task tokenizes, and at a time.
+TASK_BYTES, STEP_BYTES = 1 << 25, 1 << 22
+#: Distinct pieces that the library gets at a time, as it holds far more than the ids of each, those that it gets as one text, and those a worker remembers.
+AT_A_TIME, AS_ONE, MOST_PIECES = 1 << 13, 64, 400_000
 END_ID = 2
 
 #: Where a text may be cut before tokenizing: before spaces that follow a character that isn't white space.
@@ -29,6 +31,14 @@ CUT = re.compile(r"(?<=\S)(?= )")
 #: The same cuts where no other white space stands before a space.
 RUN = re.compile(r" *[^ ]+| +")
 OTHER_SPACE = re.compile(r"[^\S ] ")
+#: White space, in Arrow's notation; texts with it before a space, or with the separator of cuts, are cut by themselves.
+SPACE = r"\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SEPARATOR = "\0"
+ODD = rf"[{SPACE}] |\x00"
+#: Further cuts that the pattern always has: before a mark of punctuation after a letter or digit, and around one line end between visible characters.
+MARKS = ((r"([0-9A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?)])", "\\1\0\\2"), (r"([!-~À-ÖØ-öø-ɏ])\n([!-~À-ÖØ-öø-ɏ])", "\\1\0\n\0\\2"))
+#: Pieces that keep their ids when they follow each other in a text, and of whose ids only the first begins with a space.
+JOINS = rf"\A [^{SPACE}]+\z"
 
 SEGMENT = "part int, seq long, n_ids long, doc_ids array<long>, lengths array<int>, frames binary"
 
@@ -52,16 +62,72 @@ class Tokens:
 
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             tokenizer = Tokenizer.from_file(path)
+            vocabulary = tokenizer.get_vocab()
+            begins = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+            begins[[i for piece, i in vocabulary.items() if piece[0] == "Ġ"]] = True
 
-            def encode(pieces):
-                runs = [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            def each(texts):
+                runs = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
                 lengths = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
                 return np.fromiter(chain.from_iterable(runs), dtype=np.int32, count=int(lengths.sum())), lengths
 
+            def encode(pieces):
+                """Most pieces go to the library many in one text, in which each id that begins with a space begins a piece."""
+                joins = pc.match_substring_regex(pa.array(pieces, pa.large_string()), JOINS).to_numpy(zero_copy_only=False)
+                words = list(compress(pieces, joins))
+                ids, _ = each(["".join(words[k : k + AS_ONE]) for k in range(0, len(words), AS_ONE)])
+                first = np.flatnonzero(begins[ids])
+                if len(first) != len(words) or len(words) and first[0]:
+                    return each(pieces)
+                others, lengths_of_others = each(list(compress(pieces, ~joins)))
+                lengths = np.empty(len(pieces), dtype=np.int64)
+                lengths[joins], lengths[~joins] = np.diff(first, append=len(ids)), lengths_of_others
+                out, joined = np.empty(len(ids) + len(others), dtype=np.int32), np.repeat(joins, lengths)
+                out[joined], out[~joined] = ids, others
+                return out, lengths
+
             cls.opened[path] = ChunkStore(encode, MOST_PIECES, AT_A_TIME)
         return cls.opened[path]
 
 
+def spread(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places of runs, one run after another."""
+    out = np.repeat(begin - (np.cumsum(length) - length), length)
+    out += np.arange(len(out))
+    return out
+
+
+def encode_texts(store: ChunkStore, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts without nulls, one after another, and how many each text has.
+
+    Texts are cut at spaces, their distinct words numbered, and these cut on, by
+    Arrow; only the distinct pieces of words are looked up. An odd text is a word.
+    """
+    if not len(texts):
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+    odd = pc.match_substring_regex(texts, ODD)
+    lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+    first = lists.offsets.to_numpy().astype(np.int64)[:-1]
+    words = lists.values.dictionary_encode()
+    which, distinct = words.indices.to_numpy().astype(np.int64), words.dictionary
+    # no space stands before the first word
+    leading, which_of_first = np.unique(which[first], return_inverse=True)
+    which[first] = len(distinct) + which_of_first
+    cut = pa.concat_arrays([pc.binary_join_element_wise(" ", distinct, ""), distinct.take(pa.array(leading))])
+    for pattern, by in MARKS:
+        cut = pc.replace_substring_regex(cut, pattern, by)
+    cut = pc.split_pattern(cut, SEPARATOR)
+    at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+    which[first[at]] = len(cut) + np.arange(len(at))
+    alone = [pieces_of(text) for text in texts.take(pa.array(at)).to_pylist()]
+    pieces = pa.concat_arrays([cut.values, pa.array(chain.from_iterable(alone), cut.values.type)]).dictionary_encode()
+    begin, length = (x[pieces.indices.to_numpy()] for x in store.runs_of(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()))
+    ids = store.ids[spread(begin, length)]
+    upto = np.concatenate([[0], np.cumsum(length)])[np.concatenate([cut.offsets.to_numpy(), len(cut.values) + np.cumsum(list(map(len, alone)), dtype=np.int64)])]
+    length = np.diff(upto)[which]
+    return ids[spread(upto[which], length)], np.add.reduceat(length, first)
+
+
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Write the ids of all documents (doc_id, text) in ascending doc_id order to ``path``.
 
@@ -98,20 +164,14 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
             return out
 
         for batch in batches:
-            texts, ids_of_docs = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            low = 0
-            while low < len(texts):
-                high, chars = low, 0
-                while high < len(texts) and (high == low or chars + len(texts[high]) <= STEP_CHARS):
-                    chars += len(texts[high])
-                    high += 1
-                ids, n = store.ids_of([pieces_of(t) for t in texts[low:high]])
-                ends = np.cumsum(n)
+            texts, ids_of_docs = batch.column("text"), batch.column("doc_id").to_pylist()
+            at = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+            for low, high in steps(at, STEP_BYTES):
+                ids, n = encode_texts(store, texts[low:high])
                 docs += ids_of_docs[low:high]
                 counts += (n + 1).tolist()
-                runs.append(np.insert(ids, ends, end_id))
+                runs.append(np.insert(ids, np.cumsum(n), np.int32(end_id)))
                 held += len(runs[-1])
-                low = high
                 if held >= SEGMENT_IDS:
                     yield segment()
         if docs:
