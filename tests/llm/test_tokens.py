@@ -3,14 +3,17 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
+from tidemark.llm import token_coder
+from tidemark.llm.chunks import ChunkStore
 from tidemark.llm.pieces import PieceTable, chunks_of, encode_pieces
 from tidemark.llm.token_coder import BLOCK, decode_ids, encode_ids
-from tidemark.llm.token_files import pieces_of, read_tokens, round_trip, write_tokens
+from tidemark.llm.token_files import Tokens, encode_texts, pieces_of, read_tokens, round_trip, write_tokens
 
 BYTE_BPE, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 
@@ -86,6 +89,44 @@ def test_cuts_leave_the_ids_alone(text):
     assert [i for p in pieces_of(text) for i in plain_ids(p)] == plain_ids(text)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="ab'9 \n\té1.,:)?— \x1c\u3000\u0301\0<|>", max_size=30) | st.sampled_from(["a<|endoftext|>, b", "é.\n<|endoftext|>.\nx y", "a.\n\nB, c", " x ", "  x"]), max_size=6))
+def test_texts_get_the_library_s_ids(texts):
+    """Words cut at marks and line ends and joined again for the library; texts with odd spaces or the separator of cuts."""
+    ids, n = encode_texts(Tokens.store(BYTE_BPE), pa.array(["left out", *texts], pa.string())[1:])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])][: len(texts)] == [plain_ids(t) for t in texts]
+
+
+def test_a_word_is_asked_for_once():
+    """However marks and line ends follow a word, the library gets it once; a call holds many words, and they keep their ids."""
+    store = ChunkStore(lambda pieces: calls.append(pieces) or inner(pieces), 1000, 64)
+    calls, inner = [], Tokens.store(BYTE_BPE).encode
+    texts = ["a word, word. word; word) word!\nword", "b " + " ".join(f"w{'abcdefgh'[k % 8]}{k}" for k in range(200)), "c word"]
+    ids, n = encode_texts(store, pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [plain_ids(t) for t in texts]
+    asked = [p for call in calls for p in call]
+    assert len(asked) == len(set(asked)) and [p for p in asked if "word" in p] == [" word", "word"] and max(map(len, calls)) <= 64
+
+
+def test_a_full_store_keeps_what_was_asked_for_again():
+    asked = []
+    store = ChunkStore(lambda pieces: asked.extend(pieces) or (np.array([ord(p[0]) for p in pieces], np.int32), np.ones(len(pieces), np.int64)), 10)
+    for pieces in (["a", "b"], ["a", *"cdefghijklm"], ["a", "n", "c"], ["b", "a"]):
+        begin, length = store.runs_of(pieces)
+        assert store.ids[begin].tolist() == [ord(p) for p in pieces] and (length == 1).all()
+    assert asked == [*"abcdefghijklm", "n", "c", "b"] and store.known == 4
+
+
+def test_a_run_advances_many_blocks_in_step(monkeypatch):
+    """The cost of a step is shared by all blocks."""
+    steps, predict = [], token_coder._Model.predict
+    monkeypatch.setattr(token_coder._Model, "predict", lambda model: steps.append(model.lanes) or predict(model))
+    ids = np.random.default_rng(5).integers(0, 300, 1 << 19).astype(np.int32)
+    data = encode_ids(ids)
+    assert len(steps) <= 512 and min(steps) >= 1000
+    assert (decode_ids(data) == ids).all() and len(steps) <= 1024
+
+
 def test_token_files(spark, edge, empty, documents, scratch):
     for df in (edge, documents):
         got = sorted(round_trip(df, scratch, BYTE_BPE).collect(), key=lambda r: r.start)

@@ -15,6 +15,8 @@ LANES, LEAST_BLOCK = 2048, 512
 #: Bits of the places of a block's order-1 and order-2 tables.
 PLACES = (9, 10)
 ID_BITS = 17
+#: Steps of which the encoder looks the counts up at a time.
+AHEAD = 16
 #: Order 0 gives the ids of a run parts of 2 ** COUNT_BITS by how often each is there.
 COUNT_BITS = 20
 #: Weights of the orders are parts of 2 ** SCALE and move by 1 / 2 ** RATE of the way. Order 0 keeps LEAST less two TRACES at
@@ -104,22 +106,21 @@ class _Model:
         rest = self.now[0] + self.now[1]
         self.rest = np.subtract(ONE, rest, dtype=np.int64)
 
-    def count_bounds(self, ids: np.ndarray, counts: _Counts) -> tuple[np.ndarray, np.ndarray]:
-        """Where the parts of ids begin, and how large they are, of order 0 with the weight that orders 1 and 2 leave to it."""
-        part = counts.bounds.take(ids)
+    def count_bounds(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the parts of ids with these bounds begin, and how large they are, of order 0 with the weight that orders 1 and 2 leave to it."""
         low = part & _LOWEST
         low *= self.rest
         low >>= COUNT_BITS
-        part >>= 32
+        part = part >> 32
         part *= self.rest
         part >>= COUNT_BITS
         part -= low
         return low, part
 
-    def bounds(self, ids: np.ndarray, counts: _Counts) -> tuple[np.ndarray, np.ndarray]:
-        """Where the parts of ids begin in 0 .. ONE, and how large they are."""
-        low, part = self.count_bounds(ids, counts)
-        off = self.guess - ids.astype(np.int32)
+    def bounds(self, ids: np.ndarray, of_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the parts of ids begin in 0 .. ONE, and how large they are; ``of_counts`` has their bounds by the counts."""
+        low, part = self.count_bounds(of_counts)
+        off = self.guess - ids
         self.gave = self.now & ~_differ(off)
         part += self.gave[0] + self.gave[1]
         off >>= 31
@@ -129,7 +130,7 @@ class _Model:
 
     def id_at(self, place: np.ndarray, counts: _Counts, holder: np.ndarray) -> np.ndarray:
         """The id whose part holds ``place``: one that an order names, else the holder of a count."""
-        low, part = self.count_bounds(self.guess, counts)
+        low, part = self.count_bounds(counts.bounds.take(self.guess.astype(np.int64)))
         part += self.now
         apart = self.guess[0] - self.guess[1]
         part += self.now[::-1] & ~_differ(apart)
@@ -139,7 +140,7 @@ class _Model:
         part -= off
         # part is 0 or less where the place lies past what a named id has, off is less than 0 where before it
         past = (part - 1) >> 63
-        out = past | (off >> 63)
+        out = (past | (off >> 63)).astype(np.int32)
         past &= self.now
         left = place + 1
         left -= past[0]
@@ -158,7 +159,6 @@ class _Model:
         thanks >>= RATE
         thanks += self.now
         self.weights[self.mix] = np.maximum(thanks, TRACE, out=thanks)
-        ids = ids.astype(np.int32)
         # a miss lowers the confidence, or from 1 and less puts the id there; a hit raises it up to 3
         fresh, sure = (ids << 2) | 1, self.sure
         new = self.entry - 1
@@ -219,7 +219,7 @@ class _Encoder:
         for shift in (32, 16, 0):
             self.out[self.at] = (self.low >> shift) & 0xFFFF
             self.at += 1
-        over = np.flatnonzero(self.out >> 16)
+        over = np.flatnonzero(self.out > 0xFFFF)
         while len(over):
             self.out[over] &= 0xFFFF
             over -= 1
@@ -245,14 +245,16 @@ def encode_ids(ids: np.ndarray, block: int | None = None) -> bytes:
     grid[:n] = ids
     grid = grid.reshape(lanes, block)
     columns, last = place[grid.T], n - (lanes - 1) * block
-    model, coder = _Model(lanes), _Encoder(lanes, 2 * block + 8)
+    model, coder = _Model(lanes), _Encoder(lanes, block * 7 // 4 + 8)
     for step in range(block if lanes > 1 else last):
         if step == last:
             model.shrink(lanes - 1)
         m = model.lanes
+        if step % AHEAD == 0:
+            of_counts = counts.bounds.take(columns[step : step + AHEAD].astype(np.int64))
         now = columns[step, :m]
         model.predict()
-        low, part = model.bounds(now, counts)
+        low, part = model.bounds(now, of_counts[step % AHEAD, :m])
         coder.narrow(m, low, part)
         coder.settle(m)
         model.update(now, part)
@@ -312,8 +314,8 @@ def decode_ids(data: bytes) -> np.ndarray:
         model.predict()
         unit = span >> SCALE
         place = (value / unit).astype(np.int64)
-        ids = model.id_at(np.minimum(place, ONE - 1, out=place), counts, holder).astype(np.int64)
-        low, part = model.bounds(ids, counts)
+        ids = model.id_at(np.minimum(place, ONE - 1, out=place), counts, holder)
+        low, part = model.bounds(ids, counts.bounds.take(ids.astype(np.int64)))
         low *= unit
         value -= low
         np.multiply(unit, part, out=span)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 import zlib
@@ -128,6 +130,13 @@ def encode_texts(store: ChunkStore, texts: pa.Array) -> tuple[np.ndarray, np.nda
     return ids[spread(upto[which], length)], np.add.reduceat(length, first)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, which else stays with the worker and counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the C library of GNU has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Write the ids of all documents (doc_id, text) in ascending doc_id order to ``path``.
 
@@ -155,12 +164,14 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
 
         def segment():
             nonlocal docs, counts, runs, held, seq
-            ids = np.concatenate(runs)
+            ids, runs = np.concatenate(runs), []
+            give_back()
             out = pa.RecordBatch.from_pydict(
                 {"part": pa.array([part], pa.int32()), "seq": pa.array([seq]), "n_ids": pa.array([len(ids)]), "doc_ids": pa.array([docs], pa.list_(pa.int64())),
                  "lengths": pa.array([counts], pa.list_(pa.int32())), "frames": pa.array([encode_ids(ids)], pa.binary())}
             )
-            docs, counts, runs, held, seq = [], [], [], 0, seq + 1
+            docs, counts, held, seq = [], [], 0, seq + 1
+            give_back()
             return out
 
         for batch in batches:
@@ -181,8 +192,8 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
     ordered.mapInArrow(write, SEGMENT).write.mode("overwrite").option("compression", "uncompressed").parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of a token file: doc_id, start (ids of all documents before), n_tokens, ids (array of int).
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Documents of a token file: doc_id, start (ids of all documents before), n_tokens, ids_crc32, and if asked for ids (array of int).
 
     Starts come from the segments' counts: summed by task, then by segment
     within the task. Every block's checksum is verified.
@@ -198,16 +209,22 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, lengths = decode_ids(batch.column("frames")[i].as_py()), batch.column("lengths")[i].values.to_numpy()
+                give_back()
                 ends = np.concatenate([[0], np.cumsum(lengths)])
                 n = len(lengths)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_ids")[i].values, pa.array(np.full(n, batch.column("part")[i].as_py(), np.int32)), pa.array(np.full(n, batch.column("seq")[i].as_py())), pa.array(ends[:-1]),
-                     pa.array(lengths.astype(np.int64)), pa.array([zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends, ends[1:], strict=False)], pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))],
-                    names=["doc_id", "part", "seq", "at", "n_tokens", "ids_crc32", "ids"],
-                )
+                columns = {
+                    "doc_id": batch.column("doc_ids")[i].values, "part": pa.array(np.full(n, batch.column("part")[i].as_py(), np.int32)), "seq": pa.array(np.full(n, batch.column("seq")[i].as_py())), "at": pa.array(ends[:-1]),
+                    "n_tokens": pa.array(lengths.astype(np.int64)), "ids_crc32": pa.array([zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends, ends[1:], strict=False)], pa.int64()),
+                }
+                if with_ids:
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_pydict(columns)
 
-    docs = files.select("part", "seq", "doc_ids", "lengths", "frames").mapInArrow(read, "doc_id long, part int, seq long, at long, n_tokens long, ids_crc32 long, ids array<int>")
-    return docs.join(starts, ["part", "seq"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    shape, names = "doc_id long, part int, seq long, at long, n_tokens long, ids_crc32 long", ("n_tokens", "ids_crc32")
+    if with_ids:
+        shape, names = f"{shape}, ids array<int>", (*names, "ids")
+    docs = files.select("part", "seq", "doc_ids", "lengths", "frames").mapInArrow(read, shape)
+    return docs.join(starts, ["part", "seq"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), *names)
 
 
 def round_trip(documents: DataFrame, scratch: Scratch, tokenizer: str) -> DataFrame:
@@ -217,4 +234,4 @@ def round_trip(documents: DataFrame, scratch: Scratch, tokenizer: str) -> DataFr
     """
     path = f"{scratch.path}/tokens"
     write_tokens(documents, path, tokenizer)
-    return scratch.table(read_tokens(scratch.spark, path).select("doc_id", "start", "n_tokens", "ids_crc32"), "read")
+    return scratch.table(read_tokens(scratch.spark, path, with_ids=False), "read")
