@@ -15,8 +15,6 @@ LANES, LEAST_BLOCK = 2048, 512
 #: Bits of the places of a block's order-1 and order-2 tables.
 PLACES = (9, 10)
 ID_BITS = 17
-#: Steps of which the encoder looks the counts up at a time.
-AHEAD = 16
 #: Order 0 gives the ids of a run parts of 2 ** COUNT_BITS by how often each is there.
 COUNT_BITS = 20
 #: Weights of the orders are parts of 2 ** SCALE and move by 1 / 2 ** RATE of the way. Order 0 keeps LEAST less two TRACES at
@@ -250,11 +248,9 @@ def encode_ids(ids: np.ndarray, block: int | None = None) -> bytes:
         if step == last:
             model.shrink(lanes - 1)
         m = model.lanes
-        if step % AHEAD == 0:
-            of_counts = counts.bounds.take(columns[step : step + AHEAD].astype(np.int64))
         now = columns[step, :m]
         model.predict()
-        low, part = model.bounds(now, of_counts[step % AHEAD, :m])
+        low, part = model.bounds(now, counts.bounds.take(now))
         coder.narrow(m, low, part)
         coder.settle(m)
         model.update(now, part)

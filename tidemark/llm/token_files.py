@@ -24,7 +24,7 @@ SEGMENT_IDS = 1 << 22
 #: Bytes of text that one task tokenizes, and at a time.
 TASK_BYTES, STEP_BYTES = 1 << 25, 1 << 22
 #: Distinct pieces that the library gets at a time, as it holds far more than the ids of each, those that it gets as one text, and those a worker remembers.
-AT_A_TIME, AS_ONE, MOST_PIECES = 1 << 13, 64, 400_000
+AT_A_TIME, AS_ONE, MOST_PIECES = 1 << 13, 64, 600_000
 END_ID = 2
 
 #: Where a text may be cut before tokenizing: before spaces that follow a character that isn't white space.
@@ -171,7 +171,6 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
                  "lengths": pa.array([counts], pa.list_(pa.int32())), "frames": pa.array([encode_ids(ids)], pa.binary())}
             )
             docs, counts, held, seq = [], [], 0, seq + 1
-            give_back()
             return out
 
         for batch in batches:
